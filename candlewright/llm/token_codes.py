@@ -102,16 +102,26 @@ class Segment:
         return self.all_tokens()[self.offsets[k] : self.offsets[k + 1]]
 
 
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or one from 256 on."""
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class CachedEncoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library; distinct chunks are encoded once.
+    """Encodes whole texts with a byte-level BPE of the tokenizers library; distinct words are encoded once.
 
-    The split pattern of these vocabularies begins a new piece at every single space between two other characters, so a
-    text without runs of white space is the chain of its chunks. Texts with such runs, and texts that hold an added token,
-    go to the library in one piece.
+    The split pattern of these vocabularies begins a new piece at every single space or line end between two other
+    characters, and at a full stop or comma between a letter and one of those. So a text without runs of white space is
+    the chain of its words. Texts with such runs, and texts that hold an added token, go to the library in one piece.
     """
 
-    #: Chunks held before the cache starts again.
-    MOST = 400_000
+    #: Words held before the older half is dropped.
+    MOST = 800_000
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,26 +130,57 @@ class CachedEncoder:
         self.tok = Tokenizer.from_str(model)
         self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         pre = json.loads(model).get("pre_tokenizer") or {}
-        self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.marks = dict(zip(".,\n", self._ids([".", ",", "\n"]), strict=True))
+        #: By what precedes the word: nothing or a space.
+        self.young: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, lead: str, words: set[str]) -> None:
+        """Put all of words into the young cache."""
+        young, old, ask, tails = self.young[lead], self.old[lead], set(), []
+        for w in words.difference(young):
+            if (known := old.get(w)) is not None:
+                young[w] = known
+            elif w[-1:] in (".", ",") and w[-2:-1].isalpha():
+                tails.append(w)
+                if (stem := w[:-1]) not in young:
+                    if (known := old.get(stem)) is not None:
+                        young[stem] = known
+                    else:
+                        ask.add(stem)
+            else:
+                ask.add(w)
+        model, space, mixed = self.tok.model, lead and BYTE_CHARS[32], []
+        for w in ask:
+            if w.isalpha() and max(w) < "\u0250":  # one piece, whatever Unicode version the pattern follows
+                chars = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)
+                young[w] = np.array([t.id for t in model.tokenize(space + chars)], "<u4").tobytes()
+            else:
+                mixed.append(w)
+        young.update(zip(mixed, self._ids([lead + w for w in mixed]), strict=True))
+        for w in tails:
+            young[w] = young[w[:-1]] + self.marks[w[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        if len(self.first) + len(self.later) > self.MOST:
-            self.first.clear()
-            self.later.clear()
-        whole = [not self.by_chunk or RUN.search(x) is not None or any(a in x for a in self.added) for x in texts]
-        parts = [[] if w else x.split(" ") for x, w in zip(texts, whole, strict=True)]
-        for cache, lead, new in ((self.first, "", {p[0] for p in parts if p}), (self.later, " ", {c for p in parts for c in p[1:]})):
-            missing = [c for c in new if c not in cache]
-            cache.update(zip(missing, self._ids([lead + c for c in missing]), strict=True))
-        later = self.later
+        if sum(map(len, self.young.values())) > self.MOST // 2:
+            self.old, self.young = self.young, {"": {}, " ": {}}
+        whole = [not self.by_word or RUN.search(x) is not None or any(a in x for a in self.added) for x in texts]
+        lines = [[] if w else [line.split(" ") for line in x.split("\n")] for x, w in zip(texts, whole, strict=True)]
+        self._learn("", {line[0] for x in lines for line in x})
+        later: set[str] = set()
+        for x in lines:
+            for line in x:
+                later.update(line[1:])
+        self._learn(" ", later)
+        first, later = self.young[""], self.young[" "].__getitem__
+        end = self.marks["\n"]
         alone = iter(self._ids([x for x, w in zip(texts, whole, strict=True) if w]))
-        return [next(alone) if w else self.first[p[0]] + b"".join([later[c] for c in p[1:]]) for p, w in zip(parts, whole, strict=True)]
+        return [next(alone) if w else end.join([first[line[0]] + b"".join(map(later, line[1:])) for line in x]) for x, w in zip(lines, whole, strict=True)]
 
 
 @lru_cache(2)
@@ -205,17 +246,19 @@ def read_tokens(spark, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
     within = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("seg"))), F.lit(0))
     starts = sizes.withColumn("within", within).join(parts, "part").select("part", "seg", (F.col("base") + F.col("within")).alias("base"))
+    # the segments are decoded where they are read; only the documents' few numbers meet the starts
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for names, base, payload in zip(pdf["doc_ids"], pdf["base"], pdf["payload"], strict=True):
+            for part, seg, names, payload in zip(pdf["part"], pdf["seg"], pdf["doc_ids"], pdf["payload"], strict=True):
                 s = Segment(bytes(payload))
                 ids, off = s.all_tokens().astype("<u4"), s.offsets.astype(np.int64)
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
                 keys = pd.array([None if pd.isna(x) else int(x) for x in names], dtype="Int64")
-                yield pd.DataFrame({"doc_id": keys, "start": base + off[:-1], "n_tokens": off[1:] - off[:-1], "ids_crc32": crc})
+                yield pd.DataFrame({"part": part, "seg": seg, "doc_id": keys, "start": off[:-1], "n_tokens": off[1:] - off[:-1], "ids_crc32": crc})
 
-    return segs.select("part", "seg", "doc_ids", "payload").join(starts, ["part", "seg"]).select("doc_ids", "base", "payload").mapInPandas(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = segs.select("part", "seg", "doc_ids", "payload").mapInPandas(decode, "part int, seg int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return docs.join(starts, ["part", "seg"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
