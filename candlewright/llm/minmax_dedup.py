@@ -13,7 +13,7 @@ copies stays in proportion to its size, and no bucket is capped.
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WORD, materialize
+
+WORD_RE = re.compile(WORD)
 
 SHINGLE = 5
 SIMILAR = 75
@@ -55,7 +57,7 @@ class Shingler:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes; fewer words than the size make one shingle, no words none."""
-        words = (text or "").translate(LOWER_AZ).replace("\x1c", "\x00\x1c").split(None) if False else WORD_RE.findall((text or "").translate(LOWER_AZ))
+        words = WORD_RE.findall((text or "").translate(LOWER_AZ))
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
@@ -70,3 +72,191 @@ class Shingler:
         for j in range(size):
             out = _mix(out) + h[j : j + len(out)]
         return np.unique(_mix(out))
+
+
+_SIGN = _mix(_SEEDS) | np.uint64(1)
+
+
+def min_max(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum and maximum of the hashes under each permutation; both unbiased for Jaccard similarity."""
+    lo = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    hi = np.zeros(PERMUTATIONS, np.uint64)
+    for a in range(0, len(hashes), 2048):
+        x = (hashes[a : a + 2048, None] ^ _SEEDS) * _SIGN
+        x ^= x >> np.uint64(29)
+        x *= _SIGN
+        lo, hi = np.minimum(lo, x.min(axis=0)), np.maximum(hi, x.max(axis=0))
+    return lo, hi
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: half of its values are minima, half maxima, all of different permutations."""
+    lo, hi = min_max(hashes)
+    half = ROWS // 2
+    hi = np.roll(hi, PERMUTATIONS // 2).reshape(BANDS, half)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in (lo.reshape(BANDS, half), hi):
+        for j in range(half):
+            key = _mix(key) + part[:, j]
+    return _mix(key).view(np.int64)
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, fp (128-bit fingerprint of the whole set; null if empty) and band keys of every whole text."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler()
+        for pdf in batches:
+            sets = [shingle(t) for t in pdf["t"]]
+            yield pd.DataFrame(
+                {
+                    "id": pdf["id"].astype("Int64"),
+                    "n": [len(h) for h in sets],
+                    "fp": [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets],
+                    "bands": [band_keys(h) if len(h) else None for h in sets],
+                }
+            )
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(sign, "id bigint, n bigint, fp binary, bands array<bigint>")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, few: int = 200_000) -> DataFrame:
+    """(fp, set) of the representatives in nodes (fp, id), from their whole texts."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler()
+        for pdf in batches:
+            sets = [shingle(t) for t in pdf["t"]]
+            yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "set": [h.view(np.int64) for h in sets]})
+
+    wanted = nodes.select(F.col("id").alias("want")).distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(few + 1).count() <= few else wanted
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi")
+    made = rows.mapInPandas(make, "fp binary, set array<bigint>")
+    return made.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    a, b = sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("set").alias("sb"))
+    both = pairs.join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.withColumn("o", common).filter(100 * F.col("o") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, comp) for every node of the edges (a, b); comp is the same for all nodes of a component.
+
+    Each round every node joins its smallest neighbour and the graph between the joined nodes remains. Node keys are
+    hashes, so a round leaves a fraction of the nodes whatever the graph's shape.
+    """
+    left = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels = None
+    while True:
+        near = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("m"))
+        hop = materialize(near.select(F.col("a").alias("v"), F.least("a", "m").alias("m")), "hops")
+        if labels is None:
+            labels = hop.select("v", F.col("m").alias("comp"))
+        else:
+            labels = labels.join(hop.select(F.col("v").alias("comp"), "m"), "comp", "left").select("v", F.coalesce("m", "comp").alias("comp"))
+        labels = materialize(labels, "labels")
+        a, b = hop.select(F.col("v").alias("a"), F.col("m").alias("ma")), hop.select(F.col("v").alias("b"), F.col("m").alias("mb"))
+        moved = left.join(a, "a").join(b, "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).filter("a <> b").distinct()
+        left = materialize(moved, "edges")
+        if left.isEmpty():
+            return labels
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of buckets with up to SMALL members."""
+    listed = members.filter(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "n"))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SMALL)), lambda y: F.struct(x.fp.alias("a"), y.fp.alias("b"), x.n.alias("na"), y.n.alias("nb")))))
+    return listed.select(F.explode(pairs).alias("p")).select("p.*")
+
+
+def _star_pairs(large: DataFrame) -> DataFrame:
+    """Every member of a large bucket with the bucket's hub: the member that meets the most others in all its buckets."""
+    met = large.groupBy("fp").agg(F.sum("c").alias("met"))
+    hubs = large.join(met, "fp").groupBy("key").agg(F.max_by(F.struct("fp", "n"), F.struct("met", "fp")).alias("hub"))
+    pairs = large.join(hubs, "key").filter(F.col("fp") != F.col("hub.fp"))
+    return pairs.select(F.col("fp").alias("a"), F.col("hub.fp").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+
+
+def _rest_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of nodes (fp, comp) in different components that can still be similar: exact prefix and position bounds.
+
+    With tokens in order of rarity, similar sets share one of their first n - ceil(0.75 n) + 1 tokens, and from the first
+    that they share (at positions i and j) enough must be left: 1 + min(n - i, m - j) >= 3/7 (n + m). In each token's
+    group, members of the largest component are not compared with each other, being linked already.
+    """
+    rows = materialize(nodes.join(sets, "fp").select("fp", "comp", F.size("set").alias("n"), "set"), "rest")
+    df = rows.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    tokens = rows.select("fp", F.explode("set").alias("h")).join(df, "h").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    ordered = rows.select("fp", "comp", "n").join(tokens, "fp")
+    # tokens of no other set come first; they fill the positions before those in s
+    alone = F.col("n") - F.size("s")
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100).cast("int") + 1
+    ordered = ordered.withColumns({"alone": alone, "s": F.slice("s", F.lit(1), F.greatest(prefix - alone, F.lit(0)))})
+    p = ordered.select("fp", "comp", "n", "alone", F.posexplode("s").alias("i", "t")).select("fp", "comp", "n", (F.col("i") + F.col("alone") + 1).alias("i"), F.col("t.h").alias("h"))
+    p = materialize(p, "prefixes")
+    top = p.groupBy("h", "comp").count().groupBy("h").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    p = p.join(top, "h")
+    a = p.filter("comp <> top").select("h", "top", F.col("fp").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = p.select("h", F.col("fp").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b")))
+    enough = (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) * (100 + SIMILAR) >= SIMILAR * (F.col("na") + F.col("nb"))
+    return a.join(b, "h").filter(once & enough).select("a", "b", "na", "nb")
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    close = 100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
+    return pairs.filter(close & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row of docs: id, n_shingles, component_id, kept.
+
+    Two texts are linked if their sets of 5-word shingles (A-Z lower-cased) have a Jaccard similarity of 0.75 or more; a
+    component's id is its smallest document id, and that document is kept. Texts with fewer than five words have one
+    shingle, texts without words (null, empty) none and no links. Equal rows get equal results; a null id gets the
+    component's smallest id (null if there is none) and kept = false unless its text has no words or no other id. An
+    empty table gives an empty result. Columns other than id and text are not read.
+    """
+    t = materialize(signatures(docs, id_col, text_col), "signatures")
+    classes = materialize(t.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    placed = classes.select("fp", "n", F.explode("bands").alias("key"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    members = materialize(placed.join(shared, "key"), "members")
+    large = members.filter(F.col("c") > SMALL)
+    pairs = materialize(_distinct_pairs(_small_pairs(members).union(_star_pairs(large))), "pairs")
+    ids = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(large.select("fp")).distinct()
+    sets = materialize(_sets(docs, classes.select("fp", "id").join(ids, "fp"), id_col, text_col), "sets")
+    edges = materialize(_verified(pairs, sets), "links")
+    labels = components(edges)
+    named = large.select("key", "fp").join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    named = materialize(named, "named")
+    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    rest = materialize(named.join(open_keys, "key", "left_semi").select("fp", "comp").distinct(), "open")
+    if not rest.isEmpty():
+        more = materialize(_verified(_distinct_pairs(_rest_pairs(rest, sets)), sets), "links")
+        if not more.isEmpty():
+            labels = components(edges.union(more))
+    named = classes.select("fp", "id").join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    out = t.select("id", "n", "fp").join(named.join(least, "comp").select("fp", "component_id"), "fp", "left")
+    comp = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, the one with the smallest id; columns as before.
+
+    Texts without words all stay, as they are linked with nothing. Where the kept id comes in several rows, one of them
+    stays. Rows without an id stay if their component has no id at all.
+    """
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_n"))
+    kept = materialize(kept, "kept")
+    out = docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    if kept.filter("_n > 1 AND _keep IS NOT NULL").isEmpty():
+        return out
+    return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(out.filter(F.col(id_col).isNull()))

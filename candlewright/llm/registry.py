@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shipped
 from .common import read
 from .decontamination import LEAKS_SQL, find_leaks
+from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_report
 from .sharding import shard_manifest
 from .token_codes import token_table
@@ -36,5 +37,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("_m", "items")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
+def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
 ORACLES: dict[str, str] = {"op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
