@@ -11,6 +11,7 @@ from .common import read
 from .decontamination import LEAKS_SQL, find_leaks
 from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_report
+from .quality_rules import RULES_SQL, judge
 from .sharding import shard_manifest
 from .token_codes import token_table
 
@@ -41,5 +42,10 @@ def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
-ORACLES: dict[str, str] = {"op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op8_quality_rules, op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
+ORACLES: dict[str, str] = {"op8_quality_rules": RULES_SQL, "op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
