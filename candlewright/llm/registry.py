@@ -11,9 +11,11 @@ from .common import read
 from .decontamination import LEAKS_SQL, find_leaks
 from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_report
+from .quality_classifier import classify
 from .quality_rules import RULES_SQL, judge
 from .sharding import shard_manifest
 from .token_codes import token_table
+from .url_filters import URLS_SQL, judge_urls, tracked_keys
 
 
 def default_tokenizer() -> str:
@@ -47,5 +49,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op8_quality_rules, op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
-ORACLES: dict[str, str] = {"op8_quality_rules": RULES_SQL, "op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, read(spark, sf_dir, "labels")).drop("text")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, tracked_keys(pages))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op2_quality_classifier, op4_url_filters, op8_quality_rules, op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
+ORACLES: dict[str, str] = {"op4_url_filters": URLS_SQL, "op8_quality_rules": RULES_SQL, "op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
