@@ -24,10 +24,13 @@ from pyspark.sql import types as T
 from .common import WORD
 
 SAMPLE = 10_000
+#: Least probability of the best grade for a document to be selected: ratings hold some noise, so that clean documents lie
+#: well above and those between the grades below.
+LEAST_TAIL = 0.8
 SLOTS = 1 << 18
 GRADES = 3
 #: Least z score of a slot's presence against a grade (one is added to the variance, so that rare slots don't pass by luck).
-LEAST_Z = 4.5
+LEAST_Z = 7.0
 TOKEN, LETTERS = re.compile(WORD), re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -70,7 +73,7 @@ class OrdinalModel:
         return above.sum(axis=1), above[:, -1]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 400, rate: float = 0.05, shrink: float = 1e-3) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 1000, rate: float = 0.05, shrink: float = 1e-5) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by Adam; the order of thresholds is kept by fitting the logs of their gaps."""
     n, lens = len(rows), np.array([len(x) for x in rows])
     flat = np.concatenate(rows)
@@ -142,7 +145,7 @@ def rating(docs: DataFrame, model: OrdinalModel | None, text: Column) -> Column:
     return rate(text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_tail: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_tail: float = LEAST_TAIL, sample: int = SAMPLE) -> DataFrame:
     """docs with expected_grade, tail_probability and kept (tail_probability of at least least_tail).
 
     Texts without words (null, empty) are not kept. Equal texts get equal ratings. Without any labelled row the ratings

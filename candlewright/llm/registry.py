@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shipped
 from .common import read
 from .decontamination import LEAKS_SQL, find_leaks
+from .html_template import extract
+from .line_dedup import LINES_SQL, drop_site_lines, host_of, html_lines
 from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_report
 from .quality_classifier import classify
@@ -59,5 +62,14 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, tracked_keys(pages))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op2_quality_classifier, op4_url_filters, op8_quality_rules, op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
-ORACLES: dict[str, str] = {"op4_url_filters": URLS_SQL, "op8_quality_rules": RULES_SQL, "op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return drop_site_lines(pages, html_lines(F.col("html")), host_of(F.col("url"))).select("page_id", "host", "text", "n_lines", "n_dropped")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_html_template, op3_line_dedup, op2_quality_classifier, op4_url_filters, op8_quality_rules, op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op4_url_filters": URLS_SQL, "op8_quality_rules": RULES_SQL, "op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
