@@ -121,7 +121,7 @@ class CachedEncoder:
     """
 
     #: Words held before the older half is dropped.
-    MOST = 800_000
+    MOST = 300_000
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -192,7 +192,7 @@ def encoder(model: str) -> CachedEncoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, in ascending id order (null ids first, null text as empty), into a table of segments.
 
-    Rows are range-partitioned by id, then by text, so ties and repeated rows have one order and each task encodes its own
+    Rows are range-partitioned by id, then by the text's hash, so ties and repeated rows have one order and each task encodes its own
     range. An empty table gives an empty table of segments. Other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))  # one vocabulary file
@@ -231,8 +231,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if ids:
             yield segment()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    rows.repartitionByRange("id", "t").sortWithinPartitions("id", "t").mapInPandas(encode, SEGMENTS).write.parquet(path)
+    # the hash, not the text, breaks ties: range bounds are sampled on the driver
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t").mapInPandas(encode, SEGMENTS).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
