@@ -19,6 +19,8 @@ COMMON = 0.002
 #: A language has references of its own if it makes up so much of all words: at most 1000 languages do.
 OWN = 0.001
 ALL = "(all)"
+#: Up to so many common words in all languages, texts are sifted by one hash set of them.
+VOCABULARY = 5_000
 #: Largest squared distances, and the least code points and words from which they count.
 MAX_CLASS, MAX_WORD = 0.30**2, 0.45**2
 LEAST_CHARS, LEAST_WORDS = 200, 50
@@ -26,11 +28,13 @@ LEAST_CHARS, LEAST_WORDS = 200, 50
 
 def _classes(solid: Column) -> Column:
     """Code points of each class in a text without white space; the last count is of all others."""
-    counts = [F.length(solid) - F.length(F.regexp_replace(solid, c, "")) for c in CLASSES]
-    rest = F.length(solid)
-    for c in counts:
-        rest = rest - c
-    return F.array(*counts, rest)
+    # the classes share no character, so each is counted in what the ones before have left
+    def step(left: Column, rest: tuple[str, ...], counts: tuple[Column, ...]) -> Column:
+        if not rest:
+            return F.array(*counts, F.length(left))
+        return let(F.regexp_replace(left, rest[0], ""), lambda kept: step(kept, rest[1:], (*counts, F.length(left) - F.length(kept))))
+
+    return step(solid, CLASSES, ())
 
 
 def _bare(text: Column) -> Column:
@@ -72,11 +76,14 @@ def class_divergence(counts: Column, n: Column, shares: Column) -> Column:
     return F.aggregate(F.zip_with(counts, shares, lambda c, q: _half(c / F.greatest(n, F.lit(1)), q)), F.lit(0.0), lambda a, x: a + x)
 
 
-def word_divergence(w: Column, ref_words: Column, shares: Column) -> Column:
-    """The same for the words w: one bin for each common word, one for all others."""
+def word_divergence(w: Column, ref_words: Column, shares: Column, vocabulary: list[str] | None = None) -> Column:
+    """The same for the words w: one bin for each common word, one for all others.
+
+    vocabulary: words of all references, to sift w by a hash set first; without it each word is looked up in ref_words.
+    """
     n = F.greatest(F.size(w), F.lit(1))
     found = let(
-        F.filter(w, lambda x: F.array_contains(ref_words, x)),
+        F.filter(w, lambda x: x.isin(vocabulary) if vocabulary else F.array_contains(ref_words, x)),
         lambda common: F.transform(ref_words, lambda r: (F.size(common) - F.size(F.array_remove(common, r))) / n),
     )
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -107,6 +114,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     refs = references(docs, text_col, lang_col)
     names = [r[0] for r in refs.filter(F.col("ref") != ALL).select("ref").collect()]  # at most 1 / OWN
+    listed = [r[0] for r in refs.select(F.explode("words")).distinct().limit(VOCABULARY + 1).collect()]
+    vocabulary = sorted(listed) if len(listed) <= VOCABULARY else None
     lang = F.coalesce(F.col(lang_col), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("_ref", F.when(lang.isin(names), lang).otherwise(F.lit(ALL)) if names else F.lit(ALL))
@@ -117,7 +126,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         lambda w: F.struct(
             F.size(w).cast("bigint").alias("n"),
             repeat_words(w).alias("repeat"),
-            F.when(F.size(w) >= LEAST_WORDS, word_divergence(w, F.col("_words"), F.col("_shares"))).otherwise(F.lit(0.0)).alias("far"),
+            F.when(F.size(w) >= LEAST_WORDS, word_divergence(w, F.col("_words"), F.col("_shares"), vocabulary)).otherwise(F.lit(0.0)).alias("far"),
         ),
     )
     by_chars = let(
