@@ -194,7 +194,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 rows["vector"].append(0)
                 rows["place"].append(0.0)
                 rows["page"].append(1)
-            yield pd.DataFrame(rows).astype({"token": "Int64"})
+            yield pd.DataFrame(rows | {"token": pd.array(rows["token"], dtype="Int64")})
 
     host = host_of(F.col(url_col)).alias("host")
     distinct = pages.filter(F.col(html_col).isNotNull()).select(host, F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h"))

@@ -104,20 +104,13 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, fp (128-bit fingerprint of the whole set; null if empty) and band keys of every whole text."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n bigint, fp binary, bands array<bigint>")
+    def sign(texts: pd.Series) -> pd.DataFrame:
         shingle = Shingler()
-        for pdf in batches:
-            sets = [shingle(t) for t in pdf["t"]]
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"].astype("Int64"),
-                    "n": [len(h) for h in sets],
-                    "fp": [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets],
-                    "bands": [band_keys(h) if len(h) else None for h in sets],
-                }
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(sign, "id bigint, n bigint, fp binary, bands array<bigint>")
+        sets = [shingle(t) for t in texts]
+        return pd.DataFrame({"n": [len(h) for h in sets], "fp": [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], "bands": [band_keys(h) if len(h) else None for h in sets]})
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), sign(F.col(text_col)).alias("s")).select("id", "s.*")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, few: int = 200_000) -> DataFrame:

@@ -214,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         for pdf in batches:
             texts = [x or "" for x in pdf["t"]]
-            keys = [None if pd.isna(x) else int(x) for x in pdf["id"]]
+            keys = [None if none else int(x) for x, none in zip(pdf["id"], pdf["none"], strict=True)]
             a = 0
             while a < len(texts):
                 b, size = a, 0
@@ -233,7 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     # the hash, not the text, breaks ties: range bounds are sampled on the driver
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t").mapInPandas(encode, SEGMENTS).write.parquet(path)
+    rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "t").mapInPandas(encode, SEGMENTS).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
