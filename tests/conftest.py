@@ -16,7 +16,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[3]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_THREADS', 4)}]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
