@@ -3,6 +3,7 @@ import os
 import sys
 import tempfile
 
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -47,7 +48,7 @@ def same():
         def one(v):
             if hasattr(v, "tolist"):
                 v = v.tolist()
-            if v is None or v != v:
+            if v is None or v is pd.NA or v != v:
                 return None
             return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
