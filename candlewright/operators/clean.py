@@ -95,9 +95,13 @@ def scaling_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = K
 
 
 def scale(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, fit_split: str | None = None) -> DataFrame:
-    """(x - mean) / (std + 1e-9) by series; statistics of all rows, or of one split only."""
-    out = df.join(scaling_stats(df, columns, keys, fit_split), list(keys), "left")
-    return out.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / (F.col(f"{c}_std") + F.lit(1e-9)) for c in columns}).drop(*(f"{c}_{s}" for c in columns for s in ("mean", "std")))
+    """(x - mean) / (std + 1e-9) by series; statistics of all rows, or of one split only.
+
+    The statistics are windows over the series, so what made the columns is not computed twice and no row moves again.
+    """
+    w = Window.partitionBy(*keys)
+    fitted = lambda c: F.when(F.col("split") == fit_split, F.col(c)) if fit_split else F.col(c)
+    return df.withColumns({c: (F.col(c) - F.avg(fitted(c)).over(w)) / (F.stddev_samp(fitted(c)).over(w) + F.lit(1e-9)) for c in columns})
 
 
 def training_windows(df: DataFrame, features: Sequence[str], target: str, input_window: int = 100, horizon: int = 90, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, stride: int = 1) -> DataFrame:
