@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -30,8 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-#: White space that is more than one space between two other characters, or at an end.
-RUN = re.compile(r"\s\s|^ | $")
 MAGIC = b"DAC1"
 RANK_EVERY = 512
 #: A segment ends with the document that brings it to so many tokens.
@@ -112,6 +109,10 @@ def _byte_chars() -> dict[int, str]:
 BYTE_CHARS = _byte_chars()
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class CachedEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library; distinct words are encoded once.
 
@@ -137,7 +138,7 @@ class CachedEncoder:
         self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, lead: str, words: set[str]) -> None:
         """Put all of words into the young cache."""
@@ -158,7 +159,7 @@ class CachedEncoder:
         for w in ask:
             if w.isalpha() and max(w) < "\u0250":  # one piece, whatever Unicode version the pattern follows
                 chars = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)
-                young[w] = np.array([t.id for t in model.tokenize(space + chars)], "<u4").tobytes()
+                young[w] = _packed([t.id for t in model.tokenize(space + chars)])
             else:
                 mixed.append(w)
         young.update(zip(mixed, self._ids([lead + w for w in mixed]), strict=True))
@@ -169,7 +170,8 @@ class CachedEncoder:
         """The ids of each text as little-endian 32-bit numbers."""
         if sum(map(len, self.young.values())) > self.MOST // 2:
             self.old, self.young = self.young, {"": {}, " ": {}}
-        whole = [not self.by_word or RUN.search(x) is not None or any(a in x for a in self.added) for x in texts]
+        # by words only if all white space is single spaces and line ends between other characters
+        whole = [not self.by_word or " ".join(x.split()) != x.replace("\n", " ") or any(a in x for a in self.added) for x in texts]
         lines = [[] if w else [line.split(" ") for line in x.split("\n")] for x, w in zip(texts, whole, strict=True)]
         self._learn("", {line[0] for x in lines for line in x})
         later: set[str] = set()
