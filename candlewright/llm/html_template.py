@@ -53,6 +53,8 @@ FREQUENT, LEAST_PAGES = 0.5, 3
 LEAST_CLASS = 2
 #: Up to so many template tokens in all, templates are broadcast; beyond, they are joined by host.
 BROADCAST_TOKENS = 200_000
+#: The same for pages that come more than once in a host (hashes of 8 bytes and the host).
+BROADCAST_COPIES = 200_000
 
 
 def _hash(text: str) -> int:
@@ -199,7 +201,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     host = host_of(F.col(url_col)).alias("host")
     distinct = pages.filter(F.col(html_col).isNotNull()).select(host, F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h"))
     once = distinct.groupBy("host", "h").agg(F.count("*").alias("n"))
-    copied = once.filter("n > 1").select("host", "h")
+    copied = materialize(once.filter("n > 1").select("host", "h"), "copied-pages")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied
     # equal pages count once
     firsts = distinct.join(copied, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.min("html").alias("html"))
     single = distinct.join(copied, ["host", "h"], "left_anti").select("host", "html").union(firsts.select("host", "html"))
