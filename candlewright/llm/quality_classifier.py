@@ -3,16 +3,18 @@
 Ratings are 0 (poor), 1 (good but toxic), 2 (good). One weight vector over hashed features is shared by all thresholds:
 P(grade <= k) = sigmoid(t_k - w.x) with t_0 < t_1, which gives the expected grade and the tail probability P(grade = 2)
 by which documents are selected. Features are read from the whole text: its distinct words, and a few shares of its
-words and lines, binned. A slot takes part only if its presence differs between grades by more than chance.
+words and lines, binned. Every slot seen takes part. Weights have a normal prior, narrow where a slot's presence differs
+between grades by no more than chance and wide where it differs by more; its strength is chosen by cross-validation.
 
 The model is fitted on at most SAMPLE labelled rows, those whose ids have the smallest hashes; the bound is a parameter.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +27,15 @@ from .common import WORD
 
 SAMPLE = 10_000
 #: Least probability of the best grade for a document to be selected: ratings hold some noise, so that clean documents lie
-#: well above and those between the grades below.
+#: well above and those between the grades below. Where fewer labelled rows have the best grade, their share is the limit,
+#: less SLACK of it for the fit's rounding: a text as good as the average labelled one is never dropped for few labels.
 LEAST_TAIL = 0.8
+SLACK = 0.01
 SLOTS = 1 << 18
 GRADES = 3
-#: Least z score of a slot's presence against a grade (one is added to the variance, so that rare slots don't pass by luck).
-LEAST_Z = 7.0
+#: Strengths of the prior to choose from by FOLDS-fold cross-validation, strongest first, and the prior variance of a slot
+#: that says nothing, as a share of one with z^2 = 2 (chance alone gives 1).
+STRENGTHS, FOLDS, FLOOR = (300.0, 100.0, 30.0, 10.0, 3.0, 1.0), 3, 0.01
 TOKEN, LETTERS = re.compile(WORD), re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -65,6 +70,7 @@ def features(text: str | None) -> np.ndarray:
 class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
+    base: float = 1.0  # share of the best grade among the rows of the fit
 
     def predict(self, rows: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and probability of the best grade of each row of slots."""
@@ -73,43 +79,94 @@ class OrdinalModel:
         return above.sum(axis=1), above[:, -1]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 1000, rate: float = 0.05, shrink: float = 1e-5) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty by Adam; the order of thresholds is kept by fitting the logs of their gaps."""
-    n, lens = len(rows), np.array([len(x) for x in rows])
-    flat = np.concatenate(rows)
-    of_row = np.repeat(np.arange(n), lens)
-    seen = np.bincount(flat, minlength=SLOTS)
-    z = np.zeros(SLOTS)
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 100, memory: int = 8, tol: float = 1e-6) -> np.ndarray:
+    """L-BFGS with step halving; f gives value and gradient."""
+    (v, g), pairs = f(x), []
+    for _ in range(steps):
+        d, back = -g, []
+        for s, y in reversed(pairs):
+            back.append((s @ d) / (s @ y))
+            d = d - back[-1] * y
+        d = d * ((pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(np.linalg.norm(g), 1))
+        for (s, y), a in zip(pairs, reversed(back), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        t, slope = 1.0, g @ d
+        while slope < 0 and t > 1e-8:
+            new = x + t * d
+            nv, ng = f(new)
+            if nv <= v + 1e-4 * t * slope:
+                break
+            t /= 2
+        else:
+            return x
+        if (new - x) @ (ng - g) > 1e-12 * ((ng - g) @ (ng - g)):
+            pairs = [*pairs, (new - x, ng - g)][-memory:]
+        done = v - nv < tol * abs(v)
+        x, v, g = new, nv, ng
+        if done:
+            break
+    return x
+
+
+def _models(rows: list[np.ndarray], grades: np.ndarray) -> Iterator[OrdinalModel]:
+    """Fits under the STRENGTHS in turn, each begun at the one before; the order of thresholds is kept by fitting the logs
+    of their gaps."""
+    n, of_row = len(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    slots, cols = np.unique(np.concatenate(rows), return_inverse=True)
+    k, seen, z2 = len(slots), np.bincount(cols), np.zeros(len(slots))
     for g in range(GRADES):
         share = (grades == g).mean()
         if 0 < share < 1:
-            hit = np.bincount(flat[grades[of_row] == g], minlength=SLOTS)
-            z = np.maximum(z, (np.abs(hit - seen * share) - 0.5) / np.sqrt(seen * share * (1 - share) + 1))
-    slots = np.flatnonzero((z > LEAST_Z) & (seen >= 5))
-    place = np.full(SLOTS, -1)
-    place[slots] = np.arange(len(slots))
-    use = place[flat] >= 0
-    cols, row_of = place[flat[use]], of_row[use]
+            hit = np.bincount(cols[grades[of_row] == g], minlength=k)
+            z2 = np.maximum(z2, (hit - seen * share) ** 2 / (seen * share * (1 - share) + 1))  # 1: rare slots don't stand out by luck
     share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
-    p = np.concatenate([np.zeros(len(slots)), [start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    k = len(slots)
-    for step in range(1, steps + 1):
-        t = np.concatenate([[-np.inf], p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))]), [np.inf]])
-        s = np.bincount(row_of, p[cols], minlength=n) if k else np.zeros(n)
-        up, lo = 1 / (1 + np.exp(-np.clip(t[grades + 1] - s, -50, 50))), 1 / (1 + np.exp(-np.clip(t[grades] - s, -50, 50)))
-        prob = np.maximum(up - lo, 1e-12)
-        du, dl = up * (1 - up) / prob, lo * (1 - lo) / prob
-        back = (du - dl) / n  # of the loss by the score
-        dt = np.array([(dl[grades == g + 1].sum() - du[grades == g].sum()) / n for g in range(GRADES - 1)])
-        gaps = np.exp(p[k + 1 :])
-        grad = np.concatenate([np.bincount(cols, back[row_of], minlength=k) + shrink * p[:k], [dt.sum()], [dt[j + 1 :].sum() * gaps[j] for j in range(len(gaps))]])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(SLOTS, np.float32)
-    weights[slots] = p[:k]
-    return OrdinalModel(weights, p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))]))
+    p = first = np.concatenate([np.zeros(k), [start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
+    wide = np.sqrt(FLOOR + np.maximum(z2 - 1, 0))  # p[:k] are weights by their prior's widths, which takes fewer steps
+    for strength in STRENGTHS:
+        narrow = np.concatenate([np.full(k, strength), np.full(GRADES - 1, 0.01)])
+
+        def loss(p: np.ndarray, narrow: np.ndarray = narrow) -> tuple[float, np.ndarray]:
+            gaps = np.exp(np.minimum(p[k + 1 :], 50))
+            t = np.concatenate([[-np.inf], p[k] + np.concatenate([[0], np.cumsum(gaps)]), [np.inf]])
+            s = np.bincount(of_row, (p[:k] * wide)[cols], minlength=n)
+            up, lo = _sigmoid(t[grades + 1] - s), _sigmoid(t[grades] - s)
+            prob = np.maximum(up - lo, 1e-12)
+            du, dl = up * (1 - up) / prob, lo * (1 - lo) / prob
+            dt = np.array([dl[grades == g + 1].sum() - du[grades == g].sum() for g in range(GRADES - 1)])
+            grad = np.concatenate([np.bincount(cols, (du - dl)[of_row], minlength=k) * wide, [dt.sum()], [dt[j + 1 :].sum() * gaps[j] for j in range(len(gaps))]])
+            return 0.5 * (narrow * (p - first) ** 2).sum() - np.log(prob).sum(), grad + narrow * (p - first)
+
+        p = _minimum(loss, p)
+        weights = np.zeros(SLOTS, np.float32)
+        weights[slots] = p[:k] * wide
+        yield OrdinalModel(weights, p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))]), float((grades == GRADES - 1).mean()))
+
+
+def _surprise(model: OrdinalModel, rows: list[np.ndarray], grades: np.ndarray) -> float:
+    """Minus the log-likelihood of rows."""
+    s, t = np.array([model.weights[x].sum() for x in rows], float), np.concatenate([[-np.inf], model.thresholds, [np.inf]])
+    return -float(np.log(np.maximum(_sigmoid(t[grades + 1] - s) - _sigmoid(t[grades] - s), 1e-12)).sum())
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
+    """Largest posterior under the prior whose strength predicts rows left out best (the strongest for a single row)."""
+    fold = np.random.default_rng(0).permutation(len(rows)) % FOLDS
+    folds = []
+    for f in range(FOLDS):
+        own, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        if len(own) and len(out):
+            folds.append((_models([rows[i] for i in own], grades[own]), [rows[i] for i in out], grades[out]))
+    found: list[float] = []
+    # the path ends where weaker priors only get worse
+    while folds and len(found) < len(STRENGTHS) and not (len(found) > 2 and min(found) < min(found[-2:])):
+        found.append(sum(_surprise(next(models), x, y) for models, x, y in folds))
+    best = int(np.argmin(found)) if found else 0
+    return next(itertools.islice(_models(rows, grades), best, None))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -146,13 +203,15 @@ def rating(docs: DataFrame, model: OrdinalModel | None, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_tail: float = LEAST_TAIL, sample: int = SAMPLE) -> DataFrame:
-    """docs with expected_grade, tail_probability and kept (tail_probability of at least least_tail).
+    """docs with expected_grade, tail_probability and kept (tail_probability of at least least_tail, or of the share of
+    the best grade among the labelled rows where that is less).
 
     Texts without words (null, empty) are not kept. Equal texts get equal ratings. Without any labelled row the ratings
     are null and every text with words is kept. An empty table gives an empty result; columns of the three names are
     replaced.
     """
     model = train(docs, labels, id_col, text_col, sample)
+    limit = min(least_tail, (1 - SLACK) * model.base) if model else least_tail
     rated = docs.withColumn("_r", rating(docs, model, F.col(text_col)))
     has_words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
-    return rated.withColumns({"expected_grade": F.col("_r.expected_grade"), "tail_probability": F.col("_r.tail_probability"), "kept": has_words & F.coalesce(F.col("_r.tail_probability") >= least_tail, F.lit(True))}).drop("_r")
+    return rated.withColumns({"expected_grade": F.col("_r.expected_grade"), "tail_probability": F.col("_r.tail_probability"), "kept": has_words & F.coalesce(F.col("_r.tail_probability") >= limit, F.lit(True))}).drop("_r")
