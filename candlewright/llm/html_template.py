@@ -6,8 +6,8 @@ count): two tokens have the same vector exactly if the sums agree. Tokens of one
 an equivalence class. On each page a class is valid if its tokens come in the class's order; valid classes nest into the
 host's template, whose literal text is boilerplate, and what lies between its tags are the slots.
 
-The main slots are those within the article; on pages without an article or main element, all that are not template text
-and not mainly links. Regions that elements, classes, ids or roles mark as menus, headers, footers, sidebars, notices,
+The main slots are those that are not template text; an article or main element is a hint, so that where such slots lie
+in one, only those in them count, and elsewhere those that are not mainly links. Regions that elements, classes, ids or roles mark as menus, headers, footers, sidebars, notices,
 adverts, forms or comments never are main slots.
 
 Vectors are sums, so no task ever holds a host's pages, and a host of any size is only partial sums.
@@ -157,14 +157,8 @@ def main_text(tokens: list[tuple[int, str, str, bool, int, float]], template: di
     """Text of the main slots, blocks joined by one space."""
     literal = valid_template(tokens, template)
     blocks = [t for t in tokens if t[1] == "text" and not t[3]]
-    sizes: Counter[int] = Counter()
-    for t in blocks:
-        if t[4]:
-            sizes[t[4]] += len(t[2])
-    if sizes:
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        return " ".join(t[2] for t in blocks if t[4] == best)
-    return " ".join(t[2] for t in blocks if t[0] not in literal and t[5] < 0.5)
+    slots = [t for t in blocks if t[0] not in literal]
+    return " ".join(t[2] for t in [t for t in slots if t[4]] or [t for t in slots if t[5] < 0.5])
 
 
 def host_of(url: Column) -> Column:

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from conftest import SMALL
 
-from candlewright.llm import quality_classifier, registry
+from candlewright.llm import html_template, quality_classifier, registry
 
 
 def labelled(sf):
@@ -41,3 +41,9 @@ def test_every_stage_of_the_pipeline_keeps_and_drops_rows(spark):
         docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), f"whole-{name}")
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > 0, sizes
+
+
+def test_the_template_decides_within_articles(spark):
+    row = lambda i: (i, f"http://h.org/{i}", f"<body><article><p>Share this story</p><p>Story {i} is long</p></article><article><p>Second part {i}</p><p>Reprints on request</p></article></body>")
+    pages = spark.createDataFrame([row(i) for i in range(6)], "page_id int, url string, html string")
+    assert {r.page_id: r.text for r in html_template.extract(pages).collect()} == {i: f"Story {i} is long Second part {i}" for i in range(6)}
