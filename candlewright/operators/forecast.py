@@ -1,7 +1,8 @@
 """Forecasts of many series: a baseline in SQL, and order-selected ARIMA models, one (series, order) a task row.
 
 The solver is conditional sum of squares with numpy; AIC = n ln(s2) + 2k over one common sample of a series, so orders
-compare. Histories are cut to their last MAX_ROWS rows first, which bounds what a task holds.
+compare. Fits read the whole
+series, one float array a task, unless max_rows cuts it to its last rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .stats import best_model
 
-MAX_ROWS = 1500
 #: (p, q) without (0, 0), and the seasonal grid (p, d, q, P, D, Q): fixed values.
 ORDERS = [(p, q) for p in range(4) for q in range(4) if (p, q) != (0, 0)]
 SEASONAL = list(itertools.product((0, 1), repeat=6))
@@ -43,7 +43,10 @@ def baseline_forecast(candles: DataFrame, period: int, keys: Sequence[str] = ("n
     return rows.groupBy(*keys).agg(F.avg("price").alias("forecast_price"))
 
 
-def recent(rows: DataFrame, keys: Sequence[str] = ("name",), time: str = "begin", max_rows: int = MAX_ROWS) -> DataFrame:
+def recent(rows: DataFrame, keys: Sequence[str] = ("name",), time: str = "begin", max_rows: int | None = None) -> DataFrame:
+    """The last max_rows rows of each series; all without max_rows."""
+    if max_rows is None:
+        return rows
     last = Window.partitionBy(*keys).orderBy(F.col(time).desc())
     return rows.withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= max_rows).drop("_rn")
 
@@ -223,7 +226,7 @@ def predict_arima(x: np.ndarray, fit: dict, order: tuple[int, int, int], steps:
 FitPredict = Callable[[np.ndarray, dict, int], np.ndarray]
 
 
-def stationarity(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def stationarity(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     """For each series (name, begin, price): ADF report of its first difference, and differencing orders."""
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -237,7 +240,7 @@ def stationarity(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return recent(rows, max_rows=max_rows).groupBy("name").applyInPandas(report, "name string, adf double, p_value double, critical_1 double, critical_5 double, critical_10 double, d int, ndiffs int")
 
 
-def order_fits(rows: DataFrame, period: int, max_rows: int = MAX_ROWS, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS) -> DataFrame:
+def order_fits(rows: DataFrame, period: int, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS) -> DataFrame:
     """One row for each series and order of the grid: grid_index, aic (null if the fit failed) and the forecast path.
 
     Every order of a series is a group of its own, so orders of one series run in parallel.
@@ -262,7 +265,7 @@ def order_fits(rows: DataFrame, period: int, max_rows: int = MAX_ROWS, seasonal:
     return spread.groupBy("name", "grid_index").applyInPandas(fit, "name string, grid_index int, `order` string, aic double, path array<double>")
 
 
-def auto_forecast(candles: DataFrame, period: int, max_rows: int = MAX_ROWS, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS) -> DataFrame:
+def auto_forecast(candles: DataFrame, period: int, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS) -> DataFrame:
     """forecast_price, model, order and path of each series: the last step of the order with the smallest AIC, or the
     baseline if no order could be fitted."""
     if period <= 0:
@@ -274,7 +277,7 @@ def auto_forecast(candles: DataFrame, period: int, max_rows: int = MAX_ROWS, sea
     return out.select("name", F.coalesce(F.element_at("path", -1), "_base").alias("forecast_price"), F.when(F.col("path").isNull(), "baseline").otherwise("arima").alias("model"), "order", "path")
 
 
-def walk_forward(rows: DataFrame, order: tuple[int, int, int] = (1, 1, 1), test_share: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+def walk_forward(rows: DataFrame, order: tuple[int, int, int] = (1, 1, 1), test_share: float = 0.3, max_rows: int | None = None) -> DataFrame:
     """One-step forecasts over each series' test part, with 95% limits; parameters are fixed on the train part."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -292,7 +295,7 @@ def walk_forward(rows: DataFrame, order: tuple[int, int, int] = (1, 1, 1), test_
     return recent(rows, max_rows=max_rows).groupBy("name").applyInPandas(walk, "name string, step int, y double, yhat double, lo double, hi double")
 
 
-def forecast_requests(requests: DataFrame, candles: DataFrame, period: int = 7, max_rows: int = MAX_ROWS) -> DataFrame:
+def forecast_requests(requests: DataFrame, candles: DataFrame, period: int = 7, max_rows: int | None = None) -> DataFrame:
     """Responses of request rows (request_id, isin, interval, forecast_period): each distinct isin is fitted once.
 
     Unknown intervals and isins without candles fail with an error text; all others complete.

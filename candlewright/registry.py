@@ -299,8 +299,6 @@ add("price_choice", lambda s, d: forecast.prices(A.gappy_bars(s, d).withColumn("
     f"SELECT name, {txs()}, CASE WHEN name = 'click' THEN open ELSE close END AS price FROM gappy WHERE CASE WHEN name = 'click' THEN open ELSE close END IS NOT NULL", "bars", "gappy")
 add("baseline_forecast", lambda s, d: forecast.baseline_forecast(A.gappy_bars(s, d), 7).select("name", r("forecast_price").alias("forecast_price")),
     f"WITH n AS (SELECT name, close, row_number() OVER (PARTITION BY name ORDER BY begin DESC) AS k FROM gappy WHERE close IS NOT NULL), m AS (SELECT name, avg(close) AS p FROM n WHERE k <= 7 GROUP BY name) SELECT name, {rs('p')} AS forecast_price FROM m", "bars", "gappy")
-#: Rows of history that the registered model queries fit on.
-HISTORY = 300
 
 
 def _prices(s, d):
@@ -309,16 +307,16 @@ def _prices(s, d):
 
 add("adf_report", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "adf", "p_value", "critical_1", "critical_5", "critical_10"))
 add("diff_order", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "d", "ndiffs"))
-add("arima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, HISTORY))
-add("arima_stepwise_bound", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, HISTORY, orders=[(p, q) for p in range(6) for q in range(6) if p + q]))
-add("sarima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 30, 150, seasonal=True).select("name", "model", "order", F.posexplode("path").alias("step", "yhat")))
-add("walk_forward", lambda s, d: forecast.walk_forward(_prices(s, d), max_rows=HISTORY))
+add("arima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7))
+add("arima_stepwise_bound", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, orders=[(p, q) for p in range(6) for q in range(6) if p + q]))
+add("sarima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 30, seasonal=True).select("name", "model", "order", F.posexplode("path").alias("step", "yhat")))
+add("walk_forward", lambda s, d: forecast.walk_forward(_prices(s, d)))
 
 
 def forecast_requests(spark, d):
     q = A.request_messages(spark, d).withColumn("interval", S.time_frame_interval(F.when(F.col("request_id") % 13 != 0, F.col("time_frame")).otherwise(F.lit("2x"))))
     named = q.withColumn("isin", F.get(F.array(*map(F.lit, ("click", "view", "purchase", "none"))), (F.col("request_id") % 4).cast("int")))
-    return forecast.forecast_requests(named, A.bars_from_events(spark, d), 7, HISTORY)
+    return forecast.forecast_requests(named, A.bars_from_events(spark, d), 7)
 
 
 add("forecast_requests", forecast_requests)
