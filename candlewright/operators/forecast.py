@@ -240,15 +240,16 @@ def stationarity(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     return recent(rows, max_rows=max_rows).groupBy("name").applyInPandas(report, "name string, adf double, p_value double, critical_1 double, critical_5 double, critical_10 double, d int, ndiffs int")
 
 
-def order_fits(rows: DataFrame, period: int, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS) -> DataFrame:
+def order_fits(rows: DataFrame, period: int | None, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS) -> DataFrame:
     """One row for each series and order of the grid: grid_index, aic (null if the fit failed) and the forecast path.
 
-    Every order of a series is a group of its own, so orders of one series run in parallel.
+    Every order of a series is a group of its own, so orders of one series run in parallel. Without a period, a series has
+    its number of steps in a column `steps`.
     """
     grid = SEASONAL if seasonal else list(orders)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["grid_index"].iloc[0])
+        k, steps = int(pdf["grid_index"].iloc[0]), int(pdf["steps"].iloc[0]) if period is None else period
         x = pdf.sort_values("begin")["price"].to_numpy(float)
         if seasonal:
             p, d, q, sp, sd, sq = grid[k]
@@ -257,7 +258,7 @@ def order_fits(rows: DataFrame, period: int, max_rows: int | None = None, season
             d = difference_order(x)
             order, season, skip = (grid[k][0], d, grid[k][1]), (0, 0, 0), d + max(max(g) for g in grid)
         got = fit_arima(x, order, season, skip=skip) if len(x) >= 4 else None
-        path = predict_arima(x, got, order, period, season) if got and period > 0 else np.zeros(0)
+        path = predict_arima(x, got, order, steps, season) if got and steps > 0 else np.zeros(0)
         ok = got is not None and np.isfinite(path).all()
         return pd.DataFrame({"name": [pdf["name"].iloc[0]], "grid_index": [k], "order": [str((*order, *season) if seasonal else order)], "aic": [got["aic"] if ok else None], "path": [list(path) if ok else []]})
 
@@ -295,16 +296,27 @@ def walk_forward(rows: DataFrame, order: tuple[int, int, int] = (1, 1, 1), test_
     return recent(rows, max_rows=max_rows).groupBy("name").applyInPandas(walk, "name string, step int, y double, yhat double, lo double, hi double")
 
 
-def forecast_requests(requests: DataFrame, candles: DataFrame, period: int = 7, max_rows: int | None = None) -> DataFrame:
-    """Responses of request rows (request_id, isin, interval, forecast_period): each distinct isin is fitted once.
+def forecast_requests(requests: DataFrame, candles: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Responses of request rows (request_id, isin, interval, forecast_period): each distinct (isin, interval) is fitted once,
+    on candles of that interval, for as many steps as its longest request asks for.
 
-    Unknown intervals and isins without candles fail with an error text; all others complete.
+    Candles without an interval column are of one interval, which is not known, and serve all. Unknown intervals and keys
+    without candles fail with an error text; all others complete. A null forecast_period counts as 1.
     """
-    wanted = requests.filter(F.col("interval").isNotNull()).select(F.col("isin").alias("name")).distinct()
-    fits = auto_forecast(candles.join(wanted, "name", "left_semi"), period, max_rows)
-    steps = fits.select(F.col("name").alias("isin"), "model", "path", "forecast_price")
-    out = requests.join(steps, "isin", "left")
-    n = F.least(F.greatest("forecast_period", F.lit(1)), F.lit(period))
-    price = F.coalesce(F.try_element_at("path", n), "forecast_price")
+    keys = ["isin", "interval"]
+    asked = requests.withColumn("_n", F.greatest("forecast_period", F.lit(1)))
+    wanted = asked.filter(F.col("interval").isNotNull()).groupBy(*keys).agg(F.max("_n").alias("steps"))
+    wanted = wanted.withColumn("_key", F.concat_ws("|", F.col("interval").cast("string"), "isin"))
+    of = candles.withColumnRenamed("name", "isin")
+    rows = of.join(wanted, keys if "interval" in candles.columns else "isin").select(F.col("_key").alias("name"), "steps", "begin", "open", "close")
+    series = prices(rows, ("name", "steps"))
+    fits = order_fits(series, None, max_rows)
+    paths = best_model(fits).join(fits.drop("aic"), ["name", "grid_index"]).select(F.col("name").alias("_key"), "path")
+    last = Window.partitionBy("name").orderBy(F.col("begin").desc())
+    back = series.select(F.col("name").alias("_key"), F.row_number().over(last).alias("_rn"), F.avg("price").over(last.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"), "steps").filter("_rn <= steps").drop("steps")
+    lengths = back.groupBy("_key").agg(F.max("_rn").alias("_most"))
+    out = asked.join(wanted.select(*keys, "_key"), keys, "left").join(lengths, "_key", "left").withColumn("_rn", F.least("_n", "_most"))
+    out = out.join(back, ["_key", "_rn"], "left").join(paths, "_key", "left").withColumn("model", F.when(F.col("path").isNotNull(), "arima").when(F.col("_base").isNotNull(), "baseline"))
+    price = F.coalesce(F.try_element_at("path", F.col("_n").cast("int")), "_base")
     error = F.when(F.col("interval").isNull(), "unsupported time frame").when(F.col("model").isNull(), "no candles").when(F.col("forecast_period") <= 0, "period must be positive")
     return out.withColumn("error", error).select("request_id", "isin", "forecast_period", F.when(F.col("error").isNull(), price).alias("forecast_price"), F.when(F.col("error").isNull(), F.col("model")).alias("model"), F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error")

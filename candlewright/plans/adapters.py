@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bars(rows: DataFrame, tie: list[str]) -> DataFrame:
+def _bars(rows: DataFrame, tie: list[str], *keys: str) -> DataFrame:
     at = F.struct(*tie)
-    return rows.groupBy("name", "begin").agg(F.min_by("price", at).alias("open"), F.max_by("price", at).alias("close"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("amount").alias("volume"))
+    return rows.groupBy("name", *keys, "begin").agg(F.min_by("price", at).alias("open"), F.max_by("price", at).alias("close"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("amount").alias("volume"))
 
 
 def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,16 @@ def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(e, ["ts", "event_id"])
 
 
+def bars_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of each event type for every interval that a time frame can name."""
+    from ..functions.scalars import time_frame_interval
+
+    at = {"1m": F.date_trunc("minute", "ts"), "10m": F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600) * 600), "1h": F.date_trunc("hour", "ts"), "1d": F.date_trunc("day", "ts"), "1w": F.date_trunc("week", "ts"), "1mo": F.date_trunc("month", "ts"), "1q": F.date_trunc("quarter", "ts")}
+    begins = F.array(*(F.struct(time_frame_interval(F.lit(k)).alias("interval"), v.cast("timestamp").alias("begin")) for k, v in at.items()))
+    e = table(spark, sf_dir, "events").select(F.explode(begins).alias("b"), F.col("event_type").alias("name"), F.col("value").alias("price"), F.lit(1.0).alias("amount"), "ts", "event_id")
+    return _bars(e.select("b.*", "name", "price", "amount", "ts", "event_id"), ["ts", "event_id"], "interval")
+
+
 def bars_from_lineitem(spark: SparkSession, sf_dir: str, name: str = "l_suppkey") -> DataFrame:
     """Daily bars of each supplier (or of another column)."""
     i = table(spark, sf_dir, "lineitem").withColumns({"name": F.col(name).cast("string"), "begin": F.col("l_shipdate").cast("timestamp"), "price": F.col("l_extendedprice") / F.col("l_quantity"), "amount": F.col("l_quantity")})

@@ -316,7 +316,7 @@ add("walk_forward", lambda s, d: forecast.walk_forward(_prices(s, d)))
 def forecast_requests(spark, d):
     q = A.request_messages(spark, d).withColumn("interval", S.time_frame_interval(F.when(F.col("request_id") % 13 != 0, F.col("time_frame")).otherwise(F.lit("2x"))))
     named = q.withColumn("isin", F.get(F.array(*map(F.lit, ("click", "view", "purchase", "none"))), (F.col("request_id") % 4).cast("int")))
-    return forecast.forecast_requests(named, A.bars_from_events(spark, d), 7)
+    return forecast.forecast_requests(named, A.bars_by_interval(spark, d))
 
 
 add("forecast_requests", forecast_requests)

@@ -98,9 +98,9 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def forecast_worker(candles: DataFrame, period: int = 7, max_rows: int | None = None) -> Callable[[DataFrame], DataFrame]:
+def forecast_worker(candles: DataFrame, max_rows: int | None = None) -> Callable[[DataFrame], DataFrame]:
     """Work for each_batch: one response for every request; a key is fitted once a batch."""
-    return lambda batch: forecast.forecast_requests(batch.withColumn("interval", time_frame_interval(F.col("time_frame"))), candles, period, max_rows)
+    return lambda batch: forecast.forecast_requests(batch.withColumn("interval", time_frame_interval(F.col("time_frame"))), candles, max_rows)
 
 
 def history_updater(spark: SparkSession, table: str) -> Callable[[DataFrame, int], None]:

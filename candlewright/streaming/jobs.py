@@ -93,7 +93,7 @@ def stream_forecasts(spark: SparkSession, d: str) -> DataFrame:
     path = _files(q.select("request_id", "isin", "time_frame", "forecast_period", "ts"))
     rows = _messages(spark, path, "request_id bigint, isin string, time_frame string, forecast_period int, ts timestamp", 2)
     where = _folder(spark)
-    _drain(flows.each_batch(rows, flows.forecast_worker(A.bars_from_events(spark, d), 3), f"{where}/out", f"{where}/checkpoint"))
+    _drain(flows.each_batch(rows, flows.forecast_worker(A.bars_by_interval(spark, d)), f"{where}/out", f"{where}/checkpoint"))
     return spark.read.parquet(f"{where}/out").drop("batch")
 
 

@@ -21,3 +21,15 @@ def test_fits_read_the_whole_series(spark):
     rows = spark.createDataFrame(pd.DataFrame({"name": "a", "begin": pd.date_range("2024-01-01", periods=2000, freq="h"), "price": x}))
     assert forecast.stationarity(rows).first().adf == forecast.adf(np.diff(x))[0]
     assert forecast.walk_forward(rows).count() == 600
+
+
+def test_requests_get_their_own_interval_and_period(spark):
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)
+    rows = [("a", 60, at(i), 1.0, float(i + (i % 3))) for i in range(60)] + [("a", 24, at(24 * i), 1.0, 500.0 - i - (i % 3)) for i in range(60)] + [("b", 24, at(24 * i), 1.0, float(i)) for i in range(3)]
+    bars = spark.createDataFrame(rows, "name string, interval int, begin timestamp, open double, close double")
+    asked = spark.createDataFrame([(1, "a", 60, 30), (2, "a", 24, 30), (3, "a", 7, 1), (4, "a", 60, 1), (5, "b", 24, 2), (6, "b", 24, 9)], "request_id int, isin string, interval int, forecast_period int")
+    got = {r.request_id: r for r in forecast.forecast_requests(asked, bars).collect()}
+    hours, days = (forecast.auto_forecast(bars.filter(f"name = 'a' AND interval = {k}"), 30).first().path for k in (60, 24))
+    assert [got[i].forecast_price for i in (1, 2, 4)] == pytest.approx([hours[29], days[29], hours[0]]) and got[2].forecast_price > got[1].forecast_price + 100
+    assert (got[3].status, got[3].error) == ("failed", "no candles")
+    assert [(got[i].model, got[i].forecast_price) for i in (5, 6)] == [("baseline", 1.5), ("baseline", 1.0)]
