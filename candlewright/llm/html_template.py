@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>?|<[!?][^>]*>?|[^<]+|<", re.S)
-NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|</?[a-zA-Z][a-zA-Z0-9:-]*(?=[\s/>]|\Z)(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^<>])*+(?:>|\Z)|<[!?][^>]*>?|[^<]+|<", re.S)
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""\shidden(?=[\s/>=])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: Elements whose content is not parsed.
 RAW = frozenset(("script", "style", "noscript", "textarea", "title", "xmp", "iframe", "template"))
+CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset(
     ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
@@ -82,13 +83,9 @@ def parse(page: str | None) -> list[tuple[int, str, str, bool, int, float]]:
             out.append((_hash(f"{path}\n{text}"), "text", text, dropped, content, linked / len(text)))
         linked = 0
 
-    skip = None
-    for m in PIECE.finditer(page or ""):
-        piece = m.group()
-        if skip:
-            if piece[:2] == "</" and (n := NAME.match(piece)) and n[1].lower() == skip:
-                skip = None
-            continue
+    page, at_char = page or "", 0
+    while m := PIECE.match(page, at_char):
+        piece, at_char = m.group(), m.end()
         if piece[0] != "<" or len(piece) == 1:
             text = entities.unescape(piece)
             held.append(text)
@@ -124,7 +121,8 @@ def parse(page: str | None) -> list[tuple[int, str, str, bool, int, float]]:
             out.append((_hash(own), "tag", name, dropped, content, 0.0))
         if name in RAW:
             if not piece.endswith("/>"):
-                skip = name
+                close = CLOSE[name].search(page, at_char)
+                at_char = close.end() if close else len(page)
             continue
         if name in VOID or piece.endswith("/>"):
             continue

@@ -47,3 +47,10 @@ def test_the_template_decides_within_articles(spark):
     row = lambda i: (i, f"http://h.org/{i}", f"<body><article><p>Share this story</p><p>Story {i} is long</p></article><article><p>Second part {i}</p><p>Reprints on request</p></article></body>")
     pages = spark.createDataFrame([row(i) for i in range(6)], "page_id int, url string, html string")
     assert {r.page_id: r.text for r in html_template.extract(pages).collect()} == {i: f"Story {i} is long Second part {i}" for i in range(6)}
+
+
+def test_a_bare_less_than_sign_swallows_no_text():
+    text = lambda page: html_template.main_text(html_template.parse(page), {})
+    assert text("<script>for(i=0;i<n;i++){f(i)}</script><article><p>One</p></article><script>g()</SCRIPT ><p>Two") == "One"
+    assert text("<style>a<b{}</style><p>if x<y always</p><p>then <a@b.org> a<b> c</p>") == "if x<y always then <a@b.org> a c"
+    assert text("<p>One</p><p title='a<b>c' class=it's>Two</p><script>lost") == "One Two"
