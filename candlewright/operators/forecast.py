@@ -240,7 +240,7 @@ def stationarity(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     return recent(rows, max_rows=max_rows).groupBy("name").applyInPandas(report, "name string, adf double, p_value double, critical_1 double, critical_5 double, critical_10 double, d int, ndiffs int")
 
 
-def order_fits(rows: DataFrame, period: int | None, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS) -> DataFrame:
+def order_fits(rows: DataFrame, period: int | None, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS, differences: Callable[[np.ndarray], int] = difference_order) -> DataFrame:
     """One row for each series and order of the grid: grid_index, aic (null if the fit failed) and the forecast path.
 
     Every order of a series is a group of its own, so orders of one series run in parallel. Without a period, a series has
@@ -255,7 +255,7 @@ def order_fits(rows: DataFrame, period: int | None, max_rows: int | None = None,
             p, d, q, sp, sd, sq = grid[k]
             order, season, skip = (p, d, q), (sp, sd, sq), 2 * PERIOD + 2
         else:
-            d = difference_order(x)
+            d = differences(x)
             order, season, skip = (grid[k][0], d, grid[k][1]), (0, 0, 0), d + max(max(g) for g in grid)
         got = fit_arima(x, order, season, skip=skip) if len(x) >= 4 else None
         path = predict_arima(x, got, order, steps, season) if got and steps > 0 else np.zeros(0)
@@ -266,12 +266,12 @@ def order_fits(rows: DataFrame, period: int | None, max_rows: int | None = None,
     return spread.groupBy("name", "grid_index").applyInPandas(fit, "name string, grid_index int, `order` string, aic double, path array<double>")
 
 
-def auto_forecast(candles: DataFrame, period: int, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS) -> DataFrame:
+def auto_forecast(candles: DataFrame, period: int, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS, differences: Callable[[np.ndarray], int] = difference_order) -> DataFrame:
     """forecast_price, model, order and path of each series: the last step of the order with the smallest AIC, or the
     baseline if no order could be fitted."""
     if period <= 0:
         raise ValueError("the forecast period must be positive")
-    fits = order_fits(prices(candles), period, max_rows, seasonal, orders)
+    fits = order_fits(prices(candles), period, max_rows, seasonal, orders, differences)
     best = best_model(fits).join(fits.drop("aic"), ["name", "grid_index"])
     base = baseline_forecast(candles, period).withColumnRenamed("forecast_price", "_base")
     out = base.join(best, "name", "left")

@@ -305,10 +305,12 @@ def _prices(s, d):
     return forecast.prices(A.bars_from_events(s, d))
 
 
+#: The orders that the stepwise search chooses from.
+STEPWISE = [(p, q) for p in range(11) for q in range(11) if p + q]
 add("adf_report", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "adf", "p_value", "critical_1", "critical_5", "critical_10"))
 add("diff_order", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "d", "ndiffs"))
 add("arima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7))
-add("arima_stepwise_bound", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, orders=[(p, q) for p in range(6) for q in range(6) if p + q]))
+add("arima_stepwise_bound", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, orders=STEPWISE, differences=forecast.ndiffs))
 add("sarima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 30, seasonal=True).select("name", "model", "order", F.posexplode("path").alias("step", "yhat")))
 add("walk_forward", lambda s, d: forecast.walk_forward(_prices(s, d)))
 

@@ -33,3 +33,13 @@ def test_requests_get_their_own_interval_and_period(spark):
     assert [got[i].forecast_price for i in (1, 2, 4)] == pytest.approx([hours[29], days[29], hours[0]]) and got[2].forecast_price > got[1].forecast_price + 100
     assert (got[3].status, got[3].error) == ("failed", "no candles")
     assert [(got[i].model, got[i].forecast_price) for i in (5, 6)] == [("baseline", 1.5), ("baseline", 1.0)]
+
+
+def test_the_stepwise_grid_reaches_order_ten_and_both_tests_choose_d(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(forecast, "auto_forecast", lambda *a, **k: seen.update(k) or a[0])
+    registry.QUERIES["arima_stepwise_bound"](spark, SMALL)
+    assert set(seen["orders"]) == {(p, q) for p in range(11) for q in range(11)} - {(0, 0)}
+    rows = spark.createDataFrame(pd.DataFrame({"name": "a", "begin": pd.date_range("2024-01-01", periods=80, freq="h"), "price": np.random.default_rng(1).normal(size=80)}))
+    fits = forecast.order_fits(rows, 1, orders=[(1, 0)], differences=lambda x: 2)
+    assert seen["differences"] is forecast.ndiffs and fits.select(F.col("order")).first()[0].startswith("(1, 2, 0")
