@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -32,9 +33,12 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local run gets a new one
+    and a cluster is refused: its executors would write to disks that nobody else sees."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
