@@ -10,22 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import host_of, join_spread, materialize, own_prefix, with_results
 
 #: Share of a host's pages above which a line is boilerplate, and least pages of a host to judge by.
 RATIO, LEAST_PAGES = 0.2, 5
 #: Up to so many boilerplate lines in all, they are broadcast (8 bytes each); beyond, they are joined by host.
 BROADCAST_LINES = 500_000
+#: Up to so many hosts, their page totals are broadcast (about 40 bytes each); beyond, they are joined by shuffle.
+BROADCAST_HOSTS = 200_000
 UNSEEN = r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>"
 BREAKS = r"(?i)\s*</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|form|blockquote|pre|hr|body|html)\b[^>]*>\s*"
 TAG = r"<[^>]*>"
 
 
-def host_of(url: Column) -> Column:
-    """Host of a URL, lower-cased; empty for null or without ://."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
-
-
 def html_lines(html: Column) -> Column:
     """The page's lines: text between block tags, without other tags, scripts, styles and comments."""
     seen = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "")
@@ -37,13 +34,15 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
 
 
-def site_lines(pages: DataFrame, host_col: str, lines_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, bad): hashes of each host's boilerplate lines. The page total of a host rides along as the line hash null."""
-    hashes = F.array_distinct(F.transform(lines_col, lambda x: F.xxhash64(x)))
+def site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, bad): hashes of each host's boilerplate lines, for pages (host, lines). The page total of a host rides along as
+    the line hash null. A host's lines lie in as many tasks as they need; its total goes to each."""
+    hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
     keys = F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashes))
-    counts = materialize(pages.select(F.col(host_col).alias("host"), keys.alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")), "line-counts")
+    counts = materialize(pages.select("host", keys.alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")), "line-counts")
     totals = counts.filter(F.col("line").isNull() & (F.col("n") >= least_pages)).select("host", F.col("n").alias("total"))
-    bad = counts.filter(F.col("line").isNotNull()).join(totals, "host").filter(F.col("n") > ratio * F.col("total"))
+    lines = counts.filter(F.col("line").isNotNull())
+    bad = join_spread(lines, totals, "host", "line", BROADCAST_HOSTS).filter(F.col("n") > ratio * F.col("total"))
     return materialize(bad.groupBy("host").agg(F.collect_list("line").alias("bad")), "site-lines")
 
 
@@ -52,18 +51,20 @@ def drop_site_lines(pages: DataFrame, text: Column, host: Column, ratio: float =
 
     A line is dropped from every page of its host if more than `ratio` of the host's pages hold it and the host has at
     least `least_pages` pages; repeated rows are pages of their own, and a line that comes twice in a page counts once.
-    Null texts have no lines, pages with a null or odd URL form one site, and an empty table gives an empty result.
-    Columns named host, text, n_lines and n_dropped are replaced.
+    Null texts have no lines, pages with a null or odd URL form one site, and an empty table gives an empty result. Very
+    long texts are cut into lines whole. Columns of the four names, in whatever case, are replaced; all others stay,
+    whatever their names.
     """
-    rows = pages.withColumns({"_lines": lines_of(text), "_host": F.coalesce(host, F.lit(""))})
-    bad = site_lines(rows, "_host", "_lines", ratio, least_pages).withColumnsRenamed({"host": "_host", "bad": "_bad"})
-    few = (bad.agg(F.sum(F.size("_bad"))).first()[0] or 0) <= BROADCAST_LINES
-    rows = rows.join(F.broadcast(bad) if few else bad, "_host", "left")
-    stay = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_bad"), F.xxhash64(x))))
-    rows = rows.withColumn("_stay", stay)
-    return rows.withColumns(
-        {"host": F.col("_host"), "text": F.array_join("_stay", "\n"), "n_lines": F.size("_lines").cast("bigint"), "n_dropped": (F.size("_lines") - F.size("_stay")).cast("bigint")}
-    ).drop("_lines", "_host", "_bad", "_stay")
+    own = own_prefix(pages)
+    site, lines, bad_lines, stay = (f"{own}{c}" for c in ("host", "lines", "bad", "stay"))
+    rows = pages.withColumns({lines: lines_of(text), site: F.coalesce(host, F.lit(""))})
+    bad = site_lines(rows.select(F.col(site).alias("host"), F.col(lines).alias("lines")), ratio, least_pages).withColumnsRenamed({"host": site, "bad": bad_lines})
+    few = (bad.agg(F.sum(F.size(bad_lines))).first()[0] or 0) <= BROADCAST_LINES
+    rows = rows.join(F.broadcast(bad) if few else bad, site, "left")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(bad_lines), F.xxhash64(x)))
+    rows = rows.withColumn(stay, F.when(F.col(bad_lines).isNull(), F.col(lines)).otherwise(kept))
+    n_lines = F.size(lines).cast("bigint")
+    return with_results(rows, own, {"host": F.col(site), "text": F.array_join(stay, "\n"), "n_lines": n_lines, "n_dropped": n_lines - F.size(stay)})
 
 
 #: The same in DuckDB, for the pages table.

@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, materialize, words
+from .common import WHITE, join_spread, let, materialize, own_prefix, with_results, words
 
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[#*$%&|<>]+", r"""[.,;:!?"'()-]+""")
 SYMBOLS = "#*$%&|<>"
 #: A word is common in a language if it makes up so much of its words: at most 500 words are.
 COMMON = 0.002
-#: A language has references of its own if it makes up so much of all words: at most 1000 languages do.
-OWN = 0.001
-ALL = "(all)"
+#: A language has references of its own from so many words on, however many other languages there are.
+OWN_WORDS = 2_000
+#: Up to so many languages, their references are broadcast (500 words or 15 KB each at most); beyond, they are joined by
+#: shuffle, large languages dealt to many tasks.
+BROADCAST_LANGUAGES = 1_000
 #: Up to so many common words in all languages, texts are sifted by one hash set of them.
 VOCABULARY = 5_000
 #: Largest squared distances, and the least code points and words from which they count.
@@ -41,28 +43,27 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(ref, classes, words, shares): shares of the character classes and of the common words in each language.
-
-    Languages with under OWN of all words are judged by the row ALL, the mean of all languages weighted by their words.
-    """
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """Shares of the character classes and of the common words: (ref, classes, words, shares) of each language with OWN_WORDS
+    or more, and one row (classes, words, shares) of all languages together, by which the others are judged."""
     lang = F.coalesce(F.col(lang_col), F.lit("")).alias("ref")
     sums = docs.select(lang, let(_bare(F.col(text_col)), _classes).alias("c"), F.size(words(F.col(text_col))).alias("n"))
     sums = sums.groupBy("ref").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("c")[i]) for i in range(len(CLASSES) + 1))).alias("c"))
     sums = materialize(sums, "language-sums")
     counts = docs.select(lang, F.explode(words(F.col(text_col))).alias("word")).groupBy("ref", "word").agg(F.count("*").alias("k"))
-    common = counts.join(sums.select("ref", "n"), "ref").filter(F.col("k") >= COMMON * F.col("n"))
-    common = materialize(common, "common-words")
+    counts = materialize(counts, "language-words")
     total = sums.agg(F.sum("n")).first()[0] or 0
     share = lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v), F.lit(1)))
-    own = sums.filter(F.col("n") >= OWN * total).select("ref", share(F.col("c")).alias("classes"))
-    every = sums.agg(F.array(*(F.coalesce(F.sum(F.col("c")[i]), F.lit(0)) for i in range(len(CLASSES) + 1))).alias("c")).select(F.lit(ALL).alias("ref"), share(F.col("c")).alias("classes"))
-    by_word = common.select("ref", "word", (F.col("k") / F.col("n")).alias("q"))
-    mean = common.groupBy("word").agg((F.sum("k") / F.lit(max(total, 1))).alias("q")).filter(F.col("q") >= COMMON).select(F.lit(ALL).alias("ref"), "word", "q")
-    listed = by_word.join(own.select("ref"), "ref", "left_semi").union(mean).groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("word", "q"))).alias("w"))
+    own = sums.filter(F.col("n") >= OWN_WORDS)
+    common = join_spread(counts, own.select("ref", "n"), "ref", "word", BROADCAST_LANGUAGES).filter(F.col("k") >= COMMON * F.col("n"))
+    listed = common.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("k") / F.col("n")).alias("q")))).alias("w"))
     none = F.array().cast("array<struct<word:string,q:double>>")
-    refs = own.filter(F.col("ref") != ALL).union(every).join(listed, "ref", "left").withColumn("w", F.coalesce("w", none))
-    return materialize(refs.select("ref", "classes", F.col("w.word").alias("words"), F.col("w.q").alias("shares")), "references")
+    by_lang = own.select("ref", share(F.col("c")).alias("classes")).join(listed, "ref", "left").withColumn("w", F.coalesce("w", none))
+    mean = counts.groupBy("word").agg((F.sum("k") / F.lit(max(total, 1))).alias("q")).filter(F.col("q") >= COMMON)
+    every = sums.agg(F.array(*(F.coalesce(F.sum(F.col("c")[i]), F.lit(0)) for i in range(len(CLASSES) + 1))).alias("c")).select(share(F.col("c")).alias("classes"))
+    every = every.withColumn("w", F.coalesce(mean.agg(F.sort_array(F.collect_list(F.struct("word", "q"))).alias("w")).scalar(), none))
+    parts = (F.col("classes"), F.col("w.word").alias("words"), F.col("w.q").alias("shares"))
+    return materialize(by_lang.select("ref", *parts), "references"), materialize(every.select(*parts), "reference")
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -109,39 +110,43 @@ def repeat_words(w: Column) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
-    Null texts have no words and fail; a null language is a language by itself. Equal rows get equal results and ids are
-    not read. An empty table gives an empty result. Columns of these names are replaced; ties do not arise.
+    Null texts have no words and fail; a null language is a language by itself. Very long texts are counted whole. Equal
+    rows get equal results and ids are not read. An empty table gives an empty result. Columns of these names, in whatever
+    case, are replaced; all others stay, whatever their names. Ties do not arise.
     """
-    refs = references(docs, text_col, lang_col)
-    names = [r[0] for r in refs.filter(F.col("ref") != ALL).select("ref").collect()]  # at most 1 / OWN
+    refs, every = references(docs, text_col, lang_col)
+    all_ = every.first()
     listed = [r[0] for r in refs.select(F.explode("words")).distinct().limit(VOCABULARY + 1).collect()]
-    vocabulary = sorted(listed) if len(listed) <= VOCABULARY else None
-    lang = F.coalesce(F.col(lang_col), F.lit(""))
+    vocabulary = sorted({*listed, *all_["words"]}) if len(listed) <= VOCABULARY else None
+    own = own_prefix(docs)
+    lang, spread, own_classes, own_words, own_shares, w, c = (f"{own}{x}" for x in ("lang", "spread", "classes", "words", "shares", "w", "c"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_ref", F.when(lang.isin(names), lang).otherwise(F.lit(ALL)) if names else F.lit(ALL))
-    refs = refs.select(F.col("ref").alias("_ref"), F.col("classes").alias("_classes"), F.col("words").alias("_words"), F.col("shares").alias("_shares"))
-    rows = rows.join(F.broadcast(refs), "_ref")  # at most 1001 rows of 500 words
+    refs = refs.select(F.col("ref").alias(lang), F.col("classes").alias(own_classes), F.col("words").alias(own_words), F.col("shares").alias(own_shares))
+    rows = docs.withColumns({lang: F.coalesce(F.col(lang_col), F.lit("")), spread: F.xxhash64(F.col(id_col), F.col(text_col))})
+    rows = join_spread(rows, refs, lang, spread, BROADCAST_LANGUAGES, "left")
+    fixed = lambda v, t: F.lit(list(v)).cast(t) if v else F.array().cast(t)
+    of_lang = {n: F.coalesce(F.col(n), fixed(all_[k], t)) for n, k, t in ((own_classes, "classes", "array<double>"), (own_words, "words", "array<string>"), (own_shares, "shares", "array<double>"))}
     by_words = let(
         words(text),
-        lambda w: F.struct(
-            F.size(w).cast("bigint").alias("n"),
-            repeat_words(w).alias("repeat"),
-            F.when(F.size(w) >= LEAST_WORDS, word_divergence(w, F.col("_words"), F.col("_shares"), vocabulary)).otherwise(F.lit(0.0)).alias("far"),
+        lambda x: F.struct(
+            F.size(x).cast("bigint").alias("n"),
+            repeat_words(x).alias("repeat"),
+            F.when(F.size(x) >= LEAST_WORDS, word_divergence(x, of_lang[own_words], of_lang[own_shares], vocabulary)).otherwise(F.lit(0.0)).alias("far"),
         ),
     )
     by_chars = let(
         _bare(text),
         lambda s: F.struct(
             F.length(s).cast("bigint").alias("n"),
-            F.when(F.length(s) >= LEAST_CHARS, class_divergence(_classes(s), F.length(s), F.col("_classes"))).otherwise(F.lit(0.0)).alias("far"),
+            F.when(F.length(s) >= LEAST_CHARS, class_divergence(_classes(s), F.length(s), of_lang[own_classes])).otherwise(F.lit(0.0)).alias("far"),
         ),
     )
     dup_lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    rows = rows.withColumns({"_w": by_words, "_c": by_chars, "n_dup_lines": dup_lines.cast("bigint"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint")})
-    failed = (F.col("_w.n") < 50) | (100 * F.col("_w.repeat") > 50 * F.col("_w.n"))
-    near = (F.col("_w.far") <= MAX_WORD) & (F.col("_c.far") <= MAX_CLASS)
-    rows = rows.withColumns({"n_words": F.col("_w.n"), "word_chars": F.col("_c.n"), "n_repeat_words": F.col("_w.repeat"), "base_failed": failed, "kept": ~failed & near})
-    return rows.drop("_ref", "_classes", "_words", "_shares", "_w", "_c")
+    rows = rows.withColumns({w: by_words, c: by_chars})
+    failed = (F.col(f"{w}.n") < 50) | (100 * F.col(f"{w}.repeat") > 50 * F.col(f"{w}.n"))
+    near = (F.col(f"{w}.far") <= MAX_WORD) & (F.col(f"{c}.far") <= MAX_CLASS)
+    results = {"n_words": F.col(f"{w}.n"), "word_chars": F.col(f"{c}.n"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"), "n_dup_lines": dup_lines.cast("bigint")}
+    return with_results(rows, own, results | {"n_repeat_words": F.col(f"{w}.repeat"), "base_failed": failed, "kept": ~failed & near})
 
 
 #: The same in DuckDB.
@@ -154,12 +159,12 @@ b AS (SELECT r, doc_id, lg, t, w, len(w) AS n, length(s) AS m,
         length(s) - length(regexp_replace(s, '[.,;:!?"''()-]+', '', 'g')) AS c4 FROM w),
 cl AS (SELECT *, unnest([c0, c1, c2, c3, c4, m - c0 - c1 - c2 - c3 - c4]) AS c, unnest(range(6)) AS k FROM b),
 tot AS (SELECT lg, sum(n) AS n FROM b GROUP BY lg),
-own AS (SELECT lg FROM tot WHERE n >= 0.001 * (SELECT sum(n) FROM tot)),
+own AS (SELECT lg FROM tot WHERE n >= 2000),
 rc AS (SELECT lg, k, sum(c) / greatest(sum(sum(c)) OVER (PARTITION BY lg), 1) AS q FROM cl SEMI JOIN own USING (lg) GROUP BY lg, k
        UNION ALL SELECT '(all)', k, sum(c) / greatest(sum(sum(c)) OVER (), 1) FROM cl GROUP BY k),
 wd AS (SELECT r, lg, unnest(w) AS word FROM b),
-wk AS (SELECT lg, word, count(*) AS k, any_value(tot.n) AS n FROM wd JOIN tot USING (lg) GROUP BY lg, word HAVING count(*) >= 0.002 * any_value(tot.n)),
-rw AS (SELECT lg, word, k / n AS q FROM wk SEMI JOIN own USING (lg)
+wk AS (SELECT lg, word, count(*) AS k, any_value(tot.n) AS n FROM wd JOIN tot USING (lg) GROUP BY lg, word),
+rw AS (SELECT lg, word, k / n AS q FROM wk SEMI JOIN own USING (lg) WHERE k >= 0.002 * n
        UNION ALL SELECT '(all)', word, sum(k) / (SELECT greatest(sum(n), 1) FROM tot) FROM wk GROUP BY word HAVING sum(k) / (SELECT greatest(sum(n), 1) FROM tot) >= 0.002),
 x AS (SELECT r, n, m, CASE WHEN lg IN (FROM own) THEN lg ELSE '(all)' END AS ref FROM b),
 cd AS (SELECT x.r, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS far

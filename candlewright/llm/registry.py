@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shipped
-from .common import read
+from .common import host_of, prepared, read
 from .decontamination import LEAKS_SQL, find_leaks
 from .html_template import extract
-from .line_dedup import LINES_SQL, drop_site_lines, host_of, html_lines
+from .line_dedup import LINES_SQL, drop_site_lines, html_lines
 from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_report
 from .quality_classifier import classify
@@ -71,5 +70,5 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_lines(pages, html_lines(F.col("html")), host_of(F.col("url"))).select("page_id", "host", "text", "n_lines", "n_dropped")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_html_template, op3_line_dedup, op2_quality_classifier, op4_url_filters, op8_quality_rules, op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: prepared(f) for f in (op1_html_template, op3_line_dedup, op2_quality_classifier, op4_url_filters, op8_quality_rules, op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
 ORACLES: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op4_url_filters": URLS_SQL, "op8_quality_rules": RULES_SQL, "op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}

@@ -54,3 +54,18 @@ def test_a_bare_less_than_sign_swallows_no_text():
     assert text("<script>for(i=0;i<n;i++){f(i)}</script><article><p>One</p></article><script>g()</SCRIPT ><p>Two") == "One"
     assert text("<style>a<b{}</style><p>if x<y always</p><p>then <a@b.org> a<b> c</p>") == "if x<y always then <a@b.org> a c"
     assert text("<p>One</p><p title='a<b>c' class=it's>Two</p><script>lost") == "One Two"
+
+
+def test_the_template_decides_on_the_table(spark, monkeypatch):
+    """Without the template, other text comes out: what a site repeats on its pages, within the article too."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    share = "<p>Please share this with your friends</p></article>"
+    pages = pages.withColumn("html", F.regexp_replace("html", "</article>", share))
+    got = {r.page_id: r.text for r in html_template.extract(pages).collect()}
+    bare = {r.page_id: html_template.main_text(html_template.parse(r.html), {}) for r in pages.collect()}
+    hosts = {r.page_id: r.host for r in pages.select("page_id", html_template.host_of(F.col("url")).alias("host")).collect()}
+    large = [h for h in set(hosts.values()) if sum(x == h for x in hosts.values()) >= 5]
+    checked = [i for i in got if hosts[i] in large and bare[i].endswith("with your friends")]
+    assert checked and all(not got[i].endswith("with your friends") and got[i] != bare[i] for i in checked)
