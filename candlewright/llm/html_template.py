@@ -19,13 +19,14 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import host_of, join_spread, materialize, own_prefix, with_results
 
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|</?[a-zA-Z][a-zA-Z0-9:-]*(?=[\s/>]|\Z)(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^<>])*+(?:>|\Z)|<[!?][^>]*>?|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -40,6 +41,7 @@ INLINE = frozenset(
 )
 DROPPED = frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "object", "audio", "video", "canvas", "fieldset", "datalist"))
 CONTENT = frozenset(("article", "main"))
+FOREIGN = frozenset(("svg", "math"))
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|header|masthead|banner|footer|contentinfo|sidebar|aside|complementary|notice|cookie|cookies|consent|gdpr|alert|popup|modal|overlay|"
     r"ad|ads|adv|advert|adverts|advertisement|sponsor|sponsored|promo|promotion|form|search|login|signup|subscribe|newsletter|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|pagination|"
@@ -56,6 +58,8 @@ LEAST_CLASS = 2
 BROADCAST_TOKENS = 200_000
 #: The same for pages that come more than once in a host (hashes of 8 bytes and the host).
 BROADCAST_COPIES = 200_000
+#: The same for hosts with enough pages, and their page totals.
+BROADCAST_HOSTS = 200_000
 
 
 def _hash(text: str) -> int:
@@ -63,14 +67,28 @@ def _hash(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
+class Open(NamedTuple):
+    """An open element: what its text inherits. block is the place in the stack of the nearest element that is not inline."""
+
+    name: str
+    path: int
+    dropped: bool
+    content: int
+    aside: bool
+    foreign: bool
+    block: int
+
+
 def parse(page: str | None) -> list[tuple[int, str, str, bool, int, float]]:
     """Tokens in page order: (hash, kind, text, dropped, content, link share).
 
     Kind is `tag` or `text`; a text token is a whole block with its white space normalised. `dropped` says that a region
-    of no main text is around it, `content` numbers the outermost article or main element around it (0: none).
+    of no main text is around it, `content` numbers the outermost article or main element around it (0: none). Paths are
+    hashes of the element and the path above it, so the time is in proportion to the page's length however deep it nests.
     """
     out: list[tuple[int, str, str, bool, int, float]] = []
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # name, path, dropped, content
+    stack = [Open("", 0, False, 0, False, False, 0)]
+    opened: Counter[str] = Counter()  # open elements by name: an end tag without one is not searched for
     held: list[str] = []
     linked = n_content = 0
 
@@ -79,17 +97,21 @@ def parse(page: str | None) -> list[tuple[int, str, str, bool, int, float]]:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            _, path, dropped, content = next(e for e in reversed(stack) if e[0] not in INLINE)
-            out.append((_hash(f"{path}\n{text}"), "text", text, dropped, content, linked / len(text)))
+            e = stack[stack[-1].block]
+            out.append((_hash(f"{e.path}\n{text}"), "text", text, e.dropped, e.content, linked / len(text)))
         linked = 0
 
+    def close(at: int) -> None:
+        opened.subtract(e.name for e in stack[at:])
+        del stack[at:]
+
     page, at_char = page or "", 0
     while m := PIECE.match(page, at_char):
         piece, at_char = m.group(), m.end()
         if piece[0] != "<" or len(piece) == 1:
             text = entities.unescape(piece)
             held.append(text)
-            if any(e[0] == "a" for e in stack[-4:]):
+            if any(e.name == "a" for e in stack[-4:]):
                 linked += len(text.strip())
             continue
         n = NAME.match(piece)
@@ -99,41 +121,43 @@ def parse(page: str | None) -> list[tuple[int, str, str, bool, int, float]]:
             continue
         name = n[1].lower()
         if piece[1] == "/":
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if name not in INLINE:
                 flush()
-            if at:
-                del stack[at:]
+            if opened[name] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         if name == "br":
             held.append("\n")
             continue
         if name not in INLINE:
             flush()
-            if name in CLOSES_P:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in INLINE), 0)
-                if stack[at][0] == "p" or name == stack[at][0] == "li":
-                    del stack[at:]
+            at = stack[-1].block
+            if name in CLOSES_P and at and (stack[at].name == "p" or name == stack[at].name == "li"):
+                close(at)
         marks = " ".join(next(filter(None, x), "") for x in MARK.findall(piece))
-        _, path, dropped, content = stack[-1]
-        own = f"{path}/{name}" + (f".{marks}" if marks else "")
+        over = stack[-1]
+        own = f"/{name}" + (f".{marks}" if marks else "")
+        path = _hash(f"{over.path}{own}")
         if name not in INLINE:
-            out.append((_hash(own), "tag", name, dropped, content, 0.0))
+            out.append((path, "tag", name, over.dropped, over.content, 0.0))
         if name in RAW:
-            if not piece.endswith("/>"):
-                close = CLOSE[name].search(page, at_char)
-                at_char = close.end() if close else len(page)
+            end = CLOSE[name].search(page, at_char)
+            at_char = end.end() if end else len(page)
             continue
-        if name in VOID or piece.endswith("/>"):
+        if name in VOID or (over.foreign and piece.endswith("/>")):  # elsewhere the slash means nothing
             continue
+        dropped, content = over.dropped, over.content
         if name in CONTENT and not content:
             n_content += 1
             content = n_content
             # a wrapper's layout class does not cover the article in it, unless it is a list of comments or the like
-            dropped = bool(marks and MARKED.search(marks)) or (dropped and ASIDE.search(path) is not None)
+            dropped = bool(marks and MARKED.search(marks)) or (dropped and over.aside)
         elif name not in ("html", "body") and name not in CONTENT:
             dropped = dropped or name in DROPPED or (name == "header" and not content) or bool(marks and MARKED.search(marks)) or HIDDEN.search(piece) is not None
-        stack.append((name, path if name in INLINE else own, dropped, content))
+        opened[name] += 1
+        inline = name in INLINE
+        foreign = over.foreign or name in FOREIGN
+        stack.append(Open(name, over.path if inline else path, dropped, content, over.aside or (not inline and ASIDE.search(own) is not None), foreign, over.block if inline else len(stack)))
     flush()
     return out
 
@@ -159,13 +183,13 @@ def main_text(tokens: list[tuple[int, str, str, bool, int, float]], template: di
     return " ".join(t[2] for t in [t for t in slots if t[4]] or [t for t in slots if t[5] < 0.5])
 
 
-def host_of(url: Column) -> Column:
-    """Host of a URL, lower-cased; empty for null or without ://."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
-
-
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, token, class, place): the equivalence classes of each host with LEAST_PAGES or more distinct pages."""
+    """(host, token, class, place): the equivalence classes of each host with LEAST_PAGES or more distinct pages.
+
+    Null pages don't count and equal ones once; an empty table has no classes, and tokens whose pages are equally many but
+    not the same fall into different ones. A host's tokens lie in as many tasks as they need; its total goes to each.
+    Columns other than the two are not read.
+    """
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -201,7 +225,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     found = single.mapInPandas(occurrences, "host string, token bigint, vector bigint, place double, page int")
     sums = materialize(found.groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("page").alias("n"), F.avg("place").alias("place")), "occurrences")
     totals = sums.filter("token IS NULL").select("host", F.col("n").alias("total"))
-    frequent = sums.filter("token IS NOT NULL").join(totals.filter(F.col("total") >= LEAST_PAGES), "host").filter(F.col("n") >= F.greatest(FREQUENT * F.col("total"), F.lit(LEAST_PAGES)))
+    frequent = join_spread(sums.filter("token IS NOT NULL"), totals.filter(F.col("total") >= LEAST_PAGES), "host", "token", BROADCAST_HOSTS)
+    frequent = frequent.filter(F.col("n") >= F.greatest(FREQUENT * F.col("total"), F.lit(LEAST_PAGES)))
     # a host has at most mean-tokens / FREQUENT frequent tokens, so these groups are small however many pages it has
     listed = frequent.groupBy("host", "vector", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("tokens")).filter(F.size("tokens") >= LEAST_CLASS)
     return materialize(listed.select("host", F.xxhash64("vector", "n").alias("class"), F.posexplode("tokens").alias("place", "t")).select("host", F.col("t.token").alias("token"), "class", "place"), "templates")
@@ -211,12 +236,15 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """pages with `text` (main text; empty if none) and `n_chars` (its code points).
 
     Null and empty html give an empty text. Pages without a host form one site. Repeated pages count once for the
-    template and get equal texts. An empty table gives an empty result; columns named text and n_chars are replaced.
+    template and get equal texts. Very long pages are parsed whole, each by itself. An empty table gives an empty result;
+    columns named text and n_chars, in whatever case, are replaced, and all others stay, whatever their names.
     """
     found = templates(pages, url_col, html_col)
-    listed = found.groupBy("host").agg(F.collect_list(F.struct("token", "class", "place")).alias("_template")).withColumnRenamed("host", "_host")
+    own = own_prefix(pages)
+    site, template, main = (f"{own}{c}" for c in ("host", "template", "text"))
+    listed = found.groupBy(F.col("host").alias(site)).agg(F.collect_list(F.struct("token", "class", "place")).alias(template))
     listed = F.broadcast(listed) if found.count() <= BROADCAST_TOKENS else listed
-    rows = pages.withColumn("_host", host_of(F.col(url_col))).join(listed, "_host", "left")
+    rows = pages.withColumn(site, host_of(F.col(url_col))).join(listed, site, "left")
 
     @F.pandas_udf("string")
     def text(host: pd.Series, html: pd.Series, template: pd.Series) -> pd.Series:
@@ -228,4 +256,5 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
             out.append(main_text(parse(page), known[h]))
         return pd.Series(out)
 
-    return rows.withColumn("text", text("_host", F.col(html_col), "_template")).withColumn("n_chars", F.length("text").cast("bigint")).drop("_host", "_template")
+    rows = rows.withColumn(main, text(site, F.col(html_col), template))
+    return with_results(rows, own, {"text": F.col(main), "n_chars": F.length(main).cast("bigint")})
