@@ -9,17 +9,19 @@ length, and the words themselves are compared. All of it is DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, materialize
+from .common import ascii_lower, let, materialize, own_prefix
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Words of a shingle; windows with fewer words are one shingle.
 SHINGLE = 3
-#: Up to so many prefix tokens, positions are sifted before they become rows; beyond, every position becomes a row.
-SIFT = 20_000
+#: Positions are sifted by a bitmap of the tokens' hashes, of at most 16 MB, before they become rows.
+MOST_BITS = 1 << 27
 #: Up to so many windows, they are broadcast (about 200 bytes each); beyond, they are joined by shuffle.
 BROADCAST_WINDOWS = 100_000
 
@@ -49,6 +51,27 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return rows.groupBy("win").agg(F.collect_set("item").alias("items")).withColumn("n", F.size("win"))
 
 
+def _bitmap(tokens: DataFrame, most_bits: int = MOST_BITS) -> tuple[Column, Callable[[Column], Column]]:
+    """(a bitmap of the hashes h of tokens, as a scalar subquery; the test whether a hash's bit is set).
+
+    It has 32 bits or more a token, up to most_bits: 4 MB for a million tokens, never over 16 MB. What passes by chance is
+    sorted out by the joins that follow.
+    """
+    bits = 1 << max(10, min(most_bits.bit_length() - 1, (32 * tokens.count()).bit_length()))
+    slot = lambda h: h.bitwiseAND(F.lit(bits - 1)).cast("int")
+    words = tokens.select(slot(F.col("h")).alias("s")).groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(F.lit(63)))).alias("w"))
+    # the words of the bitmap lie in order in one row: gaps are filled with zeros
+    every = tokens.sparkSession.range(bits >> 6).select(F.col("id").cast("int").alias("k"))
+    row = every.join(words, "k", "left").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("w", F.lit(0).cast("bigint")).alias("w")))).alias("b")).select(F.col("b.w").alias("b"))
+    row = materialize(row, "leak-bitmap")
+
+    def test(map_: Column, h: Column) -> Column:
+        at = slot(h)
+        return F.getbit(F.get(map_, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))) == 1
+
+    return row.scalar(), test
+
+
 def _anchors(docs: DataFrame, windows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
     """Windows that may occur, each with the hash `h` of its rarest shingle over all documents and its offset `off`."""
     parts = windows.withColumn("text", F.array_join("win", " ")).withColumn("k", F.least("n", F.lit(SHINGLE)))
@@ -57,45 +80,48 @@ def _anchors(docs: DataFrame, windows: DataFrame, text_col: str, sizes: list[int
         one = parts.filter(F.col("k") == k).select("text", "n", "items", F.posexplode(_shingles(F.col("win"), k)).alias("off", "h"))
         tokens = one if tokens is None else tokens.union(one)
     tokens = materialize(tokens, "leak-tokens")
-    wanted = tokens.select("h").distinct()
-    n_wanted = wanted.count()
-    words = item_words(F.col(text_col))
-    all_shingles = let(words, lambda w: F.concat(*(_shingles(w, k) for k in sizes)))
-    seen = docs.select(F.explode(all_shingles).alias("h"))
-    seen = seen.join(F.broadcast(wanted) if n_wanted <= BROADCAST_WINDOWS * 10 else wanted, "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
+    wanted = materialize(tokens.select("h").distinct(), "leak-wanted")
+    bitmap, test = _bitmap(wanted)
+    sifted = lambda w, m: F.concat(*(F.filter(_shingles(w, k), lambda h: test(m, h)) for k in sizes))
+    found = let(item_words(F.col(text_col)), lambda w: let(F.col("bitmap"), lambda m: sifted(w, m)))
+    seen = docs.withColumn("bitmap", bitmap).select(F.explode(found).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     ranked = tokens.join(seen, "h", "left").groupBy("text", "n", "items").agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.min_by(F.struct("h", "off"), F.struct(F.coalesce("df", F.lit(0)), "off")).alias("a"))
     return materialize(ranked.filter("least > 0").select("a.h", "a.off", "text", "n", "items"), "leak-anchors")
 
 
+HIT = "array<struct<h:bigint,pos:int,from:int,ctx:array<string>>>"
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """For each row of docs: id, _m (md5 of its text), n_words, n_hit, n_items, items_sha256, contaminated, items.
 
-    Null and empty texts have no words, and items without words have no windows. Equal rows give equal rows, as often as
-    they come. Ids may be null (an item's null id counts as the empty string); other columns are not read. An empty table
-    of documents gives an empty result, an empty table of items leaves all documents clean.
+    Null and empty texts have no words, and items without words have no windows. Very long texts are searched whole. Equal
+    rows give equal rows, as often as they come. Ids may be null (an item's null id counts as the empty string); other
+    columns are not read, whatever their names. An empty table of documents gives an empty result, an empty table of items
+    leaves all documents clean.
     """
     windows = materialize(item_windows(items, item_id_col, item_text_col, window), "leak-windows")
     sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect())  # 1 to SHINGLE
-    key = [F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_m")]
-    none = F.array().cast("array<struct<h:bigint,pos:int,from:int,ctx:array<string>>>")
-    if sizes:
-        anchors = _anchors(docs, windows, text_col, sizes)
-        n_anchors, tokens = anchors.count(), anchors.select("h").distinct()
-        few = [r[0] for r in tokens.limit(SIFT + 1).collect()]
-    else:
-        anchors, n_anchors, few = None, 0, []
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    own = F.array(F.struct(F.xxhash64("_id", "text").alias("h"), F.lit(-1).alias("pos"), F.lit(0).alias("from"), F.array().cast("array<string>").alias("ctx"))).cast(HIT)
+    anchors = _anchors(docs, windows, "text", sizes) if sizes else None
+    if anchors is not None:
+        n_anchors = anchors.count()
+        bitmap, test = _bitmap(materialize(anchors.select("h").distinct(), "leak-prefixes"))
 
-    def candidates(w: Column) -> Column:
+    def candidates(w: Column, m: Column) -> Column:
         found = []
         for k in sizes:
-            at = F.filter(F.transform(_shingles(w, k), lambda h, i: F.struct(h.alias("h"), i.alias("pos"))), lambda x: x.h.isin(few) if len(few) <= SIFT else F.lit(True))
+            at = F.filter(F.transform(_shingles(w, k), lambda h, i: F.struct(h.alias("h"), i.alias("pos"))), lambda x: test(m, x.h))
             lo = lambda x: F.greatest(x.pos - (window - 1), F.lit(0))
             found.append(F.transform(at, lambda x: F.struct(x.h.alias("h"), x.pos.alias("pos"), lo(x).alias("from"), F.slice(w, lo(x) + 1, x.pos - lo(x) + window).alias("ctx"))))
-        return F.concat(*found).cast("array<struct<h:bigint,pos:int,from:int,ctx:array<string>>>") if found and few else none
+        return F.concat(own, *(x.cast(HIT) for x in found))
 
-    own = F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.lit(-1).alias("pos"), F.lit(0).alias("from"), F.array().cast("array<string>").alias("ctx"))
-    cut = let(item_words(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n_words"), F.concat(F.array(own).cast("array<struct<h:bigint,pos:int,from:int,ctx:array<string>>>"), candidates(w)).alias("rows")))
-    rows = docs.select(*key, cut.alias("c")).select("_id", "_m", F.col("c.n_words").alias("n_words"), F.explode("c.rows").alias("r")).select("_id", "_m", "n_words", "r.*")
+    hits = (lambda w: let(F.col("bitmap"), lambda m: candidates(w, m))) if sizes else (lambda w: own)
+    cut = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), hits(w).alias("rows")))
+    md5 = F.md5(F.coalesce("text", F.lit(""))).alias("_m")
+    rows = docs.withColumn("bitmap", bitmap) if sizes else docs
+    rows = rows.select("_id", md5, cut.alias("c")).select("_id", "_m", F.col("c.n_words").alias("n_words"), F.explode("c.rows").alias("r")).select("_id", "_m", "n_words", "r.*")
     if anchors is not None:
         a = anchors.select(F.col("h").alias("a_h"), "off", "text", "n", F.col("items").alias("a_items"))
         rows = rows.join(F.broadcast(a) if n_anchors <= BROADCAST_WINDOWS else a, (F.col("h") == F.col("a_h")) & (F.col("pos") >= 0), "left")
@@ -132,9 +158,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold a window of an item; columns as before. Edge cases as in find_leaks."""
-    bad = find_leaks(docs, items, id_col, text_col, window=window).filter("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("_m").alias("_bad_m")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_bad_m"))
+    """docs without the rows that hold a window of an item; columns as before, whatever their names. Edge cases as in
+    find_leaks."""
+    own = own_prefix(docs)
+    bad = find_leaks(docs, items, id_col, text_col, window=window).filter("contaminated").select(F.col(id_col).alias(f"{own}id"), F.col("_m").alias(f"{own}m")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{own}m"))
     return docs.join(bad, same, "left_anti")
 
 
