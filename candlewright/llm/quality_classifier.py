@@ -12,9 +12,10 @@ The model is fitted on at most SAMPLE labelled rows, those whose ids have the sm
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD
+from .common import WORD, own_prefix, with_results
 
 SAMPLE = 10_000
 #: Least probability of the best grade for a document to be selected: ratings hold some noise, so that clean documents lie
@@ -35,7 +36,9 @@ SLOTS = 1 << 18
 GRADES = 3
 #: Strengths of the prior to choose from by FOLDS-fold cross-validation, strongest first, and the prior variance of a slot
 #: that says nothing, as a share of one with z^2 = 2 (chance alone gives 1).
-STRENGTHS, FOLDS, FLOOR = (300.0, 100.0, 30.0, 10.0, 3.0, 1.0), 3, 0.01
+STRENGTHS, FOLDS, FLOOR = (300.0, 30.0, 3.0), 3, 0.01
+#: A fit ends with a step that lowers the loss by less than this share.
+TOLERANCE = 1e-4
 TOKEN, LETTERS = re.compile(WORD), re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -83,18 +86,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 100, memory: int = 8, tol: float = 1e-6) -> np.ndarray:
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    """The same as a @ b, in one thread: the driver's other cores belong to others."""
+    return float((a * b).sum())
+
+
+def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 100, memory: int = 8, tol: float = TOLERANCE) -> np.ndarray:
     """L-BFGS with step halving; f gives value and gradient."""
     (v, g), pairs = f(x), []
     for _ in range(steps):
         d, back = -g, []
-        for s, y in reversed(pairs):
-            back.append((s @ d) / (s @ y))
+        for s, y, r in reversed(pairs):
+            back.append(_dot(s, d) * r)
             d = d - back[-1] * y
-        d = d * ((pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(np.linalg.norm(g), 1))
-        for (s, y), a in zip(pairs, reversed(back), strict=True):
-            d = d + s * (a - (y @ d) / (s @ y))
-        t, slope = 1.0, g @ d
+        d = d * (1 / (pairs[-1][2] * _dot(pairs[-1][1], pairs[-1][1])) if pairs else 1 / max(math.sqrt(_dot(g, g)), 1))
+        for (s, y, r), a in zip(pairs, reversed(back), strict=True):
+            d = d + s * (a - _dot(y, d) * r)
+        t, slope = 1.0, _dot(g, d)
         while slope < 0 and t > 1e-8:
             new = x + t * d
             nv, ng = f(new)
@@ -103,8 +111,9 @@ def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             t /= 2
         else:
             return x
-        if (new - x) @ (ng - g) > 1e-12 * ((ng - g) @ (ng - g)):
-            pairs = [*pairs, (new - x, ng - g)][-memory:]
+        s, y = new - x, ng - g
+        if (sy := _dot(s, y)) > 1e-12 * _dot(y, y):
+            pairs = [*pairs, (s, y, 1 / sy)][-memory:]
         done = v - nv < tol * abs(v)
         x, v, g = new, nv, ng
         if done:
@@ -112,33 +121,37 @@ def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def _models(rows: list[np.ndarray], grades: np.ndarray) -> Iterator[OrdinalModel]:
-    """Fits under the STRENGTHS in turn, each begun at the one before; the order of thresholds is kept by fitting the logs
+def _models(rows: list[np.ndarray], grades: np.ndarray, strengths: Sequence[float] = STRENGTHS) -> Iterator[OrdinalModel]:
+    """Fits under the strengths in turn, each begun at the one before; the order of thresholds is kept by fitting the logs
     of their gaps."""
-    n, of_row = len(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    sizes = np.array([len(x) for x in rows])
+    n, of_row, starts = len(rows), np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes) - sizes
     slots, cols = np.unique(np.concatenate(rows), return_inverse=True)
     k, seen, z2 = len(slots), np.bincount(cols), np.zeros(len(slots))
+    often = np.argsort(-seen, kind="stable")  # slots of many rows lie together in memory
+    slots, seen, cols = slots[often], seen[often], np.argsort(often)[cols]
     for g in range(GRADES):
         share = (grades == g).mean()
         if 0 < share < 1:
             hit = np.bincount(cols[grades[of_row] == g], minlength=k)
             z2 = np.maximum(z2, (hit - seen * share) ** 2 / (seen * share * (1 - share) + 1))  # 1: rare slots don't stand out by luck
+    each = np.empty(len(cols))  # one number for each slot of each row, written over at every step
     share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     p = first = np.concatenate([np.zeros(k), [start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
     wide = np.sqrt(FLOOR + np.maximum(z2 - 1, 0))  # p[:k] are weights by their prior's widths, which takes fewer steps
-    for strength in STRENGTHS:
+    for strength in strengths:
         narrow = np.concatenate([np.full(k, strength), np.full(GRADES - 1, 0.01)])
 
         def loss(p: np.ndarray, narrow: np.ndarray = narrow) -> tuple[float, np.ndarray]:
             gaps = np.exp(np.minimum(p[k + 1 :], 50))
             t = np.concatenate([[-np.inf], p[k] + np.concatenate([[0], np.cumsum(gaps)]), [np.inf]])
-            s = np.bincount(of_row, (p[:k] * wide)[cols], minlength=n)
+            s = np.add.reduceat(np.take(p[:k] * wide, cols, out=each, mode="clip"), starts)  # every row has slots
             up, lo = _sigmoid(t[grades + 1] - s), _sigmoid(t[grades] - s)
             prob = np.maximum(up - lo, 1e-12)
             du, dl = up * (1 - up) / prob, lo * (1 - lo) / prob
             dt = np.array([dl[grades == g + 1].sum() - du[grades == g].sum() for g in range(GRADES - 1)])
-            grad = np.concatenate([np.bincount(cols, (du - dl)[of_row], minlength=k) * wide, [dt.sum()], [dt[j + 1 :].sum() * gaps[j] for j in range(len(gaps))]])
+            grad = np.concatenate([np.bincount(cols, np.take(du - dl, of_row, out=each, mode="clip"), minlength=k) * wide, [dt.sum()], [dt[j + 1 :].sum() * gaps[j] for j in range(len(gaps))]])
             return 0.5 * (narrow * (p - first) ** 2).sum() - np.log(prob).sum(), grad + narrow * (p - first)
 
         p = _minimum(loss, p)
@@ -163,7 +176,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
             folds.append((_models([rows[i] for i in own], grades[own]), [rows[i] for i in out], grades[out]))
     found: list[float] = []
     # the path ends where weaker priors only get worse
-    while folds and len(found) < len(STRENGTHS) and not (len(found) > 2 and min(found) < min(found[-2:])):
+    while folds and len(found) < len(STRENGTHS) and (len(found) < 2 or found[-1] < found[-2]):
         found.append(sum(_surprise(next(models), x, y) for models, x, y in folds))
     best = int(np.argmin(found)) if found else 0
     return next(itertools.islice(_models(rows, grades), best, None))
@@ -181,10 +194,12 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> OrdinalModel | None:
-    """The model fitted on at most `sample` labelled rows; None if no row is labelled."""
+    """The model fitted on at most `sample` labelled rows; None if no row is labelled. Of several texts of one id, the first in
+    order counts."""
     chosen = graded(labels, id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
-    got = rows.select(id_col, "grade", _features(F.col(text_col)).alias("x")).toPandas().sort_values(id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select(F.col(id_col).alias("id"), "grade")), "id")
+    rows = rows.groupBy("id", "grade").agg(F.min("text").alias("text"))
+    got = rows.select("id", "grade", _features(F.col("text")).alias("x")).toPandas().sort_values("id")
     return fit([np.asarray(x, np.int32) for x in got["x"]], got["grade"].to_numpy(int)) if len(got) else None
 
 
@@ -206,12 +221,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """docs with expected_grade, tail_probability and kept (tail_probability of at least least_tail, or of the share of
     the best grade among the labelled rows where that is less).
 
-    Texts without words (null, empty) are not kept. Equal texts get equal ratings. Without any labelled row the ratings
-    are null and every text with words is kept. An empty table gives an empty result; columns of the three names are
-    replaced.
+    Texts without words (null, empty) are not kept. Equal texts get equal ratings, however often they come; features of very
+    long texts are those of the whole text. Without any labelled row the ratings are null and every text with words is
+    kept. An empty table gives an empty result; columns of the three names, in whatever case, are replaced, and all others
+    stay, whatever their names.
     """
     model = train(docs, labels, id_col, text_col, sample)
     limit = min(least_tail, (1 - SLACK) * model.base) if model else least_tail
-    rated = docs.withColumn("_r", rating(docs, model, F.col(text_col)))
+    own = own_prefix(docs)
+    rated = docs.withColumn(own, rating(docs, model, F.col(text_col)))
+    tail = F.col(f"{own}.tail_probability")
     has_words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
-    return rated.withColumns({"expected_grade": F.col("_r.expected_grade"), "tail_probability": F.col("_r.tail_probability"), "kept": has_words & F.coalesce(F.col("_r.tail_probability") >= limit, F.lit(True))}).drop("_r")
+    return with_results(rated, own, {"expected_grade": F.col(f"{own}.expected_grade"), "tail_probability": tail, "kept": has_words & F.coalesce(tail >= limit, F.lit(True))})
