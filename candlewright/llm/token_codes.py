@@ -12,6 +12,7 @@ Spark's committer makes the write whole or absent on any file system, also when
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
@@ -23,18 +24,24 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 MAGIC = b"DAC1"
 RANK_EVERY = 512
 #: A segment ends with the document that brings it to so many tokens.
 SEGMENT_TOKENS = 1 << 16
-#: Bytes of text given to the tokenizer at once.
-BATCH_BYTES = 1 << 20
+#: Bytes of text encoded at once.
+BATCH_BYTES = 6 << 20
+#: Texts that are no chain of words: runs of white space, any but spaces and line ends, or at an end; or a NUL.
+RUNS = r"^[ \n]|[ \n]\z|[ \n][ \n]|[\x00\x09\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: A mark after a letter begins a piece.
+LETTER_MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-/:-@\[-`{-~])"
 SEGMENTS = "part int, seg int, doc_ids array<bigint>, n_tokens bigint, payload binary"
 
 
@@ -99,30 +106,19 @@ class Segment:
         return self.all_tokens()[self.offsets[k] : self.offsets[k + 1]]
 
 
-def _byte_chars() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies: itself, or one from 256 on."""
-    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
-    rest = (b for b in range(256) if b not in own)
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-BYTE_CHARS = _byte_chars()
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class CachedEncoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library; distinct words are encoded once.
+    """Encodes whole texts with a byte-level BPE of the tokenizers library; the distinct words of a batch are encoded once.
 
     The split pattern of these vocabularies begins a new piece at every single space or line end between two other
-    characters, and at a full stop or comma between a letter and one of those. So a text without runs of white space is
-    the chain of its words. Texts with such runs, and texts that hold an added token, go to the library in one piece.
+    characters, and between a letter and a mark. So a text without runs of white space is the chain of its words, each with
+    the space before it, its marks and its line ends: Arrow splits a batch into them, numbers the distinct ones, and takes their ids side by side. Texts with such
+    runs, and texts that hold an added token, go to the library in one piece.
     """
 
-    #: Words held before the older half is dropped.
-    MOST = 300_000
+    #: Words that come more than once in a batch are kept for the next ones; beyond so many the older half is dropped.
+    MOST = 200_000
+    #: Words in a text that the library gets; line ends part them.
+    JOINED = 100
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,59 +126,68 @@ class CachedEncoder:
 
         self.tok = Tokenizer.from_str(model)
         self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        pre = json.loads(model).get("pre_tokenizer") or {}
+        parts = json.loads(model)
+        pre = parts.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.marks = dict(zip(".,\n", self._ids([".", ",", "\n"]), strict=True))
-        #: By what precedes the word: nothing or a space.
-        self.young: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-        self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, lead: str, words: set[str]) -> None:
-        """Put all of words into the young cache."""
-        young, old, ask, tails = self.young[lead], self.old[lead], set(), []
-        for w in words.difference(young):
-            if (known := old.get(w)) is not None:
-                young[w] = known
-            elif w[-1:] in (".", ",") and w[-2:-1].isalpha():
-                tails.append(w)
-                if (stem := w[:-1]) not in young:
-                    if (known := old.get(stem)) is not None:
-                        young[stem] = known
-                    else:
-                        ask.add(stem)
-            else:
-                ask.add(w)
-        model, space, mixed = self.tok.model, lead and BYTE_CHARS[32], []
-        for w in ask:
-            if w.isalpha() and max(w) < "\u0250":  # one piece, whatever Unicode version the pattern follows
-                chars = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)
-                young[w] = _packed([t.id for t in model.tokenize(space + chars)])
-            else:
-                mixed.append(w)
-        young.update(zip(mixed, self._ids([lead + w for w in mixed]), strict=True))
-        for w in tails:
-            young[w] = young[w[:-1]] + self.marks[w[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        if sum(map(len, self.young.values())) > self.MOST // 2:
-            self.old, self.young = self.young, {"": {}, " ": {}}
-        # by words only if all white space is single spaces and line ends between other characters
-        whole = [not self.by_word or " ".join(x.split()) != x.replace("\n", " ") or any(a in x for a in self.added) for x in texts]
-        lines = [[] if w else [line.split(" ") for line in x.split("\n")] for x, w in zip(texts, whole, strict=True)]
-        self._learn("", {line[0] for x in lines for line in x})
-        later: set[str] = set()
-        for x in lines:
-            for line in x:
-                later.update(line[1:])
-        self._learn(" ", later)
-        first, later = self.young[""], self.young[" "].__getitem__
-        end = self.marks["\n"]
-        alone = iter(self._ids([x for x, w in zip(texts, whole, strict=True) if w]))
-        return [next(alone) if w else end.join([first[line[0]] + b"".join(map(later, line[1:])) for line in x]) for x, w in zip(lines, whole, strict=True)]
+        self.by_word = self.by_word and not parts.get("normalizer") and not any(c.isspace() for a in self.added for c in a)
+        self.end = self._whole(["\n"])[0]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], counts: np.ndarray) -> list[bytes]:
+        """The ids of distinct words, which come `counts` times."""
+        if len(self.young) > self.MOST // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out: list = [young.get(w) or old.get(w) for w in words]
+        ask = [i for i, ids in enumerate(out) if ids is None]
+        for a in range(0, len(ask), 500 * self.JOINED):
+            at = [i for i in ask[a : a + 500 * self.JOINED] if words[i] not in ("", "\n")]
+            texts = ["\n".join([words[i] for i in at[k : k + self.JOINED]]) for k in range(0, len(at), self.JOINED)]
+            if texts:
+                chain = np.concatenate([y for x in self._whole(texts) for y in (x, self.end)])
+                ends = np.flatnonzero(chain == self.end[0]).tolist()
+                data, last = chain.tobytes(), -1
+                for i, e in zip(at, ends, strict=True):
+                    out[i] = data[4 * (last + 1) : 4 * e]
+                    last = e
+        out = [ids if ids is not None else self.end.tobytes() if w else b"" for w, ids in zip(words, out, strict=True)]
+        for i in np.flatnonzero(counts > 1).tolist():
+            young[words[i]] = out[i]
+        return out
+
+    def _chains(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts that are chains of words."""
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        marked = pc.replace_substring_regex(marked, LETTER_MARK, "\\1\0\\2")
+        split = pc.split_pattern(marked, "\0")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self._words(words, np.bincount(coded.indices.to_numpy(), minlength=len(words)))
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(known))])
+        chain = table.take(coded.indices)
+        _, ends, ids = chain.buffers()
+        ends = np.frombuffer(ends, np.int64)[chain.offset :][: len(chain) + 1] // 4
+        edges = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist() if len(split) else [0]
+        ids = np.frombuffer(ids or b"", "<u4")
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is encoded as the empty text."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = pc.match_substring_regex(texts, RUNS) if self.by_word else pa.array([True] * len(texts), pa.bool_())
+        for a in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, a))
+        if not pc.any(whole).as_py():
+            return self._chains(texts)
+        alone = iter(self._whole(texts.filter(whole).to_pylist()))
+        chains = iter(self._chains(texts.filter(pc.invert(whole))))
+        return [next(alone) if w else next(chains) for w in whole.to_pylist()]
 
 
 @lru_cache(2)
@@ -194,48 +199,52 @@ def encoder(model: str) -> CachedEncoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, in ascending id order (null ids first, null text as empty), into a table of segments.
 
-    Rows are range-partitioned by id, then by the text's hash, so ties and repeated rows have one order and each task encodes its own
-    range. An empty table gives an empty table of segments. Other columns are not read.
+    Rows are range-partitioned by id, then by the text's hash, so ties and repeated rows have one order and each task
+    encodes its own range. A very long text is encoded in one piece and makes a segment of its own size. An empty table
+    gives an empty table of segments. Other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))  # one vocabulary file
+    schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, part, seg, end = encoder(model.value), TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, part, seg, end = encoder(model.value), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4")
         ids: list[np.ndarray] = []
         names: list = []
         held = 0
 
-        def segment() -> pd.DataFrame:
+        def segment() -> pa.RecordBatch:
             nonlocal seg, held
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-            row = pd.DataFrame({"part": [part], "seg": [seg], "doc_ids": [list(names)], "n_tokens": [held], "payload": [encode_segment(np.concatenate(ids), offsets)]})
+            offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in ids])])
+            chain = np.concatenate([y for x in ids for y in (x, end)])
+            row = pa.RecordBatch.from_pydict({"part": [part], "seg": [seg], "doc_ids": [list(names)], "n_tokens": [held], "payload": [encode_segment(chain, offsets)]}, schema)
             ids.clear()
             names.clear()
             seg, held = seg + 1, 0
             return row
 
-        for pdf in batches:
-            texts = [x or "" for x in pdf["t"]]
-            keys = [None if none else int(x) for x, none in zip(pdf["id"], pdf["none"], strict=True)]
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= BATCH_BYTES):
-                    size += len(texts[b])
-                    b += 1
-                for key, data in zip(keys[a:b], tok.encode(texts[a:b]), strict=True):
-                    ids.append(np.frombuffer(data + end, "<u4"))
-                    names.append(key)
-                    held += len(ids[-1])
-                    if held >= SEGMENT_TOKENS:
-                        yield segment()
-                a = b
+        def encoded() -> Iterator[tuple[int | None, np.ndarray]]:
+            waiting: list[pa.RecordBatch] = []
+            for batch in itertools.chain(small_batches(batches, "t", BATCH_BYTES), [None]):
+                # words come again in larger batches
+                if waiting and (batch is None or sum(x.nbytes for x in waiting) + batch.nbytes > BATCH_BYTES):
+                    rows = pa.Table.from_batches(waiting).combine_chunks()
+                    waiting = []
+                    for chunk in rows.to_batches():
+                        yield from zip(chunk.column("id").to_pylist(), tok.encode(chunk.column("t")), strict=True)
+                waiting += [batch] if batch is not None else []
+
+        for key, x in encoded():
+            ids.append(x)
+            names.append(key)
+            held += len(x) + 1
+            if held >= SEGMENT_TOKENS:
+                yield segment()
         if ids:
             yield segment()
 
     # the hash, not the text, breaks ties: range bounds are sampled on the driver
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "t").mapInPandas(encode, SEGMENTS).write.parquet(path)
+    rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t").mapInArrow(encode, SEGMENTS).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
