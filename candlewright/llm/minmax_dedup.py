@@ -193,7 +193,7 @@ def _small_pairs(members: DataFrame) -> DataFrame:
 def _star_pairs(large: DataFrame) -> DataFrame:
     """Every member of a large bucket with the bucket's hub: the member that meets the most others in all its buckets."""
     met = large.groupBy("fp").agg(F.sum("c").alias("met"))
-    hubs = large.join(met, "fp").groupBy("key").agg(F.max_by(F.struct("fp", "n"), F.struct("met", "fp")).alias("hub"))
+    hubs = materialize(large.join(met, "fp").groupBy("key").agg(F.max_by(F.struct("fp", "n"), F.struct("met", "fp")).alias("hub")), "hubs")
     pairs = large.join(hubs, "key").filter(F.col("fp") != F.col("hub.fp"))
     return pairs.select(F.col("fp").alias("a"), F.col("hub.fp").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
 
@@ -251,7 +251,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
     classes = materialize(t.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min(row).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("fp", "n", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    # what is counted by key is written before it is joined, so that Spark can split the tasks of large buckets
+    shared = materialize(placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
     members = materialize(placed.join(shared, "key"), "members")
     large = members.filter(F.col("c") > SMALL)
     pairs = materialize(_distinct_pairs(_small_pairs(members).union(_star_pairs(large))), "pairs")
@@ -261,7 +262,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     labels = components(edges)
     named = large.select("key", "fp").join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     named = materialize(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    open_keys = materialize(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "open-buckets")
     rest = materialize(named.join(open_keys, "key", "left_semi").select("fp", "comp").distinct(), "open")
     if not rest.isEmpty():
         more = materialize(_verified(materialize(_distinct_pairs(_rest_pairs(rest, sets)), "pairs"), sets), "links")
@@ -311,3 +312,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return same(rows.filter("NOT stays"), "left_anti").drop(f"{own}id", f"{own}th")
     once = same(again, "left_semi").dropDuplicates([f"{own}id", f"{own}th"])
     return same(rows.filter("NOT stays OR rows > 1"), "left_anti").union(once).drop(f"{own}id", f"{own}th")
+
+
+#: The links by brute force in DuckDB: all pairs of texts that share a shingle, and what can be reached over those in limits.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM documents JOIN m ON v = doc_id LEFT JOIN n USING (doc_id)
+"""

@@ -168,18 +168,13 @@ def _surprise(model: OrdinalModel, rows: list[np.ndarray], grades: np.ndarray) -
 
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
     """Largest posterior under the prior whose strength predicts rows left out best (the strongest for a single row)."""
-    fold = np.random.default_rng(0).permutation(len(rows)) % FOLDS
-    folds = []
+    fold, found = np.random.default_rng(0).permutation(len(rows)) % FOLDS, np.zeros(len(STRENGTHS))
     for f in range(FOLDS):
         own, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         if len(own) and len(out):
-            folds.append((_models([rows[i] for i in own], grades[own]), [rows[i] for i in out], grades[out]))
-    found: list[float] = []
-    # the path ends where weaker priors only get worse
-    while folds and len(found) < len(STRENGTHS) and (len(found) < 2 or found[-1] < found[-2]):
-        found.append(sum(_surprise(next(models), x, y) for models, x, y in folds))
-    best = int(np.argmin(found)) if found else 0
-    return next(itertools.islice(_models(rows, grades), best, None))
+            left = [rows[i] for i in out]
+            found += [_surprise(model, left, grades[out]) for model in _models([rows[i] for i in own], grades[own])]
+    return next(itertools.islice(_models(rows, grades), int(np.argmin(found)), None))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

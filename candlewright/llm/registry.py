@@ -11,7 +11,7 @@ from .common import host_of, prepared, read
 from .decontamination import LEAKS_SQL, find_leaks
 from .html_template import extract
 from .line_dedup import LINES_SQL, drop_site_lines, html_lines
-from .minmax_dedup import near_duplicates
+from .minmax_dedup import NEAR_SQL, near_duplicates
 from .mixing import MIX_SQL, mix_report
 from .quality_classifier import classify
 from .quality_rules import RULES_SQL, judge
@@ -71,4 +71,4 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: prepared(f) for f in (op1_html_template, op3_line_dedup, op2_quality_classifier, op4_url_filters, op8_quality_rules, op7_minmax_dedup, op5_shards, op6_token_codes, op9_mix, op10_decontamination)}
-ORACLES: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op4_url_filters": URLS_SQL, "op8_quality_rules": RULES_SQL, "op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
+ORACLES: dict[str, str] = {"op7_minmax_dedup": NEAR_SQL, "op3_line_dedup": LINES_SQL, "op4_url_filters": URLS_SQL, "op8_quality_rules": RULES_SQL, "op10_decontamination": LEAKS_SQL, "op9_mix": MIX_SQL}
