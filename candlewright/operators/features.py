@@ -88,61 +88,83 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], keys: Sequence[str]
     """Exponentially weighted means: specs maps an output column to (input column, alpha).
 
     y_0 = x_0 and y_t = (1 - alpha) y_{t-1} + alpha x_t from the first value of the series on; leading nulls stay null, and
-    there may be none after it (fill forward first).
+    there may be none after it (fill forward first). Equal times come in any order; an empty input gives an empty result.
 
-    y_t is a weighted sum over all earlier rows. Each series is cut in blocks so long that a block fades to e^-12: within
-    a block the sum is a running sum of x / (1 - alpha)^position, and of earlier blocks only four matter in double
-    precision. So it takes window functions with one exchange by series, whatever the series' length.
+    y_t is a weighted sum over all earlier rows. Each series is cut in blocks, one length for all specs, so long that the
+    slowest of them fades to e^-12 over a block: within a block the sum is a running sum of x / (1 - alpha)^position, and of
+    earlier blocks only four matter in double precision. So all specs of a call together take two sorts of the series, in
+    one exchange, whatever the series' length.
     """
+    fades = {out: -math.log1p(-alpha) for out, (_, alpha) in specs.items() if alpha < 1}
+    df = df.withColumns({out: F.col(column) for out, (column, alpha) in specs.items() if alpha >= 1})
+    if not fades:
+        return df
+    # a fast mean's weights must stay finite over the block of the slowest one
+    length = max(1, min(math.ceil(12 / min(fades.values())), math.floor(600 / max(fades.values()))))
+    back = [math.ceil(48 / (fade * length)) for fade in fades.values()]
     w = series(keys, order)
-    for out, (column, alpha) in specs.items():
-        if alpha >= 1:
-            df = df.withColumn(out, F.col(column))
-            continue
-        fade = -math.log1p(-alpha)
-        length = max(1, math.ceil(12 / fade))
-        x, so_far = F.col(column), w.rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumns({"_pos": F.count(x).over(so_far) - 1, "_seed": F.first(x, ignorenulls=True).over(so_far)})
-        df = df.withColumns({"_block": F.floor(F.col("_pos") / length), "_in": F.col("_pos") % length})
-        part = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn("_local", alpha * F.exp(-fade * F.col("_in")) * F.sum(x * F.exp(fade * F.col("_in"))).over(part))
-        by_block = Window.partitionBy(*keys).orderBy("_block")
-        carry = F.lit(0.0)
-        for j in range(1, 5):
-            last = F.max_by("_local", "_in").over(by_block.rangeBetween(-j, -j))
-            carry = carry + F.coalesce(last, F.lit(0.0)) * math.exp(-fade * length * (j - 1))
-        value = F.col("_local") + F.exp(-fade * (F.col("_in") + 1)) * carry + F.exp(-fade * (F.col("_pos") + 1)) * F.col("_seed")
-        df = df.withColumn(out, F.when(F.col("_pos") >= 0, value)).drop("_pos", "_seed", "_block", "_in", "_local")
-    return df
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    columns = {specs[out][0] for out in fades}
+    seen = {f"_n_{c}": F.count(c).over(so_far) for c in columns} | {f"_seed_{c}": F.first(c, ignorenulls=True).over(so_far) for c in columns}
+    df = df.withColumns({"_row": F.row_number().over(w) - 1, **seen})
+    df = df.withColumns({"_block": F.floor(F.col("_row") / length), "_in": F.col("_row") % length})
+    part = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = lambda out: specs[out][1] * F.exp(-fades[out] * F.col("_in")) * F.coalesce(F.sum(F.col(specs[out][0]) * F.exp(fades[out] * F.col("_in"))).over(part), F.lit(0.0))
+    df = df.withColumns({f"_local_{out}": local(out) for out in fades})
+    by_block = Window.partitionBy(*keys).orderBy("_block")
+    lasts = {f"_last_{out}_{j}": F.max_by(f"_local_{out}", "_in").over(by_block.rangeBetween(-j, -j)) for out, n in zip(fades, back, strict=True) for j in range(1, n + 1)}
+    df = df.withColumns(lasts)
+    values = {}
+    for (out, fade), n in zip(fades.items(), back, strict=True):
+        column = specs[out][0]
+        carry = sum((F.coalesce(F.col(f"_last_{out}_{j}"), F.lit(0.0)) * math.exp(-fade * length * (j - 1)) for j in range(1, n + 1)), F.lit(0.0))
+        value = F.col(f"_local_{out}") + F.exp(-fade * (F.col("_in") + 1)) * carry + F.exp(-fade * F.col(f"_n_{column}")) * F.col(f"_seed_{column}")
+        values[out] = F.when(F.col(f"_n_{column}") > 0, value)
+    return df.withColumns(values).drop("_row", "_block", "_in", *seen, *(f"_local_{out}" for out in fades), *lasts)
 
 
 def ema(df: DataFrame, span: int = 20, column: str = "close", out: str = "ema_20", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     return ewm(df, {out: (column, 2 / (span + 1))}, keys, order)
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
-    """macd, macd_signal, macd_hist."""
-    df = ewm(df, {"_fast": (column, 2 / (fast + 1)), "_slow": (column, 2 / (slow + 1))}, keys, order)
+def _macd_of(df: DataFrame, signal: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """macd, macd_signal and macd_hist from _fast and _slow."""
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     df = ewm(df, {"macd_signal": ("macd", 2 / (signal + 1))}, keys, order)
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+    """macd, macd_signal, macd_hist."""
+    return _macd_of(ewm(df, {"_fast": (column, 2 / (fast + 1)), "_slow": (column, 2 / (slow + 1))}, keys, order), signal, keys, order)
+
+
+def _moves(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """_up and _down: moves of the column, null for the first row."""
+    df = df.withColumn("_move", F.col(column) - F.lag(column).over(series(keys, order)))
+    # greatest() skips nulls, the first move must stay one
+    part = lambda move: F.when(F.col("_move").isNotNull(), F.greatest(move, F.lit(0.0)))
+    return df.withColumns({"_up": part(F.col("_move")), "_down": part(-F.col("_move"))}).drop("_move")
+
+
+def _rsi_of(df: DataFrame) -> DataFrame:
+    """rsi from _mean_up and _mean_down."""
+    value = 100 - 100 / (1 + F.col("_mean_up") / (F.col("_mean_down") + F.lit(1e-9)))
+    return df.withColumn("rsi", value).drop("_up", "_down", "_mean_up", "_mean_down")
+
+
 def rsi(df: DataFrame, period: int = 14, column: str = "close", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """rsi from means of up and down moves with alpha = 1 / period; the first row is null."""
-    move = F.col(column) - F.lag(column).over(series(keys, order))
-    # greatest() skips nulls, the first move must stay one
-    df = df.withColumn("_move", move).withColumns({"_up": F.when(F.col("_move").isNotNull(), F.greatest("_move", F.lit(0.0))), "_down": F.when(F.col("_move").isNotNull(), F.greatest(-F.col("_move"), F.lit(0.0)))})
-    df = ewm(df, {"_mean_up": ("_up", 1 / period), "_mean_down": ("_down", 1 / period)}, keys, order)
-    return df.withColumn("rsi", 100 - 100 / (1 + F.col("_mean_up") / (F.col("_mean_down") + F.lit(1e-9)))).drop("_move", "_up", "_down", "_mean_up", "_mean_down")
+    df = ewm(_moves(df, column, keys, order), {"_mean_up": ("_up", 1 / period), "_mean_down": ("_down", 1 / period)}, keys, order)
+    return _rsi_of(df)
 
 
 def all_features(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """The feature set of the training pipeline; df is clean and dealt by series."""
     f = Features(keys, order)
     df = df.withColumns({"log_return": f.log_return(), "return": f.simple_return()})
-    df = volatility(df, 14, "log_return", keys, order)
-    df = macd(rsi(df, 14, "close", keys, order), keys=keys, order=order)
-    df = df.withColumns(f.bollinger()).withColumn("ma_20", f.moving_average())
-    df = ema(df, 20, keys=keys, order=order)
-    return df.withColumns({"intraday": f.intraday(), "overnight": f.overnight(), "amplitude": f.amplitude(), **f.time()})
+    df = volatility(df, 14, "log_return", keys, order).withColumns(f.bollinger()).withColumn("ma_20", f.moving_average())
+    df = df.withColumns({"intraday": f.intraday(), "overnight": f.overnight(), "amplitude": f.amplitude(), **f.time()})
+    # all means of prices in one call, only the signal needs another
+    means = {"_mean_up": ("_up", 1 / 14), "_mean_down": ("_down", 1 / 14), "_fast": ("close", 2 / 13), "_slow": ("close", 2 / 27), "ema_20": ("close", 2 / 21)}
+    return _macd_of(_rsi_of(ewm(_moves(df, "close", keys, order), means, keys, order)), 9, keys, order)
