@@ -1,22 +1,24 @@
 """Forecasts of many series: a baseline in SQL, and order-selected ARIMA models, one (series, order) a task row.
 
 The solver is conditional sum of squares with numpy; AIC = n ln(s2) + 2k over one common sample of a series, so orders
-compare. Fits read the whole
-series, one float array a task, unless max_rows cuts it to its last rows.
+compare. Fits read the whole series, one float array a task, unless max_rows cuts it to its last rows. Prices of equal
+times are taken in order of price. A series is gathered once, with its differencing order, and its array then goes to
+a task for each order of the grid.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import best_model
+from .joins import resolve_tickers
 
 #: (p, q) without (0, 0), and the seasonal grid (p, d, q, P, D, Q): fixed values.
 ORDERS = [(p, q) for p in range(4) for q in range(4) if (p, q) != (0, 0)]
@@ -26,6 +28,8 @@ PERIOD = 7
 #: and of the KPSS level test (published constants).
 ADF_CRITICAL = {"1%": (-3.43035, -6.5393), "5%": (-2.86154, -2.8903), "10%": (-2.56677, -1.5384)}
 KPSS_5 = 0.463
+#: 5% critical values of the Dickey-Fuller test with a trend by sample size (published constants).
+TREND_5 = ((25, 50, 100, 250, 500, 100_000), (-3.60, -3.50, -3.45, -3.43, -3.42, -3.41))
 #: Response surface of the Dickey-Fuller p-value with a constant (published constants): small and large statistics.
 ADF_SMALL, ADF_LARGE, ADF_STAR, ADF_MIN, ADF_MAX = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368), -1.61, -18.83, 2.74
 
@@ -37,8 +41,8 @@ def prices(candles: DataFrame, keys: Sequence[str] = ("name",), time: str = "beg
 
 
 def baseline_forecast(candles: DataFrame, period: int, keys: Sequence[str] = ("name",), time: str = "begin") -> DataFrame:
-    """Mean of the last max(1, min(n, period)) prices of each series."""
-    last = Window.partitionBy(*keys).orderBy(F.col(time).desc())
+    """Mean of the last max(1, min(n, period)) prices of each series; of equal times the larger price is the later one."""
+    last = Window.partitionBy(*keys).orderBy(F.col(time).desc(), F.col("price").desc())
     rows = prices(candles, keys, time).withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= max(1, period))
     return rows.groupBy(*keys).agg(F.avg("price").alias("forecast_price"))
 
@@ -91,32 +95,48 @@ def adf(x: np.ndarray) -> tuple[float, float]:
 
 
 def kpss(x: np.ndarray) -> float:
-    """KPSS statistic around a level."""
+    """KPSS statistic around a level, with the short lag trunc(3 sqrt(n) / 13)."""
     n = len(x)
     if n < 3 or np.ptp(x) == 0:
         return math.nan
     e = x - x.mean()
-    lags = min(int(math.ceil(12 * (n / 100) ** 0.25)), n - 1)
+    lags = min(int(3 * math.sqrt(n) / 13), n - 1)
     s2 = e @ e / n + 2 / n * sum((1 - j / (lags + 1)) * (e[j:] @ e[:-j]) for j in range(1, lags + 1))
     return float((np.cumsum(e) ** 2).sum() / n**2 / s2) if s2 > 0 else math.nan
 
 
+def adf_with_trend(x: np.ndarray) -> tuple[float, float]:
+    """Dickey-Fuller statistic with a constant and a trend, with trunc((n - 1)^(1/3)) lags, and its 5% critical value."""
+    lags = int(np.cbrt(max(len(x) - 1, 0)) + 1e-9)
+    dx = np.diff(x)
+    y, n = dx[lags:], len(dx)
+    if len(y) < lags + 5 or np.ptp(x) == 0:
+        return math.nan, math.nan
+    a = np.column_stack([x[lags:-1], np.ones(len(y)), np.arange(lags, n), *(dx[lags - j : -j] for j in range(1, lags + 1))])
+    b, *_ = np.linalg.lstsq(a, y, rcond=None)
+    e = y - a @ b
+    try:
+        se = math.sqrt(e @ e / (len(y) - a.shape[1]) * np.linalg.inv(a.T @ a)[0, 0])
+    except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
+        return math.nan, math.nan
+    return (b[0] / se if se > 0 else math.nan), float(np.interp(n, *TREND_5))
+
+
 def difference_order(x: np.ndarray) -> int:
-    """Smallest d of 0 to 2 whose d-th difference passes the ADF test at 5%; 3 if none does. It stops early, with the
-    order it has come to, where fewer than 3 points are left or the test refuses its input."""
-    d = 0
-    while d <= 2:
-        y = np.diff(x, n=d)
-        p = adf(y)[1] if len(y) >= 3 else math.nan
-        if math.isnan(p) or p < 0.05:
-            break
-        d += 1
-    return d
+    """The first of 0 to 2 whose difference the ADF test finds stationary at 5%, or cannot judge; 3 if there is none."""
+    p_values = (adf(np.diff(x, n=d))[1] for d in range(3))
+    return next((d for d, p in enumerate(p_values) if not p >= 0.05), 3)
 
 
 def ndiffs(x: np.ndarray, most: int = 2) -> int:
-    """The larger of the orders that the ADF and KPSS tests ask for, at 5%."""
-    by_adf = next((d for d in range(most) if adf(np.diff(x, n=d))[1] < 0.05), most)
+    """The larger of the orders that the ADF test with a trend and the KPSS test ask for, at 5%; a test that cannot judge its
+    input asks for no more."""
+
+    def passes(y: np.ndarray) -> bool:
+        t, critical = adf_with_trend(y)
+        return not t >= critical
+
+    by_adf = next((d for d in range(most) if passes(np.diff(x, n=d))), most)
     by_kpss = next((d for d in range(most) if not kpss(np.diff(x, n=d)) > KPSS_5), most)
     return max(by_adf, by_kpss)
 
@@ -222,15 +242,30 @@ def predict_arima(x: np.ndarray, fit: dict, order: tuple[int, int, int], steps:
     return out
 
 
-#: A model plug-in: (prices of one series in order, its parameters, steps) -> predicted means.
-FitPredict = Callable[[np.ndarray, dict, int], np.ndarray]
+#: A model that the jobs fit: (prices of one series in order, the series' differencing order, a point of the grid as a tuple
+#: of numbers, steps) -> (label, score, predicted means), or None where it cannot be fitted. The smallest score wins.
+FitPredict = Callable[[np.ndarray, int, tuple, int], tuple[str, float, Sequence[float]] | None]
+
+
+def arima(x: np.ndarray, d: int, point: tuple, steps: int, skip: int = 3) -> tuple[str, float, Sequence[float]] | None:
+    """ARIMA(p, d, q) for point (p, q)."""
+    order = (point[0], d, point[1])
+    got = fit_arima(x, order, skip=d + skip) if len(x) >= 4 else None
+    return got and (str((*order, 0, 0, 0)), got["aic"], predict_arima(x, got, order, steps) if steps > 0 else [])
+
+
+def sarima(x: np.ndarray, d: int, point: tuple, steps: int) -> tuple[str, float, Sequence[float]] | None:
+    """ARIMA(p, d, q)(P, D, Q) of PERIOD for point (p, d, q, P, D, Q); the series' own order is not used."""
+    order, season = tuple(point[:3]), tuple(point[3:])
+    got = fit_arima(x, order, season, skip=2 * PERIOD + 2) if len(x) >= 4 else None
+    return got and (str((*order, *season)), got["aic"], predict_arima(x, got, order, steps, season) if steps > 0 else [])
 
 
 def stationarity(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     """For each series (name, begin, price): ADF report of its first difference, and differencing orders."""
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("begin")["price"].to_numpy(float)
+        x = pdf.sort_values(["begin", "price"])["price"].to_numpy(float)
         dx = np.diff(x)
         t, p = adf(dx)
         n = max(len(dx) - 1, 1)
@@ -240,49 +275,68 @@ def stationarity(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     return recent(rows, max_rows=max_rows).groupBy("name").applyInPandas(report, "name string, adf double, p_value double, critical_1 double, critical_5 double, critical_10 double, d int, ndiffs int")
 
 
-def order_fits(rows: DataFrame, period: int | None, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS, differences: Callable[[np.ndarray], int] = difference_order) -> DataFrame:
-    """One row for each series and order of the grid: grid_index, aic (null if the fit failed) and the forecast path.
+def gathered(rows: DataFrame, differences: Callable[[np.ndarray], int], max_rows: int | None = None) -> DataFrame:
+    """(name, prices, d, steps): each series as one array in order of time, with its differencing order."""
+    steps = "steps" if "steps" in rows.columns else F.lit(0).alias("steps")
 
-    Every order of a series is a group of its own, so orders of one series run in parallel. Without a period, a series has
-    its number of steps in a column `steps`.
-    """
-    grid = SEASONAL if seasonal else list(orders)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, steps = int(pdf["grid_index"].iloc[0]), int(pdf["steps"].iloc[0]) if period is None else period
-        x = pdf.sort_values("begin")["price"].to_numpy(float)
-        if seasonal:
-            p, d, q, sp, sd, sq = grid[k]
-            order, season, skip = (p, d, q), (sp, sd, sq), 2 * PERIOD + 2
-        else:
-            d = differences(x)
-            order, season, skip = (grid[k][0], d, grid[k][1]), (0, 0, 0), d + max(max(g) for g in grid)
-        got = fit_arima(x, order, season, skip=skip) if len(x) >= 4 else None
-        path = predict_arima(x, got, order, steps, season) if got and steps > 0 else np.zeros(0)
-        ok = got is not None and np.isfinite(path).all()
-        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "grid_index": [k], "order": [str((*order, *season) if seasonal else order)], "aic": [got["aic"] if ok else None], "path": [list(path) if ok else []]})
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(["begin", "price"])["price"].to_numpy(float)
+        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "prices": [x], "d": [differences(x)], "steps": [pdf["steps"].iloc[0]]})
+
+    rows = recent(rows, max_rows=max_rows).select("name", "begin", "price", steps)
+    return rows.groupBy("name").applyInPandas(gather, "name string, prices array<double>, d int, steps int")
 
-    spread = recent(rows, max_rows=max_rows).withColumn("grid_index", F.explode(F.array(*(F.lit(i) for i in range(len(grid))))))
-    return spread.groupBy("name", "grid_index").applyInPandas(fit, "name string, grid_index int, `order` string, aic double, path array<double>")
 
+def order_fits(rows: DataFrame, period: int | None, max_rows: int | None = None, grid: Sequence[tuple] = tuple(ORDERS), differences: Callable[[np.ndarray], int] = difference_order, model: FitPredict = arima) -> DataFrame:
+    """One row for each series (name, begin, price) and point of the grid: grid_index, order (the model's label), aic (its
+    score; null if the fit failed) and the forecast path.
 
-def auto_forecast(candles: DataFrame, period: int, max_rows: int | None = None, seasonal: bool = False, orders: Sequence[tuple[int, int]] = ORDERS, differences: Callable[[np.ndarray], int] = difference_order) -> DataFrame:
-    """forecast_price, model, order and path of each series: the last step of the order with the smallest AIC, or the
-    baseline if no order could be fitted."""
+    Every point of a series is a row of its own, so those of one series are fitted in parallel. Without a period, a series
+    has its number of steps in a column `steps`. Series of too few prices fail, and an empty input has no rows.
+    """
+    points = list(grid)
+    # orders of one series compare over one sample
+    fitted = functools.partial(arima, skip=max(max(g) for g in points)) if model is arima else model
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, x, d, steps, k in zip(pdf["name"], pdf["prices"], pdf["d"], pdf["steps"], pdf["grid_index"], strict=True):
+                got = fitted(np.asarray(x, float), int(d), points[k], int(steps) if period is None else period)
+                ok = got is not None and np.isfinite(got[2]).all()
+                out.append((name, k, got[0] if got else None, got[1] if ok else None, list(got[2]) if ok else []))
+            yield pd.DataFrame(out, columns=["name", "grid_index", "order", "aic", "path"])
+
+    # dealt by series and point, as many tasks as there are shuffle partitions
+    series = gathered(rows, differences, max_rows)
+    spread = series.withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1)))).repartition("name", "grid_index")
+    return spread.mapInPandas(fit, "name string, grid_index int, `order` string, aic double, path array<double>")
+
+
+def auto_forecast(candles: DataFrame, period: int, max_rows: int | None = None, grid: Sequence[tuple] = tuple(ORDERS), differences: Callable[[np.ndarray], int] = difference_order, model: FitPredict = arima, label: str = "arima") -> DataFrame:
+    """forecast_price, model, order and path of each series: the last step of the point with the smallest score, or the
+    baseline if none could be fitted."""
     if period <= 0:
         raise ValueError("the forecast period must be positive")
-    fits = order_fits(prices(candles), period, max_rows, seasonal, orders, differences)
-    best = best_model(fits).join(fits.drop("aic"), ["name", "grid_index"])
+    fits = order_fits(prices(candles), period, max_rows, grid, differences, model)
+    best = chosen(fits)
     base = baseline_forecast(candles, period).withColumnRenamed("forecast_price", "_base")
     out = base.join(best, "name", "left")
-    return out.select("name", F.coalesce(F.element_at("path", -1), "_base").alias("forecast_price"), F.when(F.col("path").isNull(), "baseline").otherwise("arima").alias("model"), "order", "path")
+    return out.select("name", F.coalesce(F.element_at("path", -1), "_base").alias("forecast_price"), F.when(F.col("path").isNull(), "baseline").otherwise(label).alias("model"), "order", "path")
+
+
+def chosen(fits: DataFrame) -> DataFrame:
+    """(name, order, path) of the fit with the smallest score, the first in the grid on ties; fits are made once."""
+    good = fits.filter(F.col("aic").isNotNull() & ~F.isnan("aic"))
+    return good.groupBy("name").agg(F.min_by(F.struct("order", "path"), F.struct("aic", "grid_index")).alias("_b")).select("name", "_b.order", "_b.path")
 
 
 def walk_forward(rows: DataFrame, order: tuple[int, int, int] = (1, 1, 1), test_share: float = 0.3, max_rows: int | None = None) -> DataFrame:
-    """One-step forecasts over each series' test part, with 95% limits; parameters are fixed on the train part."""
+    """One-step forecasts over each series' test part, with 95% limits; parameters are fixed on the train part. Series whose
+    train part cannot be fitted have no rows."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("begin")["price"].to_numpy(float)
+        x = pdf.sort_values(["begin", "price"])["price"].to_numpy(float)
         cut = int(len(x) * (1 - test_share))
         got = fit_arima(x[:cut], order) if cut >= 4 else None
         if got is None:
@@ -296,27 +350,31 @@ def walk_forward(rows: DataFrame, order: tuple[int, int, int] = (1, 1, 1), test_
     return recent(rows, max_rows=max_rows).groupBy("name").applyInPandas(walk, "name string, step int, y double, yhat double, lo double, hi double")
 
 
-def forecast_requests(requests: DataFrame, candles: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Responses of request rows (request_id, isin, interval, forecast_period): each distinct (isin, interval) is fitted once,
-    on candles of that interval, for as many steps as its longest request asks for.
+def forecast_requests(requests: DataFrame, candles: DataFrame, max_rows: int | None = None, securities: DataFrame | None = None) -> DataFrame:
+    """Responses of request rows (request_id, isin, interval, forecast_period): each distinct (ticker, interval) is fitted
+    once, on candles of that interval, for as many steps as its longest request asks for.
 
-    Candles without an interval column are of one interval, which is not known, and serve all. Unknown intervals and keys
-    without candles fail with an error text; all others complete. A null forecast_period counts as 1.
+    Candles are those of the isin's first security in securities (isin, secid, rank); without such a table their names are
+    isins. Candles without an interval column are of one interval, which is not known, and serve all. Unknown intervals and
+    keys without candles fail with an error text; all others complete. A null forecast_period counts as 1, repeated
+    requests are answered each, and no requests have no answers.
     """
-    keys = ["isin", "interval"]
     asked = requests.withColumn("_n", F.greatest("forecast_period", F.lit(1)))
-    wanted = asked.filter(F.col("interval").isNotNull()).groupBy(*keys).agg(F.max("_n").alias("steps"))
-    wanted = wanted.withColumn("_key", F.concat_ws("|", F.col("interval").cast("string"), "isin"))
-    of = candles.withColumnRenamed("name", "isin")
-    rows = of.join(wanted, keys if "interval" in candles.columns else "isin").select(F.col("_key").alias("name"), "steps", "begin", "open", "close")
-    series = prices(rows, ("name", "steps"))
-    fits = order_fits(series, None, max_rows)
-    paths = best_model(fits).join(fits.drop("aic"), ["name", "grid_index"]).select(F.col("name").alias("_key"), "path")
-    last = Window.partitionBy("name").orderBy(F.col("begin").desc())
-    back = series.select(F.col("name").alias("_key"), F.row_number().over(last).alias("_rn"), F.avg("price").over(last.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"), "steps").filter("_rn <= steps").drop("steps")
+    asked = asked.withColumn("ticker", F.col("isin")) if securities is None else resolve_tickers(asked.drop("ticker"), securities)
+    keys = ["ticker", "interval"]
+    wanted = asked.filter(F.col("interval").isNotNull() & F.col("ticker").isNotNull()).groupBy(*keys).agg(F.max("_n").alias("steps"))
+    wanted = wanted.withColumn("_key", F.concat_ws("|", F.col("interval").cast("string"), "ticker"))
+    rows = candles.withColumnRenamed("name", "ticker").join(wanted, keys if "interval" in candles.columns else "ticker")
+    series = prices(rows.select(F.col("_key").alias("name"), "steps", "begin", "open", "close"), ("name", "steps"))
+    paths = chosen(order_fits(series, None, max_rows)).select(F.col("name").alias("_key"), "path")
+    last = Window.partitionBy("name").orderBy(F.col("begin").desc(), F.col("price").desc())
+    mean = F.avg("price").over(last.rowsBetween(Window.unboundedPreceding, 0))
+    back = series.select(F.col("name").alias("_key"), F.row_number().over(last).alias("_rn"), mean.alias("_base"), "steps").filter("_rn <= steps").drop("steps")
     lengths = back.groupBy("_key").agg(F.max("_rn").alias("_most"))
     out = asked.join(wanted.select(*keys, "_key"), keys, "left").join(lengths, "_key", "left").withColumn("_rn", F.least("_n", "_most"))
     out = out.join(back, ["_key", "_rn"], "left").join(paths, "_key", "left").withColumn("model", F.when(F.col("path").isNotNull(), "arima").when(F.col("_base").isNotNull(), "baseline"))
     price = F.coalesce(F.try_element_at("path", F.col("_n").cast("int")), "_base")
     error = F.when(F.col("interval").isNull(), "unsupported time frame").when(F.col("model").isNull(), "no candles").when(F.col("forecast_period") <= 0, "period must be positive")
-    return out.withColumn("error", error).select("request_id", "isin", "forecast_period", F.when(F.col("error").isNull(), price).alias("forecast_price"), F.when(F.col("error").isNull(), F.col("model")).alias("model"), F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error")
+    done = F.col("error").isNull()
+    answers = [F.when(done, price).alias("forecast_price"), F.when(done, F.col("model")).alias("model"), F.when(done, "completed").otherwise("failed").alias("status")]
+    return out.withColumn("error", error).select("request_id", "isin", "forecast_period", *answers, "error")

@@ -54,22 +54,28 @@ def histogram(df: DataFrame, column: str = "close", bins: int = 20, keys: Sequen
     return rows.groupBy(*keys, "bin").agg(F.count("*").alias("count"), F.first(F.col("_lo") + (F.col("_hi") - F.col("_lo")) / bins * (F.col("bin") - 1)).alias("left_edge"))
 
 
-def kernel_density(df: DataFrame, column: str = "close", points: int = 1000, keys: Sequence[str] = KEYS, digits: int | None = None) -> DataFrame:
-    """Gaussian density with Scott's bandwidth on a grid half a range beyond both ends.
+def kernel_density(df: DataFrame, column: str = "close", points: int = 1000, keys: Sequence[str] = KEYS, digits: int | None = None, block: int = 100) -> DataFrame:
+    """Gaussian density with Scott's bandwidth on a grid half a range beyond both ends; none for a single value.
 
-    Equal values are counted first, after rounding to `digits` if given, so each series brings its distinct values only;
-    every grid point then adds up the kernels of those.
+    Equal values are counted first, after rounding to `digits` if given (which moves the density by no more than rounding
+    moves the values); every grid point then adds up the kernels of the distinct values. A series' points are dealt to a
+    task for each `block` of them, so that even one series uses many tasks.
     """
     value = F.round(column, digits) if digits is not None else F.col(column)
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, value.alias("_x")).agg(F.count("*").alias("_k"))
     ends = df.groupBy(*keys).agg(F.count(column).alias("_n"), F.stddev_samp(column).alias("_s"), F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    grid = ends.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((points - 1) // block)))
     start, end = F.col("_lo") - (F.col("_hi") - F.col("_lo")) / 2, F.col("_hi") + (F.col("_hi") - F.col("_lo")) / 2
-    grid = grid.withColumns({"x": start + (end - start) * F.col("_i") / (points - 1), "_h": F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_s")})
+    at = lambda i: start + (end - start) * i / (points - 1)
+    first = F.col("_b") * block
+    grid = ends.withColumn("_h", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_s")).filter(F.col("_h") > 0).withColumn("_b", blocks)
+    grid = grid.withColumn("_at", F.transform(F.sequence(first, F.least(first + block, F.lit(points)) - 1), at)).select(*keys, "_b", "_n", "_h", "_at")
+    near = counts.withColumn("_b", blocks).join(grid, [*keys, "_b"])
+    point = near.select(*keys, "_b", "_n", "_h", "_x", "_k", F.posexplode("_at").alias("_j", "x"))
     z = (F.col("x") - F.col("_x")) / F.col("_h")
     total = F.sum(F.col("_k") * F.exp(-0.5 * z * z))
-    rows = counts.join(grid, list(keys)).filter(F.col("_h") > 0).groupBy(*keys, F.col("_i").alias("point")).agg(F.first("x").alias("x"), (total / F.first(F.col("_n") * F.col("_h")) / math.sqrt(2 * math.pi)).alias("density"))
-    return rows
+    rows = point.groupBy(*keys, "_b", "_j").agg(F.first("x").alias("x"), (total / F.first(F.col("_n") * F.col("_h")) / math.sqrt(2 * math.pi)).alias("density"))
+    return rows.select(*keys, (F.col("_b") * block + F.col("_j")).alias("point"), "x", "density")
 
 
 def autocorrelation(df: DataFrame, column: str = "close", lags: int = 50, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:

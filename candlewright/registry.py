@@ -171,15 +171,26 @@ add("argmin_model", lambda s, d: stats.best_model(A.table(s, d, "lineitem").grou
 add("histogram", lambda s, d: stats.histogram(A.bars_from_events(s, d)).select("name", "bin", "count", r("left_edge").alias("left_edge")),
     f"""WITH e AS (SELECT name, min(close) AS lo, max(close) AS hi FROM bars GROUP BY name), b AS (SELECT name, lo, hi, CASE WHEN hi > lo THEN least(floor((close - lo) / (hi - lo) * 20) + 1, 20) ELSE 11 END::INT AS bin FROM bars JOIN e USING (name)),
 c AS (SELECT name, bin, count(*) AS count, any_value(lo + (hi - lo) / 20 * (bin - 1)) AS left_edge FROM b GROUP BY name, bin) SELECT name, bin, count, {rs('left_edge')} AS left_edge FROM c""", "bars")
-add("kde", lambda s, d: stats.kernel_density(A.bars_from_events(s, d), points=50).select("name", "point", r("x", 4).alias("x"), r("density").alias("density")),
-    f"""WITH e AS (SELECT name, count(close) AS n, stddev_samp(close) AS s, min(close) AS lo, max(close) AS hi FROM bars GROUP BY name), g AS (SELECT *, unnest(range(50))::INT AS point FROM e),
-h AS (SELECT name, point, n, (lo - (hi - lo) / 2) + ((hi + (hi - lo) / 2) - (lo - (hi - lo) / 2)) * point / 49 AS x, pow(n, -0.2) * s AS h FROM g),
+add("kde", lambda s, d: stats.kernel_density(A.bars_from_events(s, d)).select("name", "point", r("x", 4).alias("x"), r("density").alias("density")),
+    f"""WITH e AS (SELECT name, count(close) AS n, stddev_samp(close) AS s, min(close) AS lo, max(close) AS hi FROM bars GROUP BY name), g AS (SELECT *, unnest(range(1000))::INT AS point FROM e),
+h AS (SELECT name, point, n, (lo - (hi - lo) / 2) + ((hi + (hi - lo) / 2) - (lo - (hi - lo) / 2)) * point / 999 AS x, pow(n, -0.2) * s AS h FROM g),
 k AS (SELECT name, point, any_value(x) AS x, sum(exp(-0.5 * ((x - close) / h) * ((x - close) / h))) / any_value(n * h) / sqrt(2 * pi()) AS density FROM h JOIN bars USING (name) GROUP BY name, point)
 SELECT name, point, {rs('x', 4)} AS x, {rs('density')} AS density FROM k""", "bars")
 add("acf", lambda s, d: stats.autocorrelation(A.bars_from_events(s, d), lags=50).select("name", "lag", r("acf").alias("acf")),
     f"""WITH m AS (SELECT name, row_number() {W} AS rn, close - avg(close) OVER (PARTITION BY name) AS dv FROM bars), t AS (SELECT name, sum(dv * dv) AS s FROM m GROUP BY name), l AS (SELECT unnest(range(1, 51))::INT AS lag),
 p AS (SELECT a.name, lag, sum(a.dv * b.dv) AS p FROM m a CROSS JOIN l JOIN m b ON b.name = a.name AND b.rn = a.rn - lag GROUP BY ALL), q AS (SELECT name, lag, p / s AS acf FROM p JOIN t USING (name)) SELECT name, lag, {rs('acf')} AS acf FROM q""", "bars")
-add("pacf", lambda s, d: stats.partial_autocorrelation(stats.autocorrelation(A.bars_from_events(s, d), lags=50)))
+# Durbin-Levinson as a recursion over the lags: phi holds the coefficients, v what is left of the variance.
+PACF = f"""WITH m AS (SELECT name, row_number() {W} AS rn, close - avg(close) OVER (PARTITION BY name) AS dv FROM bars),
+t AS (SELECT name, sum(dv * dv) AS s FROM m GROUP BY name), l AS (SELECT unnest(range(1, 51))::INT AS lag),
+p AS (SELECT a.name, lag, sum(a.dv * b.dv) AS p FROM m a CROSS JOIN l JOIN m b ON b.name = a.name AND b.rn = a.rn - lag GROUP BY ALL),
+q AS (SELECT name, list(p / s ORDER BY lag) AS r FROM p JOIN t USING (name) GROUP BY name),
+e AS (
+  SELECT name, r, 1 AS lag, r[1] AS a, [r[1]] AS phi, 1 - r[1] * r[1] AS v FROM q
+  UNION ALL
+  SELECT name, r, lag + 1, na, list_append(list_transform(phi, lambda x, i: x - na * phi[lag + 1 - i]), na), v * (1 - na * na)
+  FROM (SELECT *, (r[lag + 1] - list_sum(list_transform(phi, lambda x, i: x * r[lag + 1 - i]))) / v AS na FROM e WHERE lag < len(r)))
+SELECT name, lag::INT AS lag, {rs('a')} AS pacf FROM e"""
+add("pacf", lambda s, d: stats.partial_autocorrelation(stats.autocorrelation(A.bars_from_events(s, d), lags=50)).select("name", "lag", r("pacf").alias("pacf")), PACF, "bars", recursive=True)
 
 # ---- cleaning ----
 add("dedup", lambda s, d: clean.drop_duplicate_times(A.dup_bars(s, d)).select("name", tx(), "close", "seq"), f"SELECT name, {txs()}, close, seq FROM dup WHERE seq = 0", "bars", "dup")
@@ -310,8 +321,8 @@ STEPWISE = [(p, q) for p in range(11) for q in range(11) if p + q]
 add("adf_report", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "adf", "p_value", "critical_1", "critical_5", "critical_10"))
 add("diff_order", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "d", "ndiffs"))
 add("arima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7))
-add("arima_stepwise_bound", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, orders=STEPWISE, differences=forecast.ndiffs))
-add("sarima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 30, seasonal=True).select("name", "model", "order", F.posexplode("path").alias("step", "yhat")))
+add("arima_stepwise_bound", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, grid=STEPWISE, differences=forecast.ndiffs))
+add("sarima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 30, grid=forecast.SEASONAL, model=forecast.sarima).select("name", "model", "order", F.posexplode("path").alias("step", "yhat")))
 add("walk_forward", lambda s, d: forecast.walk_forward(_prices(s, d)))
 
 
