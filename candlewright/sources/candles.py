@@ -56,13 +56,26 @@ def enrich(candles: DataFrame, ticker: str, isin: str | None, interval: int = 24
     return rows.withColumn("end", interval_end(F.col("begin"), F.col("interval")))
 
 
+def load_history(spark: SparkSession, source: str, **options: str) -> DataFrame:
+    """The request history of any Spark source, as `jdbc` with url and dbtable, in the history's columns and types; columns
+    that the source lacks are null."""
+    df = spark.read.format(source).options(**options).load()
+    have = set(df.columns)
+    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in HISTORY))
+
+
+def save_history(rows: DataFrame, sink: str, mode: str = "append", **options: str) -> None:
+    """Append rows of the history's columns to any Spark sink; status in upper case."""
+    out = rows.withColumn("status", F.upper("status")).select(*(F.col(f.name).cast(f.dataType) for f in HISTORY))
+    out.write.format(sink).mode(mode).options(**options).save()
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).parquet(path)
 
 
 def append_history(rows: DataFrame, path: str) -> None:
-    """Append rows of the history's columns; status in upper case."""
-    rows.withColumn("status", F.upper("status")).select(*(F.col(f.name).cast(f.dataType) for f in HISTORY)).write.mode("append").parquet(path)
+    save_history(rows, "parquet", path=path)
 
 
 def clear_history(spark: SparkSession, path: str) -> None:

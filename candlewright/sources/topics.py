@@ -32,9 +32,15 @@ def to_messages(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def publish(rows: DataFrame) -> DataFrame:
+    """Messages of the publishing topic: its fields, null where rows have no such column; other columns are not sent."""
+    have = set(rows.columns)
+    return to_messages(rows.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in PUBLISH)))
+
+
 def write_topic(messages: DataFrame, sink: str, where: str, checkpoint: str, topic: str | None = None) -> DataStreamWriter:
     """Writer of a stream of `value` strings to Kafka or a folder of text files."""
-    writer = messages.writeStream.option("checkpointLocation", checkpoint)
+    writer = messages.select("value").writeStream.option("checkpointLocation", checkpoint)
     if sink == "kafka":
         return writer.format("kafka").option("kafka.bootstrap.servers", where).option("topic", topic)
     return writer.format("text").option("path", where)

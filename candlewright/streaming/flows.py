@@ -12,13 +12,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.scalars import expires_at, time_frame_interval
 from ..operators import forecast, joins
+from ..sources import topics
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_durations(requests: DataFrame, responses: DataFrame, ttl: int = joins.START_TTL, lateness: str = "1 hour") -> DataFrame:
     """Streaming form of joins.durations: state is bounded by ttl plus lateness; unmatched responses appear, with null,
-    once the watermark has passed them."""
+    once the watermark has passed them. Requests are taken to come once each."""
     req = requests.select(F.col("request_id").alias("_id"), F.col("ts").alias("_start")).withWatermark("_start", lateness)
     resp = responses.withWatermark("ts", lateness)
     within = (F.col("request_id") == F.col("_id")) & (F.col("ts") >= F.col("_start")) & (F.col("ts") < F.col("_start") + F.expr(f"INTERVAL {int(ttl)} SECONDS"))
@@ -45,7 +46,8 @@ def ttl_cache() -> StatefulProcessor:
             self.value = handle.getValueState("value", "until bigint, price double")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows)).sort_values(["at", "kind"])
+            # of responses at one time the one that lives longest counts, then the larger price, as in the batch form
+            batch = pd.concat(list(rows)).sort_values(["at", "kind", "until", "price"])
             held = self.value.get() if self.value.exists() else None
             out: dict[str, list] = {"cache_key": [], "request_id": [], "hit": [], "cached_price": []}
             for kind, at, until, price, request in zip(batch["kind"], batch["at"], batch["until"], batch["price"], batch["request_id"], strict=True):
@@ -98,16 +100,67 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def forecast_worker(candles: DataFrame, max_rows: int | None = None) -> Callable[[DataFrame], DataFrame]:
+def split_sink(stream: DataFrame, schema: str, required: tuple[str, ...], work: Callable[[DataFrame], DataFrame], out: str, rejects: str, checkpoint: str) -> DataStreamWriter:
+    """Parse a stream of messages and write both sides of each batch to folders named by its id: work(rows) to out, and the
+    messages that are no rows to rejects. A batch that is run again replaces its own rows only."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, bad = topics.parse(batch, schema, required)
+        work(good).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def forecast_worker(candles: DataFrame, max_rows: int | None = None, securities: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
     """Work for each_batch: one response for every request; a key is fitted once a batch."""
-    return lambda batch: forecast.forecast_requests(batch.withColumn("interval", time_frame_interval(F.col("time_frame"))), candles, max_rows)
+    return lambda batch: forecast.forecast_requests(batch.withColumn("interval", time_frame_interval(F.col("time_frame"))), candles, max_rows, securities)
+
+
+#: Buckets of ids that the request table is kept in.
+BUCKETS = 32
+
+
+def start_table(rows: DataFrame, table: str) -> None:
+    """Write the request table that history_updater keeps: version 0, in buckets of ids."""
+    rows.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{table}/version=0")
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+
+
+def _paths(spark: SparkSession, table: str, version: int) -> dict[int, str]:
+    """The newest folder of each bucket, of those up to the version."""
+    found = spark.read.parquet(table).select("version", "bucket").filter(F.col("version") <= version).groupBy("bucket").agg(F.max("version").alias("v"))
+    return {r.bucket: f"{table}/version={r.v}/bucket={r.bucket}" for r in found.collect()}  # at most BUCKETS rows
+
+
+def read_table(spark: SparkSession, table: str, version: int = 1 << 30) -> DataFrame:
+    """The request table at a version, the newest by default."""
+    return spark.read.parquet(*sorted(_paths(spark, table, version).values()))
 
 
 def history_updater(spark: SparkSession, table: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch work that keeps versions of the request table: batch k reads version k and writes version k + 1, whole
-    or not at all, so a repeated batch gives the same version."""
+    """foreachBatch work that keeps the request table of start_table: batch k reads version k and writes version k + 1, which
+    holds only the buckets of ids that the batch touches, whole or not at all. A repeated batch gives the same version.
+    What the version before made out of date is removed, as no batch can be repeated that would read it."""
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        joins.apply_responses(spark.read.parquet(f"{table}/version={batch_id}"), batch).write.mode("overwrite").parquet(f"{table}/version={batch_id + 1}")
+        now = _paths(spark, table, batch_id)
+        touched = sorted(r[0] for r in batch.select(_bucket()).distinct().collect() if r[0] in now)  # at most BUCKETS rows
+        if touched:
+            old = spark.read.parquet(*(now[k] for k in touched))
+            new = joins.apply_responses(old, batch).withColumn("bucket", _bucket()).repartition("bucket")
+            new.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={batch_id + 1}")
+        before = _paths(spark, table, batch_id - 1)
+        for k, path in before.items():
+            if path != now[k]:
+                _remove(spark, path)
 
     return update
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -15,25 +15,28 @@ from . import flows
 
 BATCHES = 4
 FAR = "2100-01-01 00:00:00"
+#: Rows of a file that a stream reads.
+FILE_ROWS = 50_000
 
 
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _files(rows: DataFrame, time: str = "ts", tail: DataFrame | None = None) -> str:
-    """Rows as text files of JSON in time order, a batch after the other; tail is one more batch."""
-    spark, path = rows.sparkSession, f"{_folder(rows.sparkSession)}/in"
-    cuts = rows.agg(F.percentile_approx(time, [i / BATCHES for i in range(1, BATCHES)])).first()[0]
-    edges = [None, *cuts, None]
+def _files(rows: DataFrame, time: str = "ts", tail: DataFrame | None = None) -> tuple[str, int]:
+    """(folder, files of a batch): rows as text files of JSON, BATCHES ranges of time one after the other, each written by as
+    many tasks as its rows need; tail is one more batch."""
+    path = f"{_folder(rows.sparkSession)}/in"
+    got = rows.agg(F.percentile_approx(time, [i / BATCHES for i in range(1, BATCHES)]).alias("cuts"), F.count("*").alias("n")).first()
+    files = max(1, -(-got["n"] // (BATCHES * FILE_ROWS)))
+    edges = [None, *(got["cuts"] or []), None]
     for lo, hi in zip(edges, edges[1:], strict=False):
         part = rows if lo is None else rows.filter(F.col(time) > F.lit(lo))
         part = part if hi is None else part.filter(F.col(time) <= F.lit(hi))
-        topics.to_messages(part).coalesce(1).write.mode("append").text(path)
+        topics.to_messages(part).repartition(files).write.mode("append").text(path)
     if tail is not None:
-        topics.to_messages(tail).coalesce(1).write.mode("append").text(path)
-    assert spark is not None
-    return path
+        topics.to_messages(tail).repartition(1).write.mode("append").text(path)
+    return path, files
 
 
 def _drain(writer) -> None:
@@ -46,17 +49,36 @@ def _sink(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/out")
 
 
-def stream_parse(spark: SparkSession, d: str) -> DataFrame:
+def _broken_requests(spark: SparkSession, d: str) -> tuple[str, int]:
+    """A topic of requests of which some are no JSON and some lack a field."""
     r = A.request_messages(spark, d)
-    broken = F.when(F.col("request_id") % 17 == 0, F.lit("{oops")).when(F.col("request_id") % 19 == 0, F.to_json(F.struct("isin"))).otherwise(F.to_json(F.struct(F.col("request_id").cast("string").alias("request_id"), "isin", "time_frame", "forecast_period")))
-    path = f"{_folder(spark)}/in"
-    r.select(broken.alias("value")).repartition(BATCHES).write.text(path)
-    good, _ = topics.parse(topics.read_topic(spark, "files", path), topics.REQUEST, ("request_id", "isin", "time_frame"))
+    whole = F.struct(F.col("request_id").cast("string").alias("request_id"), "isin", "time_frame", "forecast_period")
+    broken = F.when(F.col("request_id") % 17 == 0, F.lit("{oops")).when(F.col("request_id") % 19 == 0, F.to_json(F.struct("isin"))).otherwise(F.to_json(whole))
+    path, files = f"{_folder(spark)}/in", max(BATCHES, -(-r.count() // FILE_ROWS))
+    r.select(broken.alias("value")).repartition(files).write.text(path)
+    return path, -(-files // BATCHES)
+
+
+NEEDED = ("request_id", "isin", "time_frame")
+
+
+def stream_parse(spark: SparkSession, d: str) -> DataFrame:
+    path, files = _broken_requests(spark, d)
+    good, _ = topics.parse(topics.read_topic(spark, "files", path, per_trigger=files), topics.REQUEST, NEEDED)
     return _sink(S.message_defaults(good).select(F.col("request_id").cast("bigint").alias("request_id"), "isin", "time_frame", "forecast_period", "provide_plot"))
 
 
-def _messages(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
-    return topics.parse(topics.read_topic(spark, "files", path, per_trigger=per_trigger), schema, ("ts",))[0]
+def stream_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """The side output: messages that are no requests, and how often each came."""
+    path, files = _broken_requests(spark, d)
+    where = _folder(spark)
+    raw = topics.read_topic(spark, "files", path, per_trigger=files)
+    _drain(flows.split_sink(raw, topics.REQUEST, NEEDED, S.message_defaults, f"{where}/out", f"{where}/rejects", f"{where}/checkpoint"))
+    return spark.read.parquet(f"{where}/rejects").groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _messages(spark: SparkSession, source: tuple[str, int], schema: str) -> DataFrame:
+    return topics.parse(topics.read_topic(spark, "files", source[0], per_trigger=source[1]), schema, ("ts",))[0]
 
 
 def stream_durations(spark: SparkSession, d: str) -> DataFrame:
@@ -68,17 +90,24 @@ def stream_durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_publish(spark: SparkSession, d: str) -> DataFrame:
-    static = A.request_messages(spark, d).filter("request_id % 3 <> 0").withColumn("telegram_id", F.col("user_id"))
-    path = _files(A.response_messages(spark, d))
-    return _sink(flows.stream_publish(_messages(spark, path, "request_id bigint, ts timestamp, status string", 2), static).select("request_id", "status", "telegram_id"))
+    """Responses enriched and published to a topic, and what a reader of it gets."""
+    q = A.request_messages(spark, d)
+    static = q.filter("request_id % 3 <> 0").select("request_id", F.col("user_id").alias("telegram_id"))
+    answered = A.response_messages(spark, d).join(q.select("request_id", "isin", "time_frame", "forecast_period"), "request_id")
+    rows = _messages(spark, _files(answered), "request_id bigint, ts timestamp, status string, isin string, time_frame string, forecast_period int")
+    where = _folder(spark)
+    sent = topics.publish(flows.stream_publish(rows, static))
+    _drain(topics.write_topic(sent, "files", f"{where}/topic", f"{where}/checkpoint"))
+    schema = "isin string, forecast_period int, time_frame string, telegram_id bigint, forecast_price double"
+    got = topics.parse(spark.read.text(f"{where}/topic"), schema, ("isin",))[0]
+    return got.groupBy("isin", "forecast_period", "time_frame", "telegram_id").agg(F.count("*").alias("n"))
 
 
 def stream_cache(spark: SparkSession, d: str) -> DataFrame:
     key = lambda df: df.withColumn("cache_key", S.cache_key(F.col("isin"), F.col("time_frame"), F.col("forecast_period"), F.lit(False)))
     both = key(A.request_messages(spark, d)).select("cache_key", "ts", "request_id", "time_frame", F.lit("request").alias("status"), F.lit(None).cast("double").alias("forecast_price"))
     both = both.unionByName(key(A.cached_responses(spark, d)).select("cache_key", "ts", "request_id", "time_frame", "status", "forecast_price"))
-    path = _files(both)
-    rows = _messages(spark, path, "cache_key string, ts timestamp, request_id bigint, time_frame string, status string, forecast_price double")
+    rows = _messages(spark, _files(both), "cache_key string, ts timestamp, request_id bigint, time_frame string, status string, forecast_price double")
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", flows.ROCKSDB)
     try:
@@ -90,8 +119,8 @@ def stream_cache(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_forecasts(spark: SparkSession, d: str) -> DataFrame:
     q = A.request_messages(spark, d).withColumn("isin", F.get(F.array(*map(F.lit, ("click", "view", "none"))), (F.col("request_id") % 3).cast("int")))
-    path = _files(q.select("request_id", "isin", "time_frame", "forecast_period", "ts"))
-    rows = _messages(spark, path, "request_id bigint, isin string, time_frame string, forecast_period int, ts timestamp", 2)
+    source = _files(q.select("request_id", "isin", "time_frame", "forecast_period", "ts"))
+    rows = _messages(spark, source, "request_id bigint, isin string, time_frame string, forecast_period int, ts timestamp")
     where = _folder(spark)
     _drain(flows.each_batch(rows, flows.forecast_worker(A.bars_by_interval(spark, d)), f"{where}/out", f"{where}/checkpoint"))
     return spark.read.parquet(f"{where}/out").drop("batch")
@@ -99,20 +128,28 @@ def stream_forecasts(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_updates(spark: SparkSession, d: str) -> DataFrame:
     where = _folder(spark)
-    A.history_rows(spark, d).write.parquet(f"{where}/table/version=0")
-    path = _files(A.history_responses(spark, d))
-    rows = _messages(spark, path, "id bigint, ts timestamp, status string, model string, error string, duration_s double")
+    flows.start_table(A.history_rows(spark, d), f"{where}/table")
+    rows = _messages(spark, _files(A.history_responses(spark, d)), "id bigint, ts timestamp, status string, model string, error string, duration_s double")
     _drain(rows.writeStream.foreachBatch(flows.history_updater(spark, f"{where}/table")).option("checkpointLocation", f"{where}/checkpoint"))
-    last = spark.read.parquet(f"{where}/table").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{where}/table/version={last}").select("id", "status", "model", "error", F.round("duration_s", 6).alias("duration_s"))
+    return flows.read_table(spark, f"{where}/table").select("id", "status", "model", "error", F.round("duration_s", 6).alias("duration_s"))
 
 
-QUERIES = {f.__name__: f for f in (stream_parse, stream_durations, stream_publish, stream_cache, stream_forecasts, stream_updates)}
+QUERIES = {f.__name__: f for f in (stream_parse, stream_rejects, stream_durations, stream_publish, stream_cache, stream_forecasts, stream_updates)}
 #: The stream gives what its batch form gives.
 ORACLES: dict[str, tuple[str, ...]] = {
     "stream_parse": ("SELECT request_id, isin, time_frame, forecast_period, false AS provide_plot FROM req WHERE request_id % 17 <> 0 AND request_id % 19 <> 0", "req"),
     "stream_durations": ("WITH j AS (SELECT request_id, resp.status, CASE WHEN resp.ts >= req.ts AND resp.ts < req.ts + to_seconds(600) THEN (epoch_us(resp.ts) - epoch_us(req.ts)) / 1000000.0 END::DOUBLE AS v FROM resp JOIN req USING (request_id)) SELECT request_id, status, CASE WHEN abs(v) < 5e-7 THEN 0.0::DOUBLE ELSE round(v, 6) END AS duration_s FROM j", "req", "resp"),
-    "stream_publish": ("SELECT request_id, status, CASE WHEN request_id % 3 <> 0 THEN user_id END AS telegram_id FROM resp JOIN (SELECT request_id, user_id FROM req) USING (request_id)", "req", "resp"),
+    "stream_rejects": (
+        """WITH v AS (SELECT CASE WHEN request_id % 17 = 0 THEN '{oops' ELSE '{"isin":"' || isin || '"}' END AS value FROM req WHERE request_id % 17 = 0 OR request_id % 19 = 0)
+SELECT value, count(*) AS n FROM v GROUP BY value""",
+        "req",
+    ),
+    "stream_publish": (
+        """WITH p AS (SELECT req.isin, req.forecast_period, req.time_frame, CASE WHEN request_id % 3 <> 0 THEN user_id END AS telegram_id FROM resp JOIN req USING (request_id))
+SELECT isin, forecast_period, time_frame, telegram_id, count(*) AS n FROM p GROUP BY ALL""",
+        "req",
+        "resp",
+    ),
     "stream_cache": (
         """WITH v AS (SELECT *, CASE time_frame WHEN '1m' THEN ts + to_minutes(1) WHEN '10m' THEN ts + to_minutes(10) WHEN '1h' THEN ts + to_hours(1) WHEN '1d' THEN ts + to_days(1) WHEN '1w' THEN ts + to_days(7) WHEN '1mo' THEN ts + to_months(1) END AS until FROM cached WHERE status = 'completed'),
 j AS (SELECT q.request_id, coalesce(q.ts < v.until, false) AS hit, v.forecast_price AS p FROM req q ASOF LEFT JOIN (SELECT * FROM v WHERE until IS NOT NULL) v ON q.isin = v.isin AND q.time_frame = v.time_frame AND q.forecast_period = v.forecast_period AND q.ts >= v.ts)
