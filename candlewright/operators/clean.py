@@ -15,7 +15,7 @@ def series(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> WindowSp
 
 
 def drop_duplicate_times(df: DataFrame, keys: Sequence[str] = KEYS, time: str = "begin", tie: Sequence[str] = ("seq",)) -> DataFrame:
-    """The first row of each time of a series, in the order of tie."""
+    """The first row of each time of a series, in the order of tie (any of those that tie in it too)."""
     # dealt by series first, so that later windows of the series need no other exchange
     w = Window.partitionBy(*keys, time).orderBy(*tie)
     return df.repartition(*keys).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
@@ -38,16 +38,22 @@ def drop_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_encoder(df: DataFrame, key: str = "name", time: str = "begin") -> DataFrame:
-    """(key, ticker_id): ids from 0 in order of first appearance. One row a series."""
+    """(key, ticker_id): ids from 0 in order of first appearance, then of the key. One row a series, of which one task sees
+    no more than that; a null key is a series too, and an empty input has none."""
     seen = df.groupBy(key).agg(F.min(time).alias("_seen"))
     return seen.select(key, (F.row_number().over(Window.orderBy("_seen", key)) - 1).alias("ticker_id"))
 
 
 def encode(df: DataFrame, encoder: DataFrame, key: str = "name") -> DataFrame:
-    """Adds ticker_id; series that the encoder has not seen get null."""
+    """Adds ticker_id; series that the encoder has not seen, and null keys, get null."""
     return df.join(encoder, key, "left")
 
 
+def decode(df: DataFrame, encoder: DataFrame, key: str = "name") -> DataFrame:
+    """Adds the series' key for its ticker_id; null for ids that the encoder has not given."""
+    return df.join(encoder, "ticker_id", "left").select(*df.columns, key)
+
+
 def position(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> Column:
     return F.row_number().over(series(keys, order))
 
@@ -78,8 +84,9 @@ def hold_out(df: DataFrame, k: int = 20, keys: Sequence[str] = KEYS, order: Sequ
 def trailing_range(df: DataFrame, days: int, name: str | None = None, key: str = "name", time: str = "begin") -> DataFrame:
     """Rows of the last `days` days of each series, or of one series."""
     df = df.filter(F.col(key) == name) if name is not None else df
-    last = df.groupBy(key).agg(F.max(time).alias("_last"))
-    return df.join(last, key).filter(F.col(time) >= F.col("_last") - F.make_dt_interval(F.lit(days))).drop("_last")
+    # a window, so that what made the rows is not computed twice
+    last = F.max(time).over(Window.partitionBy(key))
+    return df.withColumn("_last", last).filter(F.col(time) >= F.col("_last") - F.make_dt_interval(F.lit(days))).drop("_last")
 
 
 def candle_range(candles: DataFrame, ticker: str, interval: int, start: str, end: str) -> DataFrame:
@@ -88,12 +95,6 @@ def candle_range(candles: DataFrame, ticker: str, interval: int, start: str, end
     return candles.filter(inside).orderBy("begin")
 
 
-def scaling_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, fit_split: str | None = None) -> DataFrame:
-    """Mean and sample standard deviation of each column of each series, `<column>_mean` and `<column>_std`."""
-    rows = df.filter(F.col("split") == fit_split) if fit_split else df
-    return rows.groupBy(*keys).agg(*(a for c in columns for a in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))))
-
-
 def scale(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, fit_split: str | None = None) -> DataFrame:
     """(x - mean) / (std + 1e-9) by series; statistics of all rows, or of one split only.
 

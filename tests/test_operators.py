@@ -81,6 +81,8 @@ def test_encoder_and_unseen(spark):
     enc = clean.fit_encoder(df)
     assert {r.name: r.ticker_id for r in enc.collect()} == {"b": 0, "a": 1, "c": 2}
     assert clean.encode(spark.createDataFrame([("z", 1)], "name string, begin int"), enc).first().ticker_id is None
+    back = clean.decode(spark.createDataFrame([(2, 0.5), (0, 0.1), (7, 0.2)], "ticker_id int, yhat double"), enc)
+    assert {r.yhat: r.name for r in back.collect()} == {0.5: "c", 0.1: "b", 0.2: None}
 
 
 def test_durations_and_cache_at_the_limits(spark):
@@ -94,6 +96,34 @@ def test_durations_and_cache_at_the_limits(spark):
     assert got == {1: (True, 5.0, "COMPLETED"), 2: (False, None, "PENDING"), 3: (False, None, "PENDING"), 4: (False, None, "PENDING")}
 
 
+def test_repeated_ids_and_equal_times(spark):
+    t = dt.datetime(2024, 1, 1)
+    asked = spark.createDataFrame([(1, t, 5), (1, t + dt.timedelta(seconds=9), 7), (2, t, None)], "request_id int, ts timestamp, telegram_id int")
+    answers = spark.createDataFrame([(1, t + dt.timedelta(seconds=10)), (2, t)], "request_id int, ts timestamp")
+    assert sorted((r.request_id, r.duration_s) for r in joins.durations(asked, answers).collect()) == [(1, 10.0), (2, 0.0)]
+    assert sorted((r.request_id, r.telegram_id) for r in joins.publish_messages(answers, asked).collect()) == [(1, 7), (2, None)]
+    cached = spark.createDataFrame([("k", t, "1h", "completed", p) for p in (5.0, 8.0, 6.0)], "cache_key string, ts timestamp, time_frame string, status string, forecast_price double")
+    assert joins.cache_lookup(spark.createDataFrame([(1, "k", t)], "request_id int, cache_key string, ts timestamp"), cached).first().cached_price == 8.0
+    old = spark.createDataFrame([("1", "PENDING", None, None, None)], "id string, status string, model string, error string, duration_s double")
+    new = spark.createDataFrame([("1", t, s, m, None, None) for s, m in (("failed", "a"), ("completed", "b"), ("failed", "c"))], "id string, ts timestamp, status string, model string, error string, duration_s double")
+    r = joins.apply_responses(old, new).first()
+    assert (r.status, r.model) == ("FAILED", "c")
+    securities = spark.createDataFrame([("I", "B", 1), ("I", "A", 1), ("I", "Z", 0), (None, "N", 0)], "isin string, secid string, rank int")
+    got = joins.resolve_tickers(spark.createDataFrame([("I",), (None,)], "isin string"), securities.filter("rank = 1 OR isin IS NULL"))
+    assert {r.isin: r.ticker for r in got.collect()} == {"I": "A", None: None}
+
+
+def test_density_of_one_series_uses_many_tasks(spark):
+    x = np.random.default_rng(2).normal(size=300).round(2)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0), ("b", None)], "name string, close double")
+    got = stats.kernel_density(df, points=250).orderBy("point").toPandas()
+    h = len(x) ** -0.2 * x.std(ddof=1)
+    grid = np.linspace(x.min() - np.ptp(x) / 2, x.max() + np.ptp(x) / 2, 250)
+    want = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert list(got.name.unique()) == ["a"]
+    np.testing.assert_allclose(got.density, want, atol=1e-12)
+
+
 def test_partial_update_keeps_old_values(spark):
     t = dt.datetime(2024, 1, 1)
     old = spark.createDataFrame([("1", "PENDING", "m0", None, None)], "id string, status string, model string, error string, duration_s double")
