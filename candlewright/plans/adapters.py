@@ -104,13 +104,23 @@ def cached_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in DuckDB, as common table expressions.
 _FRAMES_SQL = "['1m', '10m', '1h', '1d', '1w', '1mo', '1q']"
 SQL = {
-    "bars": "bars AS (SELECT event_type AS name, date_trunc('hour', ts) AS begin, first(value ORDER BY ts, event_id) AS open, last(value ORDER BY ts, event_id) AS close, max(value) AS high, min(value) AS low, count(*)::DOUBLE AS volume FROM events GROUP BY ALL)",
-    "gappy": "gappy AS (SELECT name, begin, CASE WHEN hour(begin) % 7 <> 0 THEN open END AS open, CASE WHEN hour(begin) % 5 <> 0 THEN close END AS close, high, low, volume FROM bars)",
+    "bars": """bars AS (SELECT event_type AS name, date_trunc('hour', ts) AS begin, first(value ORDER BY ts, event_id) AS open, last(value ORDER BY ts, event_id) AS
+close, max(value) AS high, min(value) AS low, count(*)::DOUBLE AS volume FROM events GROUP BY ALL)""",
+    "gappy": """gappy AS (SELECT name, begin, CASE WHEN hour(begin) % 7 <> 0 THEN open END AS open, CASE WHEN hour(begin) % 5 <> 0 THEN close END AS close, high,
+low, volume FROM bars)""",
     "dup": "dup AS (SELECT *, 0 AS seq FROM bars UNION ALL SELECT name, begin, open, close + 1, high, low, volume, 1 FROM bars WHERE day(begin) % 3 = 0)",
     "candles": "candles AS (SELECT name AS ticker, name AS isin, 60 AS interval, begin, begin + to_seconds(3600) AS \"end\", open, close, high, low, volume FROM bars)",
-    "hist": f"hist AS (SELECT o_orderkey AS id, o_orderpriority AS isin, {_FRAMES_SQL}[o_orderkey % 7 + 1] AS time_frame, o_orderkey % 2 = 0 AS requested_plot, 'baseline' AS model, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PENDING' ELSE 'FAILED' END AS status, NULL::VARCHAR AS error, o_orderkey % 3 = 0 AS used_cache, CASE WHEN o_orderstatus = 'O' THEN NULL WHEN o_orderkey % 50 = 0 THEN 0 ELSE o_totalprice / 1000 END AS duration_s, o_orderdate AS created_at FROM orders)",
-    "hresp": "hresp AS (SELECT id, created_at AS ts, 'completed' AS status, 'arima' AS model, NULL AS error, 1.5::DOUBLE AS duration_s FROM hist WHERE id % 2 = 0 UNION ALL SELECT id, created_at + to_days(1), 'failed', NULL, 'no data', NULL FROM hist WHERE id % 3 = 0)",
-    "req": f"req AS (SELECT event_id AS request_id, (user_id % 20)::VARCHAR AS isin, {_FRAMES_SQL}[event_id % 7 + 1] AS time_frame, (1 + event_id % 3)::INT AS forecast_period, ts, user_id, value FROM events WHERE event_type = 'click')",
-    "resp": "resp AS (SELECT request_id, ts + to_seconds(floor(value * 4)::BIGINT) AS ts, CASE WHEN request_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status FROM req)",
-    "cached": f"cached AS (SELECT event_id AS request_id, (user_id % 20)::VARCHAR AS isin, {_FRAMES_SQL}[event_id % 7 + 1] AS time_frame, (1 + event_id % 3)::INT AS forecast_period, ts, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status, value AS forecast_price FROM events WHERE event_type = 'purchase')",
+    "hist": f"""hist AS (SELECT o_orderkey AS id, o_orderpriority AS isin, {_FRAMES_SQL}[o_orderkey % 7 + 1] AS time_frame, o_orderkey % 2 = 0 AS requested_plot,
+'baseline' AS model, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PENDING' ELSE 'FAILED' END AS status,
+NULL::VARCHAR AS error, o_orderkey % 3 = 0 AS used_cache, CASE WHEN o_orderstatus = 'O' THEN NULL WHEN o_orderkey % 50 = 0 THEN 0 ELSE o_totalprice /
+1000 END AS duration_s, o_orderdate AS created_at FROM orders)""",
+    "hresp": """hresp AS (SELECT id, created_at AS ts, 'completed' AS status, 'arima' AS model, NULL AS error, 1.5::DOUBLE AS duration_s FROM hist WHERE id % 2 = 0
+UNION ALL SELECT id, created_at + to_days(1), 'failed', NULL, 'no data', NULL FROM hist WHERE id % 3 = 0)""",
+    "req": f"""req AS (SELECT event_id AS request_id, (user_id % 20)::VARCHAR AS isin, {_FRAMES_SQL}[event_id % 7 + 1] AS time_frame, (1 + event_id % 3)::INT AS
+forecast_period, ts, user_id, value FROM events WHERE event_type = 'click')""",
+    "resp": """resp AS (SELECT request_id, ts + to_seconds(floor(value * 4)::BIGINT) AS ts, CASE WHEN request_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS
+status FROM req)""",
+    "cached": f"""cached AS (SELECT event_id AS request_id, (user_id % 20)::VARCHAR AS isin, {_FRAMES_SQL}[event_id % 7 + 1] AS time_frame, (1 + event_id % 3)::INT AS
+forecast_period, ts, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status, value AS forecast_price FROM events
+WHERE event_type = 'purchase')""",
 }

@@ -70,7 +70,8 @@ def candles_union(spark, d):
     return stack({"click": one, "view": two}).select(*panel())
 
 
-add("candles_union", candles_union, f"SELECT name, {txs()}, open, close, high, low, CASE WHEN name = 'click' THEN volume END AS volume FROM bars WHERE name IN ('click', 'view')", "bars")
+add("candles_union", candles_union,
+    f"SELECT name, {txs()}, open, close, high, low, CASE WHEN name = 'click' THEN volume END AS volume FROM bars WHERE name IN ('click', 'view')", "bars")
 
 
 def candle_upsert(spark, d):
@@ -78,10 +79,14 @@ def candle_upsert(spark, d):
     return joins.new_candles(dup.filter((F.col("seq") == 0) & (F.day("begin") % 2 == 0)), dup, ["seq"]).select("ticker", "interval", tx(), "close")
 
 
-add("candle_upsert", candle_upsert, f"SELECT name AS ticker, 60 AS interval, {txs()}, close FROM (SELECT *, row_number() OVER (PARTITION BY name, begin ORDER BY seq) AS rn FROM dup) WHERE rn = 1 AND day(begin) % 2 <> 0", "bars", "dup")
+add("candle_upsert", candle_upsert,
+    f"""SELECT name AS ticker, 60 AS interval, {txs()}, close FROM (SELECT *, row_number() OVER (PARTITION BY name, begin ORDER BY seq) AS rn FROM dup)
+WHERE rn = 1 AND day(begin) % 2 <> 0""", "bars", "dup")
 
 # ---- scalars and filters ----
-add("trailing_range", lambda s, d: clean.trailing_range(A.bars_from_events(s, d), 7).select(*panel()), f"SELECT name, {txs()}, open, close, high, low, volume FROM (SELECT *, max(begin) OVER (PARTITION BY name) AS last FROM bars) WHERE begin >= last - to_days(7)", "bars")
+add("trailing_range", lambda s, d: clean.trailing_range(A.bars_from_events(s, d), 7).select(*panel()),
+    f"""SELECT name, {txs()}, open, close, high, low, volume FROM (SELECT *, max(begin) OVER (PARTITION BY name) AS last FROM bars)
+WHERE begin >= last - to_days(7)""", "bars")
 
 
 def candle_range(spark, d):
@@ -89,7 +94,8 @@ def candle_range(spark, d):
     return clean.candle_range(c, "click", 60, "2024-01-03", "2024-01-20").select("ticker", "isin", "interval", tx(), tx("end"), "close")
 
 
-add("candle_range", candle_range, f"SELECT ticker, '' AS isin, interval, {txs()}, {txs(chr(34) + 'end' + chr(34))}, close FROM candles WHERE ticker = 'click' AND begin >= '2024-01-03' AND \"end\" <= '2024-01-20'", "bars", "candles")
+add("candle_range", candle_range, f"""SELECT ticker, '' AS isin, interval, {txs()}, {txs(chr(34) + 'end' + chr(34))}, close FROM candles
+WHERE ticker = 'click' AND begin >= '2024-01-03' AND \"end\" <= '2024-01-20'""", "bars", "candles")
 
 
 def id_validation(spark, d):
@@ -98,8 +104,11 @@ def id_validation(spark, d):
     return S.validate_identifiers(o).select("o_orderkey", "ticker", S.canonical_isin(F.col("isin")).alias("isin"), "reject", S.parse_period(F.col("period")).alias("period"))
 
 
-add("id_validation", id_validation, """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'SBER' END AS ticker, CASE WHEN o_orderkey % 2 = 0 THEN 'RU' || o_orderkey END AS isin, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 9)::INT END AS period FROM orders)
-SELECT o_orderkey, ticker, isin, CASE WHEN ticker IS NOT NULL AND isin IS NOT NULL THEN 'both identifiers' WHEN ticker IS NULL AND isin IS NULL THEN 'no identifier' END AS reject, period FROM o""")
+add("id_validation", id_validation,
+    """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'SBER' END AS ticker, CASE WHEN o_orderkey % 2 = 0 THEN 'RU' || o_orderkey END AS isin,
+CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 9)::INT END AS period FROM orders)
+SELECT o_orderkey, ticker, isin, CASE WHEN ticker IS NOT NULL AND isin IS NOT NULL THEN 'both identifiers' WHEN ticker IS NULL AND isin IS NULL THEN
+'no identifier' END AS reject, period FROM o""")
 
 
 def time_frames(spark, d):
@@ -112,14 +121,21 @@ def time_frames(spark, d):
 
 add("time_frames", time_frames, """WITH h AS (SELECT *, coalesce(CASE WHEN id % 10 <> 0 THEN time_frame END, '1d') AS tf FROM hist),
 p AS (SELECT *, regexp_extract(tf, '(\\d+)(\\w+)', 1)::INT AS n, regexp_extract(tf, '(\\d+)(\\w+)', 2) AS unit FROM h),
-i AS (SELECT *, CASE tf WHEN '1m' THEN 1 WHEN '10m' THEN 10 WHEN '1h' THEN 60 WHEN '1d' THEN 24 WHEN '1w' THEN 7 WHEN '1mo' THEN 31 WHEN '1q' THEN 4 END AS interval FROM p)
-SELECT id, interval, CASE interval WHEN 1 THEN 60 WHEN 10 THEN 600 WHEN 60 THEN 3600 WHEN 24 THEN 86400 WHEN 7 THEN 604800 WHEN 31 THEN 2678400 ELSE 7862400 END AS seconds, n, unit,
-strftime(CASE unit WHEN 'm' THEN created_at + to_minutes(n) WHEN 'h' THEN created_at + to_hours(n) WHEN 'd' THEN created_at + to_days(n) WHEN 'w' THEN created_at + to_days(7 * n) WHEN 'mo' THEN created_at + to_months(n) END, '%Y-%m-%d %H:%M:%S') AS until,
+i AS (SELECT *, CASE tf WHEN '1m' THEN 1 WHEN '10m' THEN 10 WHEN '1h' THEN 60 WHEN '1d' THEN 24 WHEN '1w' THEN 7 WHEN '1mo' THEN 31 WHEN '1q' THEN 4
+END AS interval FROM p)
+SELECT id, interval, CASE interval WHEN 1 THEN 60 WHEN 10 THEN 600 WHEN 60 THEN 3600 WHEN 24 THEN 86400 WHEN 7 THEN 604800 WHEN 31 THEN 2678400 ELSE
+7862400 END AS seconds, n, unit,
+strftime(CASE unit WHEN 'm' THEN created_at + to_minutes(n) WHEN 'h' THEN created_at + to_hours(n) WHEN 'd' THEN created_at + to_days(n) WHEN 'w'
+THEN created_at + to_days(7 * n) WHEN 'mo' THEN created_at + to_months(n) END, '%Y-%m-%d %H:%M:%S') AS until,
 CASE WHEN id % 4 <> 0 THEN (id % 5)::INT ELSE 7 END AS forecast_period, id % 3 <> 0 AS provide_plot FROM i""", "hist")
-add("cache_key", lambda s, d: A.history_rows(s, d).select("id", S.cache_key(F.col("isin"), F.col("time_frame"), F.lit(7), F.col("requested_plot")).alias("key"), F.sha2("isin", 256).alias("isin_hash")),
-    "SELECT id, 'postman:forecasts:' || sha256(isin || '#' || time_frame || '#7#' || CASE WHEN requested_plot THEN 'True' ELSE 'False' END) AS key, sha256(isin) AS isin_hash FROM hist", "hist")
-add("request_filter", lambda s, d: joins.request_filter(A.history_rows(s, d), "1995-01-01", "1996-12-31", isin="1-URGENT", used_cache=True, requested_plot=None).select("id", "time_frame", "status", r("duration_s").alias("duration_s")),
-    f"SELECT id, time_frame, status, {rs('duration_s')} AS duration_s FROM hist WHERE isin = '1-URGENT' AND used_cache AND created_at BETWEEN '1995-01-01' AND '1996-12-31'", "hist")
+add("cache_key",
+    lambda s, d: A.history_rows(s, d).select("id", S.cache_key(F.col("isin"), F.col("time_frame"), F.lit(7), F.col("requested_plot")).alias("key"), F.sha2("isin", 256).alias("isin_hash")),
+    """SELECT id, 'postman:forecasts:' || sha256(isin || '#' || time_frame || '#7#' || CASE WHEN requested_plot THEN 'True' ELSE 'False' END) AS key,
+sha256(isin) AS isin_hash FROM hist""", "hist")
+add("request_filter",
+    lambda s, d: joins.request_filter(A.history_rows(s, d), "1995-01-01", "1996-12-31", isin="1-URGENT", used_cache=True, requested_plot=None).select("id", "time_frame", "status", r("duration_s").alias("duration_s")),
+    f"""SELECT id, time_frame, status, {rs('duration_s')} AS duration_s FROM hist
+WHERE isin = '1-URGENT' AND used_cache AND created_at BETWEEN '1995-01-01' AND '1996-12-31'""", "hist")
 
 
 # ---- joins ----
@@ -129,31 +145,46 @@ def isin_resolve(spark, d):
     return joins.resolve_tickers(rows, part.select(F.col("p_brand").alias("isin"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("secid"), F.col("p_partkey").alias("rank")))
 
 
-add("isin_resolve", isin_resolve, """WITH f AS (SELECT p_brand AS isin, arg_min(p_name || ' ' || p_partkey, p_partkey) AS ticker FROM part GROUP BY 1), q AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_brand || 'x' ELSE p_brand END AS isin FROM part)
+add("isin_resolve", isin_resolve, """WITH f AS (SELECT p_brand AS isin, arg_min(p_name || ' ' || p_partkey, p_partkey) AS ticker FROM part
+GROUP BY 1), q AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_brand || 'x' ELSE p_brand END AS isin FROM part)
 SELECT p_partkey, isin, ticker FROM q LEFT JOIN f USING (isin)""")
-add("request_update", lambda s, d: joins.apply_responses(A.history_rows(s, d), A.history_responses(s, d)).select("id", "status", "model", "error", r("duration_s").alias("duration_s")),
-    f"""WITH f AS (SELECT id, upper(arg_max(status, ts)) AS status, arg_max(model, ts) FILTER (model IS NOT NULL) AS model, arg_max(error, ts) FILTER (error IS NOT NULL) AS error, arg_max(duration_s, ts) FILTER (duration_s IS NOT NULL) AS duration_s FROM hresp GROUP BY id),
-j AS (SELECT h.id, coalesce(f.status, h.status) AS status, coalesce(f.model, h.model) AS model, coalesce(f.error, h.error) AS error, coalesce(f.duration_s, h.duration_s) AS duration_s FROM hist h LEFT JOIN f USING (id))
+add("request_update",
+    lambda s, d: joins.apply_responses(A.history_rows(s, d), A.history_responses(s, d)).select("id", "status", "model", "error", r("duration_s").alias("duration_s")),
+    f"""WITH f AS (SELECT id, upper(arg_max(status, ts)) AS status, arg_max(model, ts) FILTER (model IS NOT NULL) AS model, arg_max(error, ts) FILTER (error
+IS NOT NULL) AS error, arg_max(duration_s, ts) FILTER (duration_s IS NOT NULL) AS duration_s FROM hresp GROUP BY id),
+j AS (SELECT h.id, coalesce(f.status, h.status) AS status, coalesce(f.model, h.model) AS model, coalesce(f.error, h.error) AS error,
+coalesce(f.duration_s, h.duration_s) AS duration_s FROM hist h LEFT JOIN f USING (id))
 SELECT id, status, model, error, {rs('duration_s')} AS duration_s FROM j""", "hist", "hresp")
-add("publish_enrich", lambda s, d: joins.publish_messages(A.response_messages(s, d), A.request_messages(s, d).filter("request_id % 3 <> 0").withColumn("telegram_id", F.col("user_id"))).select("request_id", "status", "telegram_id"),
-    "SELECT request_id, status, CASE WHEN request_id % 3 <> 0 THEN user_id END AS telegram_id FROM resp JOIN (SELECT request_id, user_id FROM req) USING (request_id)", "req", "resp")
-add("durations", lambda s, d: joins.durations(A.request_messages(s, d), A.response_messages(s, d)).select("request_id", "status", r("duration_s").alias("duration_s")),
-    f"WITH j AS (SELECT request_id, resp.status, CASE WHEN resp.ts >= req.ts AND resp.ts < req.ts + to_seconds(600) THEN (epoch_us(resp.ts) - epoch_us(req.ts)) / 1000000.0 END::DOUBLE AS duration_s FROM resp JOIN req USING (request_id)) SELECT request_id, status, {rs('duration_s')} AS duration_s FROM j", "req", "resp")
+add("publish_enrich",
+    lambda s, d: joins.publish_messages(A.response_messages(s, d), A.request_messages(s, d).filter("request_id % 3 <> 0").withColumn("telegram_id", F.col("user_id"))).select("request_id", "status", "telegram_id"),
+    """SELECT request_id, status, CASE WHEN request_id % 3 <> 0 THEN user_id END AS telegram_id FROM resp JOIN (SELECT request_id, user_id
+FROM req) USING (request_id)""", "req", "resp")
+add("durations",
+    lambda s, d: joins.durations(A.request_messages(s, d), A.response_messages(s, d)).select("request_id", "status", r("duration_s").alias("duration_s")),
+    f"""WITH j AS (SELECT request_id, resp.status, CASE WHEN resp.ts >= req.ts AND resp.ts < req.ts + to_seconds(600) THEN (epoch_us(resp.ts) -
+epoch_us(req.ts)) / 1000000.0 END::DOUBLE AS duration_s FROM resp
+JOIN req USING (request_id)) SELECT request_id, status, {rs('duration_s')} AS duration_s FROM j""", "req", "resp")
 
 
 def _with_key(df: DataFrame) -> DataFrame:
     return df.withColumn("cache_key", S.cache_key(F.col("isin"), F.col("time_frame"), F.col("forecast_period"), F.lit(False)))
 
 
-add("cache_asof", lambda s, d: joins.cache_lookup(_with_key(A.request_messages(s, d)), _with_key(A.cached_responses(s, d))).select("request_id", "hit", r("cached_price").alias("cached_price"), "used_cache", "status"),
-    f"""WITH v AS (SELECT *, CASE time_frame WHEN '1m' THEN ts + to_minutes(1) WHEN '10m' THEN ts + to_minutes(10) WHEN '1h' THEN ts + to_hours(1) WHEN '1d' THEN ts + to_days(1) WHEN '1w' THEN ts + to_days(7) WHEN '1mo' THEN ts + to_months(1) END AS until FROM cached WHERE status = 'completed'),
-j AS (SELECT q.request_id, coalesce(q.ts < v.until, false) AS hit, v.forecast_price AS p FROM req q ASOF LEFT JOIN (SELECT * FROM v WHERE until IS NOT NULL) v ON q.isin = v.isin AND q.time_frame = v.time_frame AND q.forecast_period = v.forecast_period AND q.ts >= v.ts)
-SELECT request_id, hit, CASE WHEN hit THEN {rs('p')} END AS cached_price, hit AS used_cache, CASE WHEN hit THEN 'COMPLETED' ELSE 'PENDING' END AS status FROM j""", "req", "cached")
+add("cache_asof",
+    lambda s, d: joins.cache_lookup(_with_key(A.request_messages(s, d)), _with_key(A.cached_responses(s, d))).select("request_id", "hit", r("cached_price").alias("cached_price"), "used_cache", "status"),
+    f"""WITH v AS (SELECT *, CASE time_frame WHEN '1m' THEN ts + to_minutes(1) WHEN '10m' THEN ts + to_minutes(10) WHEN '1h' THEN ts + to_hours(1) WHEN '1d'
+THEN ts + to_days(1) WHEN '1w' THEN ts + to_days(7) WHEN '1mo' THEN ts + to_months(1) END AS until FROM cached WHERE status = 'completed'),
+j AS (SELECT q.request_id, coalesce(q.ts < v.until, false) AS hit, v.forecast_price AS p FROM req q ASOF LEFT JOIN (SELECT * FROM v
+WHERE until IS NOT NULL) v ON q.isin = v.isin AND q.time_frame = v.time_frame AND q.forecast_period = v.forecast_period AND q.ts >= v.ts)
+SELECT request_id, hit, CASE WHEN hit THEN {rs('p')} END AS cached_price, hit AS used_cache, CASE WHEN hit THEN 'COMPLETED' ELSE 'PENDING' END AS
+status FROM j""", "req", "cached")
 
 # ---- statistics ----
-add("duration_stats", lambda s, d: stats.duration_stats(A.history_rows(s, d), [*stats.METRICS, "quantile 99.9%", "median"], ["isin"]).select("isin", F.explode("stats").alias("metric", "v")).select("isin", "metric", r("v").alias("value")),
+add("duration_stats",
+    lambda s, d: stats.duration_stats(A.history_rows(s, d), [*stats.METRICS, "quantile 99.9%", "median"], ["isin"]).select("isin", F.explode("stats").alias("metric", "v")).select("isin", "metric", r("v").alias("value")),
     f"""WITH x AS (SELECT isin, nullif(duration_s, 0) AS v FROM hist),
-u AS (SELECT isin, unnest(['mean', 'quantile 50%', 'quantile 95%', 'quantile 99%', 'quantile 99.9%', 'median']) AS metric, unnest([avg(v), quantile_cont(v, 0.5), quantile_cont(v, 0.95), quantile_cont(v, 0.99), quantile_cont(v, 0.999), NULL]) AS v FROM x GROUP BY isin)
+u AS (SELECT isin, unnest(['mean', 'quantile 50%', 'quantile 95%', 'quantile 99%', 'quantile 99.9%', 'median']) AS metric, unnest([avg(v),
+quantile_cont(v, 0.5), quantile_cont(v, 0.95), quantile_cont(v, 0.99), quantile_cont(v, 0.999), NULL]) AS v FROM x GROUP BY isin)
 SELECT isin, metric, {rs('v')} AS value FROM u""", "hist")
 
 
@@ -164,21 +195,34 @@ def rmse_baseline(spark, d):
     return stats.rmse(joins.align(base, test)).select("name", "model", r("rmse").alias("rmse"))
 
 
-add("rmse_baseline", rmse_baseline, f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY begin DESC) AS k FROM bars), m AS (SELECT name, avg(close) AS yhat FROM n WHERE k BETWEEN 21 AND 27 GROUP BY name),
-e AS (SELECT name, sqrt(avg((close - yhat) * (close - yhat))) AS e FROM n JOIN m USING (name) WHERE k <= 20 GROUP BY name) SELECT name, 'baseline' AS model, {rs('e')} AS rmse FROM e""", "bars")
-add("argmin_model", lambda s, d: stats.best_model(A.table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("grid_index")).agg(F.floor(F.avg("l_quantity")).alias("aic")).withColumn("aic", F.when(F.col("grid_index") != 3, F.col("aic").cast("double")))),
-    "WITH f AS (SELECT l_returnflag AS name, l_linenumber AS grid_index, floor(avg(l_quantity))::DOUBLE AS aic FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL) SELECT name, arg_min(aic, aic * 1000 + grid_index) AS aic, arg_min(grid_index, aic * 1000 + grid_index) AS grid_index FROM f GROUP BY name")
+add("rmse_baseline", rmse_baseline,
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY begin DESC) AS k FROM bars), m AS (SELECT name, avg(close) AS yhat FROM n
+WHERE k BETWEEN 21 AND 27 GROUP BY name),
+e AS (SELECT name, sqrt(avg((close - yhat) * (close - yhat))) AS e FROM n JOIN m USING (name) WHERE k <= 20
+GROUP BY name) SELECT name, 'baseline' AS model, {rs('e')} AS rmse FROM e""", "bars")
+add("argmin_model",
+    lambda s, d: stats.best_model(A.table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("grid_index")).agg(F.floor(F.avg("l_quantity")).alias("aic")).withColumn("aic", F.when(F.col("grid_index") != 3, F.col("aic").cast("double")))),
+    """WITH f AS (SELECT l_returnflag AS name, l_linenumber AS grid_index, floor(avg(l_quantity))::DOUBLE AS aic FROM lineitem WHERE l_linenumber <> 3
+GROUP BY ALL) SELECT name, arg_min(aic, aic * 1000 + grid_index) AS aic, arg_min(grid_index, aic * 1000 + grid_index) AS grid_index FROM f
+GROUP BY name""")
 add("histogram", lambda s, d: stats.histogram(A.bars_from_events(s, d)).select("name", "bin", "count", r("left_edge").alias("left_edge")),
-    f"""WITH e AS (SELECT name, min(close) AS lo, max(close) AS hi FROM bars GROUP BY name), b AS (SELECT name, lo, hi, CASE WHEN hi > lo THEN least(floor((close - lo) / (hi - lo) * 20) + 1, 20) ELSE 11 END::INT AS bin FROM bars JOIN e USING (name)),
-c AS (SELECT name, bin, count(*) AS count, any_value(lo + (hi - lo) / 20 * (bin - 1)) AS left_edge FROM b GROUP BY name, bin) SELECT name, bin, count, {rs('left_edge')} AS left_edge FROM c""", "bars")
+    f"""WITH e AS (SELECT name, min(close) AS lo, max(close) AS hi FROM bars
+GROUP BY name), b AS (SELECT name, lo, hi, CASE WHEN hi > lo THEN least(floor((close - lo) / (hi - lo) * 20) + 1, 20) ELSE 11 END::INT AS bin
+FROM bars JOIN e USING (name)),
+c AS (SELECT name, bin, count(*) AS count, any_value(lo + (hi - lo) / 20 * (bin - 1)) AS left_edge FROM b
+GROUP BY name, bin) SELECT name, bin, count, {rs('left_edge')} AS left_edge FROM c""", "bars")
 add("kde", lambda s, d: stats.kernel_density(A.bars_from_events(s, d)).select("name", "point", r("x", 4).alias("x"), r("density").alias("density")),
-    f"""WITH e AS (SELECT name, count(close) AS n, stddev_samp(close) AS s, min(close) AS lo, max(close) AS hi FROM bars GROUP BY name), g AS (SELECT *, unnest(range(1000))::INT AS point FROM e),
+    f"""WITH e AS (SELECT name, count(close) AS n, stddev_samp(close) AS s, min(close) AS lo, max(close) AS hi FROM bars
+GROUP BY name), g AS (SELECT *, unnest(range(1000))::INT AS point FROM e),
 h AS (SELECT name, point, n, (lo - (hi - lo) / 2) + ((hi + (hi - lo) / 2) - (lo - (hi - lo) / 2)) * point / 999 AS x, pow(n, -0.2) * s AS h FROM g),
-k AS (SELECT name, point, any_value(x) AS x, sum(exp(-0.5 * ((x - close) / h) * ((x - close) / h))) / any_value(n * h) / sqrt(2 * pi()) AS density FROM h JOIN bars USING (name) GROUP BY name, point)
+k AS (SELECT name, point, any_value(x) AS x, sum(exp(-0.5 * ((x - close) / h) * ((x - close) / h))) / any_value(n * h) / sqrt(2 * pi()) AS density
+FROM h JOIN bars USING (name) GROUP BY name, point)
 SELECT name, point, {rs('x', 4)} AS x, {rs('density')} AS density FROM k""", "bars")
 add("acf", lambda s, d: stats.autocorrelation(A.bars_from_events(s, d), lags=50).select("name", "lag", r("acf").alias("acf")),
-    f"""WITH m AS (SELECT name, row_number() {W} AS rn, close - avg(close) OVER (PARTITION BY name) AS dv FROM bars), t AS (SELECT name, sum(dv * dv) AS s FROM m GROUP BY name), l AS (SELECT unnest(range(1, 51))::INT AS lag),
-p AS (SELECT a.name, lag, sum(a.dv * b.dv) AS p FROM m a CROSS JOIN l JOIN m b ON b.name = a.name AND b.rn = a.rn - lag GROUP BY ALL), q AS (SELECT name, lag, p / s AS acf FROM p JOIN t USING (name)) SELECT name, lag, {rs('acf')} AS acf FROM q""", "bars")
+    f"""WITH m AS (SELECT name, row_number() {W} AS rn, close - avg(close) OVER (PARTITION BY name) AS dv FROM bars), t AS (SELECT name, sum(dv * dv) AS s
+FROM m GROUP BY name), l AS (SELECT unnest(range(1, 51))::INT AS lag),
+p AS (SELECT a.name, lag, sum(a.dv * b.dv) AS p FROM m a CROSS JOIN l JOIN m b ON b.name = a.name AND b.rn = a.rn - lag
+GROUP BY ALL), q AS (SELECT name, lag, p / s AS acf FROM p JOIN t USING (name)) SELECT name, lag, {rs('acf')} AS acf FROM q""", "bars")
 # Durbin-Levinson as a recursion over the lags: phi holds the coefficients, v what is left of the variance.
 PACF = f"""WITH m AS (SELECT name, row_number() {W} AS rn, close - avg(close) OVER (PARTITION BY name) AS dv FROM bars),
 t AS (SELECT name, sum(dv * dv) AS s FROM m GROUP BY name), l AS (SELECT unnest(range(1, 51))::INT AS lag),
@@ -190,16 +234,19 @@ e AS (
   SELECT name, r, lag + 1, na, list_append(list_transform(phi, lambda x, i: x - na * phi[lag + 1 - i]), na), v * (1 - na * na)
   FROM (SELECT *, (r[lag + 1] - list_sum(list_transform(phi, lambda x, i: x * r[lag + 1 - i]))) / v AS na FROM e WHERE lag < len(r)))
 SELECT name, lag::INT AS lag, {rs('a')} AS pacf FROM e"""
-add("pacf", lambda s, d: stats.partial_autocorrelation(stats.autocorrelation(A.bars_from_events(s, d), lags=50)).select("name", "lag", r("pacf").alias("pacf")), PACF, "bars", recursive=True)
+add("pacf",
+    lambda s, d: stats.partial_autocorrelation(stats.autocorrelation(A.bars_from_events(s, d), lags=50)).select("name", "lag", r("pacf").alias("pacf")), PACF, "bars", recursive=True)
 
 # ---- cleaning ----
-add("dedup", lambda s, d: clean.drop_duplicate_times(A.dup_bars(s, d)).select("name", tx(), "close", "seq"), f"SELECT name, {txs()}, close, seq FROM dup WHERE seq = 0", "bars", "dup")
+add("dedup", lambda s, d: clean.drop_duplicate_times(A.dup_bars(s, d)).select("name", tx(), "close", "seq"),
+    f"SELECT name, {txs()}, close, seq FROM dup WHERE seq = 0", "bars", "dup")
 _fill = lambda m: lambda s, d: clean.fill_missing(A.gappy_bars(s, d), ["open", "close"], m).select("name", tx(), "open", "close")
 _fills = lambda f: f"SELECT name, {txs()}, {f('open')} AS open, {f('close')} AS close FROM gappy"
 add("ffill", _fill("ffill"), _fills(lambda c: f"last_value({c} IGNORE NULLS) {FRAME.format('UNBOUNDED')}"), "bars", "gappy")
 add("bfill", _fill("bfill"), _fills(lambda c: f"first_value({c} IGNORE NULLS) OVER (PARTITION BY name ORDER BY begin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"), "bars", "gappy")
 add("fill_zero", _fill("zero"), _fills(lambda c: f"coalesce({c}, 0)"), "bars", "gappy")
-add("drop_null", lambda s, d: clean.drop_nulls(A.gappy_bars(s, d), ["open", "close"]).select("name", tx(), "open", "close"), f"SELECT name, {txs()}, open, close FROM gappy WHERE open IS NOT NULL AND close IS NOT NULL", "bars", "gappy")
+add("drop_null", lambda s, d: clean.drop_nulls(A.gappy_bars(s, d), ["open", "close"]).select("name", tx(), "open", "close"),
+    f"SELECT name, {txs()}, open, close FROM gappy WHERE open IS NOT NULL AND close IS NOT NULL", "bars", "gappy")
 
 
 def ticker_encode(spark, d):
@@ -207,14 +254,22 @@ def ticker_encode(spark, d):
     return clean.encode(b, clean.fit_encoder(b)).groupBy("name", "ticker_id").agg(F.count("*").alias("n"))
 
 
-add("ticker_encode", ticker_encode, """WITH b AS (SELECT DISTINCT l_suppkey::VARCHAR AS name, l_shipdate AS begin FROM lineitem), f AS (SELECT name, min(begin) AS f, count(*) AS n FROM b GROUP BY name)
+add("ticker_encode", ticker_encode,
+    """WITH b AS (SELECT DISTINCT l_suppkey::VARCHAR AS name, l_shipdate AS begin FROM lineitem), f AS (SELECT name, min(begin) AS f, count(*) AS n FROM b
+GROUP BY name)
 SELECT name, (row_number() OVER (ORDER BY f, name) - 1)::INT AS ticker_id, n FROM f""")
-add("scale", lambda s, d: clean.scale(A.bars_from_events(s, d), ["close", "volume"]).select("name", tx(), r("close").alias("close"), r("volume").alias("volume")),
-    f"WITH m AS (SELECT name, begin, (close - avg(close) OVER (PARTITION BY name)) / (stddev_samp(close) OVER (PARTITION BY name) + 1e-9) AS c, (volume - avg(volume) OVER (PARTITION BY name)) / (stddev_samp(volume) OVER (PARTITION BY name) + 1e-9) AS v FROM bars) SELECT name, {txs()}, {rs('c')} AS close, {rs('v')} AS volume FROM m", "bars")
+add("scale",
+    lambda s, d: clean.scale(A.bars_from_events(s, d), ["close", "volume"]).select("name", tx(), r("close").alias("close"), r("volume").alias("volume")),
+    f"""WITH m AS (SELECT name, begin, (close - avg(close) OVER (PARTITION BY name)) / (stddev_samp(close) OVER (PARTITION BY name) + 1e-9) AS c, (volume -
+avg(volume) OVER (PARTITION BY name)) / (stddev_samp(volume) OVER (PARTITION BY name) + 1e-9) AS v
+FROM bars) SELECT name, {txs()}, {rs('c')} AS close, {rs('v')} AS volume FROM m""", "bars")
 _count = lambda df: df.groupBy("name", "split").agg(F.count("*").alias("n"), F.min(F.date_format("begin", "yyyy-MM-dd HH:mm:ss")).alias("first"))
-_splits = lambda label: f"WITH k AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY name) AS n FROM bars), l AS (SELECT name, begin, {label} AS split FROM k) SELECT name, split, count(*) AS n, strftime(min(begin), '%Y-%m-%d %H:%M:%S') AS first FROM l GROUP BY name, split"
-add("split3", lambda s, d: _count(clean.split(A.bars_from_events(s, d), [("train", 0.7), ("val", 0.15), ("test", 0.15)])), _splits("CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END"), "bars")
-add("split2", lambda s, d: _count(clean.split(A.bars_from_events(s, d), [("train", 0.7), ("test", 0.3)])), _splits("CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END"), "bars")
+_splits = lambda label: f"""WITH k AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY name) AS n FROM bars), l AS (SELECT name, begin, {label} AS split
+FROM k) SELECT name, split, count(*) AS n, strftime(min(begin), '%Y-%m-%d %H:%M:%S') AS first FROM l GROUP BY name, split"""
+add("split3", lambda s, d: _count(clean.split(A.bars_from_events(s, d), [("train", 0.7), ("val", 0.15), ("test", 0.15)])),
+    _splits("CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END"), "bars")
+add("split2", lambda s, d: _count(clean.split(A.bars_from_events(s, d), [("train", 0.7), ("test", 0.3)])),
+    _splits("CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END"), "bars")
 add("holdout", lambda s, d: _count(clean.hold_out(A.bars_from_events(s, d))), _splits("CASE WHEN rn > n - 20 THEN 'test' ELSE 'train' END"), "bars")
 
 
@@ -226,7 +281,8 @@ def train_windows(spark, d):
 
 add("train_windows", train_windows, f"""WITH k AS (SELECT *, row_number() {W} - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM bars)
 SELECT a.name, strftime(a.begin, '%Y-%m-%d %H:%M:%S') AS begin, (b.i - a.i + 5)::INT AS k, b.close AS x_close, b.volume AS x_volume, c.close AS y_last
-FROM k a JOIN k b ON a.name = b.name AND b.i BETWEEN a.i - 5 AND a.i - 1 JOIN k c ON c.name = a.name AND c.i = a.i + 2 WHERE a.i >= 5 AND a.i < a.n - 3""", "bars")
+FROM k a JOIN k b ON a.name = b.name AND b.i BETWEEN a.i - 5 AND a.i - 1 JOIN k c ON c.name = a.name AND c.i = a.i + 2
+WHERE a.i >= 5 AND a.i < a.n - 3""", "bars")
 
 # ---- features ----
 LAG = f"lag(close) {W}"
@@ -259,39 +315,54 @@ def _select(df: DataFrame, *columns: str, n: int = 6) -> DataFrame:
 
 
 LOGS = f"l AS (SELECT *, ln(close) - ln({LAG}) AS log_return FROM bars)"
-add("feature_volatility", lambda s, d: _select(feat.volatility(A.bars_from_events(s, d).withColumn("log_return", feat.Features().log_return())), "volatility"),
-    f"WITH {LOGS}, v AS (SELECT name, begin, ({guarded('stddev_samp', 'log_return', 14)}) * sqrt(252) AS volatility FROM l) SELECT name, {txs()}, {rs('volatility')} AS volatility FROM v", "bars")
+add("feature_volatility",
+    lambda s, d: _select(feat.volatility(A.bars_from_events(s, d).withColumn("log_return", feat.Features().log_return())), "volatility"),
+    f"""WITH {LOGS}, v AS (SELECT name, begin, ({guarded('stddev_samp', 'log_return', 14)}) * sqrt(252) AS volatility
+FROM l) SELECT name, {txs()}, {rs('volatility')} AS volatility FROM v""", "bars")
 add("feature_bollinger", lambda s, d: _select(A.bars_from_events(s, d).withColumns(feat.Features().bollinger()), "bb_upper", "bb_lower", "bb_width"),
-    f"WITH m AS (SELECT name, begin, {MA} AS m, {SD} AS s FROM bars) SELECT name, {txs()}, {rs('m + 2 * s')} AS bb_upper, {rs('m - 2 * s')} AS bb_lower, {rs('(m + 2 * s) - (m - 2 * s)')} AS bb_width FROM m", "bars")
+    f"""WITH m AS (SELECT name, begin, {MA} AS m, {SD} AS s
+FROM bars) SELECT name, {txs()}, {rs('m + 2 * s')} AS bb_upper, {rs('m - 2 * s')} AS bb_lower, {rs('(m + 2 * s) - (m - 2 * s)')} AS bb_width FROM m""", "bars")
 add("feature_time", lambda s, d: A.bars_from_events(s, d).withColumns(feat.Features().time()).select("name", tx(), "day_of_week", "month"),
     f"SELECT name, {txs()}, (isodow(begin) - 1)::INT AS day_of_week, month(begin)::INT AS month FROM bars", "bars")
-add("feature_diff1", lambda s, d: _select(feat.difference(A.bars_from_events(s, d), "close", 1), "diff"), f"WITH v AS (SELECT name, begin, close - {LAG} AS v FROM bars) SELECT name, {txs()}, {rs('v')} AS diff FROM v WHERE v IS NOT NULL", "bars")
+add("feature_diff1", lambda s, d: _select(feat.difference(A.bars_from_events(s, d), "close", 1), "diff"),
+    f"WITH v AS (SELECT name, begin, close - {LAG} AS v FROM bars) SELECT name, {txs()}, {rs('v')} AS diff FROM v WHERE v IS NOT NULL", "bars")
 add("feature_diff2", lambda s, d: _select(feat.difference(A.bars_from_events(s, d), "close", 2), "diff"),
-    f"WITH v AS (SELECT name, begin, (close - {LAG}) - ({LAG} - lag(close, 2) {W}) AS v FROM bars) SELECT name, {txs()}, {rs('v')} AS diff FROM v WHERE v IS NOT NULL", "bars")
+    f"""WITH v AS (SELECT name, begin, (close - {LAG}) - ({LAG} - lag(close, 2) {W}) AS v FROM bars) SELECT name, {txs()}, {rs('v')} AS diff FROM v
+WHERE v IS NOT NULL""", "bars")
 
 # Exponential means in SQL: a recursion along the rows of each series.
 ROWS = f"k AS (SELECT *, row_number() {W} AS rn, close - {LAG} AS mv FROM bars)"
 EWM = """e AS (
   SELECT name, rn, close AS f, close AS s, close AS e20, NULL::DOUBLE AS up, NULL::DOUBLE AS dn FROM k WHERE rn = 1
   UNION ALL
-  SELECT k.name, k.rn, e.f + 2.0::DOUBLE / 13 * (k.close - e.f), e.s + 2.0::DOUBLE / 27 * (k.close - e.s), e.e20 + 2.0::DOUBLE / 21 * (k.close - e.e20),
-         CASE WHEN e.up IS NULL THEN greatest(k.mv, 0) ELSE e.up + (greatest(k.mv, 0) - e.up) / 14.0::DOUBLE END, CASE WHEN e.dn IS NULL THEN greatest(-k.mv, 0) ELSE e.dn + (greatest(-k.mv, 0) - e.dn) / 14.0::DOUBLE END
+  SELECT k.name, k.rn, e.f + 2.0::DOUBLE / 13 * (k.close - e.f), e.s + 2.0::DOUBLE / 27 * (k.close - e.s), e.e20 + 2.0::DOUBLE / 21 * (k.close -
+e.e20),
+         CASE WHEN e.up IS NULL THEN greatest(k.mv, 0) ELSE e.up + (greatest(k.mv, 0) - e.up) / 14.0::DOUBLE END, CASE WHEN e.dn IS NULL THEN
+greatest(-k.mv, 0) ELSE e.dn + (greatest(-k.mv, 0) - e.dn) / 14.0::DOUBLE END
   FROM e JOIN k ON k.name = e.name AND k.rn = e.rn + 1),
-g AS (SELECT name, rn, f - s AS g FROM e WHERE rn = 1 UNION ALL SELECT e.name, e.rn, g.g + 2.0::DOUBLE / 10 * ((e.f - e.s) - g.g) FROM g JOIN e ON e.name = g.name AND e.rn = g.rn + 1),
-x AS (SELECT k.*, e.e20 AS ema_20, e.f - e.s AS macd, g.g AS macd_signal, (e.f - e.s) - g.g AS macd_hist, 100 - 100 / (1 + e.up / (e.dn + 1e-9)) AS rsi FROM k JOIN e USING (name, rn) JOIN g USING (name, rn))"""
-add("feature_rsi", lambda s, d: _select(feat.rsi(A.bars_from_events(s, d)), "rsi", n=4), f"WITH {ROWS}, {EWM} SELECT name, {txs()}, {rs('rsi', 4)} AS rsi FROM x", "bars", recursive=True)
+g AS (SELECT name, rn, f - s AS g FROM e WHERE rn = 1 UNION ALL SELECT e.name, e.rn, g.g + 2.0::DOUBLE / 10 * ((e.f - e.s) - g.g) FROM g
+JOIN e ON e.name = g.name AND e.rn = g.rn + 1),
+x AS (SELECT k.*, e.e20 AS ema_20, e.f - e.s AS macd, g.g AS macd_signal, (e.f - e.s) - g.g AS macd_hist, 100 - 100 / (1 + e.up / (e.dn + 1e-9)) AS
+rsi FROM k JOIN e USING (name, rn) JOIN g USING (name, rn))"""
+add("feature_rsi", lambda s, d: _select(feat.rsi(A.bars_from_events(s, d)), "rsi", n=4),
+    f"WITH {ROWS}, {EWM} SELECT name, {txs()}, {rs('rsi', 4)} AS rsi FROM x", "bars", recursive=True)
 add("feature_macd", lambda s, d: _select(feat.macd(A.bars_from_events(s, d)), "macd", "macd_signal", "macd_hist", n=4),
     f"WITH {ROWS}, {EWM} SELECT name, {txs()}, {rs('macd', 4)} AS macd, {rs('macd_signal', 4)} AS macd_signal, {rs('macd_hist', 4)} AS macd_hist FROM x", "bars", recursive=True)
-add("feature_ema", lambda s, d: _select(feat.ema(A.bars_from_events(s, d)), "ema_20", n=4), f"WITH {ROWS}, {EWM} SELECT name, {txs()}, {rs('ema_20', 4)} AS ema_20 FROM x", "bars", recursive=True)
+add("feature_ema", lambda s, d: _select(feat.ema(A.bars_from_events(s, d)), "ema_20", n=4),
+    f"WITH {ROWS}, {EWM} SELECT name, {txs()}, {rs('ema_20', 4)} AS ema_20 FROM x", "bars", recursive=True)
 
 # ---- pipeline ----
 CHECKED = ("log_return", "volatility", "rsi", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_width", "ma_20", "ema_20", "intraday", "overnight", "amplitude")
 FULL = f"""WITH {ROWS}, {EWM}, t AS (SELECT name, row_number() OVER (ORDER BY min(begin), name) - 1 AS ticker_id FROM bars GROUP BY name),
 l AS (SELECT x.*, ln(close) - ln({LAG}) AS log_return FROM x),
-y AS (SELECT l.*, close / {LAG} - 1 AS ret, ({guarded('stddev_samp', 'log_return', 14)}) * sqrt(252) AS volatility, {MA} AS ma_20, {SD} AS sd, close / open - 1 AS intraday, open / {LAG} - 1 AS overnight, (high - low) / ((high + low) / 2) AS amplitude FROM l),
-z AS (SELECT *, ma_20 + 2 * sd AS bb_upper, ma_20 - 2 * sd AS bb_lower, (ma_20 + 2 * sd) - (ma_20 - 2 * sd) AS bb_width FROM y JOIN t USING (name) WHERE volatility IS NOT NULL AND sd IS NOT NULL)"""
-add("features_full", lambda s, d: pipelines.featured(A.dup_bars(s, d)).select("name", tx(), "ticker_id", "day_of_week", "month", r("return").alias("return"), *(r(c, 4).alias(c) for c in CHECKED)),
-    f"{FULL} SELECT name, {txs()}, ticker_id::INT AS ticker_id, (isodow(begin) - 1)::INT AS day_of_week, month(begin)::INT AS month, {rs('ret')} AS \"return\", {', '.join(f'{rs(c, 4)} AS {c}' for c in CHECKED)} FROM z", "bars", recursive=True)
+y AS (SELECT l.*, close / {LAG} - 1 AS ret, ({guarded('stddev_samp', 'log_return', 14)}) * sqrt(252) AS volatility, {MA} AS ma_20, {SD} AS sd, close
+/ open - 1 AS intraday, open / {LAG} - 1 AS overnight, (high - low) / ((high + low) / 2) AS amplitude FROM l),
+z AS (SELECT *, ma_20 + 2 * sd AS bb_upper, ma_20 - 2 * sd AS bb_lower, (ma_20 + 2 * sd) - (ma_20 - 2 * sd) AS bb_width FROM y JOIN t USING (name)
+WHERE volatility IS NOT NULL AND sd IS NOT NULL)"""
+add("features_full",
+    lambda s, d: pipelines.featured(A.dup_bars(s, d)).select("name", tx(), "ticker_id", "day_of_week", "month", r("return").alias("return"), *(r(c, 4).alias(c) for c in CHECKED)),
+    f"""{FULL} SELECT name, {txs()}, ticker_id::INT AS ticker_id, (isodow(begin) - 1)::INT AS day_of_week, month(begin)::INT AS month, {rs('ret')} AS
+\"return\", {', '.join(f'{rs(c, 4)} AS {c}' for c in CHECKED)} FROM z""", "bars", recursive=True)
 
 
 def pipeline_windows(spark, d):
@@ -301,15 +372,20 @@ def pipeline_windows(spark, d):
 
 
 _Z = "({c} - avg({c}) OVER (PARTITION BY name)) / (stddev_samp({c}) OVER (PARTITION BY name) + 1e-9)"
-add("pipeline_windows", pipeline_windows, f"""{FULL}, s AS (SELECT name, begin, {_Z.format(c='open')} AS o, {_Z.format(c='rsi')} AS q, log_return, row_number() {W} - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM z),
+add("pipeline_windows", pipeline_windows, f"""{FULL}, s AS (SELECT name, begin, {_Z.format(c='open')} AS o, {_Z.format(c='rsi')} AS q, log_return, row_number() {W} - 1 AS i, count(*) OVER
+(PARTITION BY name) AS n FROM z),
 v AS (SELECT name, begin, lag(o) {W} AS o, lag(q) {W} AS q, lead(log_return, 89) {W} AS y, i, n FROM s)
-SELECT name, {txs()}, 100 AS n_in, 90 AS n_out, {rs('o', 4)} AS x_open, {rs('q', 3)} AS x_rsi, {rs('y')} AS y_last FROM v WHERE i >= 100 AND i < n - 90""", "bars", recursive=True)
+SELECT name, {txs()}, 100 AS n_in, 90 AS n_out, {rs('o', 4)} AS x_open, {rs('q', 3)} AS x_rsi, {rs('y')} AS y_last FROM v
+WHERE i >= 100 AND i < n - 90""", "bars", recursive=True)
 
 # ---- forecasts ----
-add("price_choice", lambda s, d: forecast.prices(A.gappy_bars(s, d).withColumn("close", F.when(F.col("name") != "click", F.col("close")))).select("name", tx(), "price"),
-    f"SELECT name, {txs()}, CASE WHEN name = 'click' THEN open ELSE close END AS price FROM gappy WHERE CASE WHEN name = 'click' THEN open ELSE close END IS NOT NULL", "bars", "gappy")
+add("price_choice",
+    lambda s, d: forecast.prices(A.gappy_bars(s, d).withColumn("close", F.when(F.col("name") != "click", F.col("close")))).select("name", tx(), "price"),
+    f"""SELECT name, {txs()}, CASE WHEN name = 'click' THEN open ELSE close END AS price FROM gappy
+WHERE CASE WHEN name = 'click' THEN open ELSE close END IS NOT NULL""", "bars", "gappy")
 add("baseline_forecast", lambda s, d: forecast.baseline_forecast(A.gappy_bars(s, d), 7).select("name", r("forecast_price").alias("forecast_price")),
-    f"WITH n AS (SELECT name, close, row_number() OVER (PARTITION BY name ORDER BY begin DESC) AS k FROM gappy WHERE close IS NOT NULL), m AS (SELECT name, avg(close) AS p FROM n WHERE k <= 7 GROUP BY name) SELECT name, {rs('p')} AS forecast_price FROM m", "bars", "gappy")
+    f"""WITH n AS (SELECT name, close, row_number() OVER (PARTITION BY name ORDER BY begin DESC) AS k FROM gappy
+WHERE close IS NOT NULL), m AS (SELECT name, avg(close) AS p FROM n WHERE k <= 7 GROUP BY name) SELECT name, {rs('p')} AS forecast_price FROM m""", "bars", "gappy")
 
 
 def _prices(s, d):
@@ -322,7 +398,8 @@ add("adf_report", lambda s, d: forecast.stationarity(_prices(s, d)).select("name
 add("diff_order", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "d", "ndiffs"))
 add("arima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7))
 add("arima_stepwise_bound", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, grid=STEPWISE, differences=forecast.ndiffs))
-add("sarima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 30, grid=forecast.SEASONAL, model=forecast.sarima).select("name", "model", "order", F.posexplode("path").alias("step", "yhat")))
+add("sarima_grid",
+    lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 30, grid=forecast.SEASONAL, model=forecast.sarima).select("name", "model", "order", F.posexplode("path").alias("step", "yhat")))
 add("walk_forward", lambda s, d: forecast.walk_forward(_prices(s, d)))
 
 

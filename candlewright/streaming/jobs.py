@@ -138,28 +138,36 @@ QUERIES = {f.__name__: f for f in (stream_parse, stream_rejects, stream_duration
 #: The stream gives what its batch form gives.
 ORACLES: dict[str, tuple[str, ...]] = {
     "stream_parse": ("SELECT request_id, isin, time_frame, forecast_period, false AS provide_plot FROM req WHERE request_id % 17 <> 0 AND request_id % 19 <> 0", "req"),
-    "stream_durations": ("WITH j AS (SELECT request_id, resp.status, CASE WHEN resp.ts >= req.ts AND resp.ts < req.ts + to_seconds(600) THEN (epoch_us(resp.ts) - epoch_us(req.ts)) / 1000000.0 END::DOUBLE AS v FROM resp JOIN req USING (request_id)) SELECT request_id, status, CASE WHEN abs(v) < 5e-7 THEN 0.0::DOUBLE ELSE round(v, 6) END AS duration_s FROM j", "req", "resp"),
+    "stream_durations": ("""WITH j AS (SELECT request_id, resp.status, CASE WHEN resp.ts >= req.ts AND resp.ts < req.ts + to_seconds(600) THEN (epoch_us(resp.ts) -
+epoch_us(req.ts)) / 1000000.0 END::DOUBLE AS v FROM resp
+JOIN req USING (request_id)) SELECT request_id, status, CASE WHEN abs(v) < 5e-7 THEN 0.0::DOUBLE ELSE round(v, 6) END AS duration_s FROM j""", "req", "resp"),
     "stream_rejects": (
-        """WITH v AS (SELECT CASE WHEN request_id % 17 = 0 THEN '{oops' ELSE '{"isin":"' || isin || '"}' END AS value FROM req WHERE request_id % 17 = 0 OR request_id % 19 = 0)
+        """WITH v AS (SELECT CASE WHEN request_id % 17 = 0 THEN '{oops' ELSE '{"isin":"' || isin || '"}' END AS value FROM req
+WHERE request_id % 17 = 0 OR request_id % 19 = 0)
 SELECT value, count(*) AS n FROM v GROUP BY value""",
         "req",
     ),
     "stream_publish": (
-        """WITH p AS (SELECT req.isin, req.forecast_period, req.time_frame, CASE WHEN request_id % 3 <> 0 THEN user_id END AS telegram_id FROM resp JOIN req USING (request_id))
+        """WITH p AS (SELECT req.isin, req.forecast_period, req.time_frame, CASE WHEN request_id % 3 <> 0 THEN user_id END AS telegram_id FROM resp
+JOIN req USING (request_id))
 SELECT isin, forecast_period, time_frame, telegram_id, count(*) AS n FROM p GROUP BY ALL""",
         "req",
         "resp",
     ),
     "stream_cache": (
-        """WITH v AS (SELECT *, CASE time_frame WHEN '1m' THEN ts + to_minutes(1) WHEN '10m' THEN ts + to_minutes(10) WHEN '1h' THEN ts + to_hours(1) WHEN '1d' THEN ts + to_days(1) WHEN '1w' THEN ts + to_days(7) WHEN '1mo' THEN ts + to_months(1) END AS until FROM cached WHERE status = 'completed'),
-j AS (SELECT q.request_id, coalesce(q.ts < v.until, false) AS hit, v.forecast_price AS p FROM req q ASOF LEFT JOIN (SELECT * FROM v WHERE until IS NOT NULL) v ON q.isin = v.isin AND q.time_frame = v.time_frame AND q.forecast_period = v.forecast_period AND q.ts >= v.ts)
+        """WITH v AS (SELECT *, CASE time_frame WHEN '1m' THEN ts + to_minutes(1) WHEN '10m' THEN ts + to_minutes(10) WHEN '1h' THEN ts + to_hours(1) WHEN '1d'
+THEN ts + to_days(1) WHEN '1w' THEN ts + to_days(7) WHEN '1mo' THEN ts + to_months(1) END AS until FROM cached WHERE status = 'completed'),
+j AS (SELECT q.request_id, coalesce(q.ts < v.until, false) AS hit, v.forecast_price AS p FROM req q ASOF LEFT JOIN (SELECT * FROM v
+WHERE until IS NOT NULL) v ON q.isin = v.isin AND q.time_frame = v.time_frame AND q.forecast_period = v.forecast_period AND q.ts >= v.ts)
 SELECT request_id, hit, CASE WHEN hit THEN round(p, 6) END AS cached_price FROM j""",
         "req",
         "cached",
     ),
     "stream_updates": (
-        """WITH f AS (SELECT id, upper(arg_max(status, ts)) AS status, arg_max(model, ts) FILTER (model IS NOT NULL) AS model, arg_max(error, ts) FILTER (error IS NOT NULL) AS error, arg_max(duration_s, ts) FILTER (duration_s IS NOT NULL) AS duration_s FROM hresp GROUP BY id)
-SELECT h.id, coalesce(f.status, h.status) AS status, coalesce(f.model, h.model) AS model, coalesce(f.error, h.error) AS error, round(coalesce(f.duration_s, h.duration_s), 6) AS duration_s FROM hist h LEFT JOIN f USING (id)""",
+        """WITH f AS (SELECT id, upper(arg_max(status, ts)) AS status, arg_max(model, ts) FILTER (model IS NOT NULL) AS model, arg_max(error, ts) FILTER (error
+IS NOT NULL) AS error, arg_max(duration_s, ts) FILTER (duration_s IS NOT NULL) AS duration_s FROM hresp GROUP BY id)
+SELECT h.id, coalesce(f.status, h.status) AS status, coalesce(f.model, h.model) AS model, coalesce(f.error, h.error) AS error,
+round(coalesce(f.duration_s, h.duration_s), 6) AS duration_s FROM hist h LEFT JOIN f USING (id)""",
         "hist",
         "hresp",
     ),
