@@ -70,12 +70,15 @@ def drop_site_lines(pages: DataFrame, text: Column, host: Column, ratio: float =
 #: The same in DuckDB, for the pages table.
 LINES_SQL = r"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host,
-        regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?is)<head\b.*?</head\s*>', '', 'g'),
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->', '', 'g'),
+'(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?is)<head\b.*?</head\s*>', '', 'g'),
           '(?i)\s*</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|form|blockquote|pre|hr|body|html)\b[^>]*>\s*', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
-l AS (SELECT r, page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '') AS ls FROM p),
+l AS (SELECT r, page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')),
+lambda x: x <> '') AS ls FROM p),
 x AS (SELECT r, page_id, host, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l),
 tot AS (SELECT host, count(*) AS total FROM l GROUP BY host),
-bad AS (SELECT host, line FROM (SELECT DISTINCT r, host, line FROM x) JOIN tot USING (host) GROUP BY host, line, total HAVING total >= 5 AND count(*) > 0.2 * total),
+bad AS (SELECT host, line FROM (SELECT DISTINCT r, host, line FROM x) JOIN tot USING (host)
+GROUP BY host, line, total HAVING total >= 5 AND count(*) > 0.2 * total),
 k AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM x ANTI JOIN bad USING (host, line) GROUP BY r)
 SELECT page_id, host, coalesce(text, '') AS text, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT AS n_dropped
 FROM l LEFT JOIN k USING (r)

@@ -93,9 +93,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY nl, src ORDER BY size, doc_id NU
 s AS (SELECT nl, src, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY nl, src) - 1) % 3 + 1] AS w,
              source_size * 3.0::DOUBLE AS room FROM s),
-l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(room) OVER (ORDER BY room / w, nl, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(room) OVER (ORDER BY room / w, nl, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+0.0))
              / sum(w) OVER (ORDER BY room / w, nl, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
-m AS (SELECT *, first_value(CASE WHEN lev * w <= room THEN lev END IGNORE NULLS) OVER (ORDER BY room / w, nl, src ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM l),
+m AS (SELECT *, first_value(CASE WHEN lev * w <= room THEN lev END IGNORE NULLS) OVER (ORDER BY room / w, nl, src ROWS BETWEEN UNBOUNDED PRECEDING
+AND UNBOUNDED FOLLOWING) AS level FROM l),
 t AS (SELECT nl, src, source_size, least(room, coalesce(level * w, room)) AS target,
              ('0x' || substr(md5('mix:' || nl || ':' || src), 1, 5))::BIGINT / 1048576.0::DOUBLE AS u FROM m),
 c AS (SELECT r.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS e FROM r JOIN t USING (nl, src))

@@ -165,20 +165,27 @@ rc AS (SELECT lg, k, sum(c) / greatest(sum(sum(c)) OVER (PARTITION BY lg), 1) AS
 wd AS (SELECT r, lg, unnest(w) AS word FROM b),
 wk AS (SELECT lg, word, count(*) AS k, any_value(tot.n) AS n FROM wd JOIN tot USING (lg) GROUP BY lg, word),
 rw AS (SELECT lg, word, k / n AS q FROM wk SEMI JOIN own USING (lg) WHERE k >= 0.002 * n
-       UNION ALL SELECT '(all)', word, sum(k) / (SELECT greatest(sum(n), 1) FROM tot) FROM wk GROUP BY word HAVING sum(k) / (SELECT greatest(sum(n), 1) FROM tot) >= 0.002),
+       UNION ALL SELECT '(all)', word, sum(k) / (SELECT greatest(sum(n), 1) FROM tot) FROM wk
+GROUP BY word HAVING sum(k) / (SELECT greatest(sum(n), 1) FROM tot) >= 0.002),
 x AS (SELECT r, n, m, CASE WHEN lg IN (FROM own) THEN lg ELSE '(all)' END AS ref FROM b),
-cd AS (SELECT x.r, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS far
+cd AS (SELECT x.r, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)
+AS far
        FROM (SELECT r, k, c / greatest(m, 1) AS p FROM cl) y JOIN x USING (r) JOIN rc ON rc.lg = x.ref AND rc.k = y.k GROUP BY x.r),
 wc AS (SELECT r, word, count(*) AS k FROM wd GROUP BY r, word),
-wb AS (SELECT x.r, rw.word, coalesce(wc.k, 0) / greatest(x.n, 1) AS p, q FROM x JOIN rw ON rw.lg = x.ref LEFT JOIN wc ON wc.r = x.r AND wc.word = rw.word),
+wb AS (SELECT x.r, rw.word, coalesce(wc.k, 0) / greatest(x.n, 1) AS p, q FROM x JOIN rw ON rw.lg = x.ref LEFT
+JOIN wc ON wc.r = x.r AND wc.word = rw.word),
 wa AS (SELECT r, p, q FROM wb UNION ALL SELECT r, greatest(1 - sum(p), 0), greatest(1 - sum(q), 0) FROM wb GROUP BY r),
-ws AS (SELECT r, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS far FROM wa GROUP BY r),
+ws AS (SELECT r, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS
+far FROM wa GROUP BY r),
 g AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, n - 1)) AS i FROM b)),
-rep AS (SELECT r, count(DISTINCT pos) AS k FROM (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM g) WHERE k > 1) GROUP BY r),
-ln AS (SELECT r, count(*) - count(DISTINCT line) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM b) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+rep AS (SELECT r, count(DISTINCT pos) AS k FROM (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k
+FROM g) WHERE k > 1) GROUP BY r),
+ln AS (SELECT r, count(*) - count(DISTINCT line) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM b)
+WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 o AS (SELECT b.*, coalesce(rep.k, 0) AS n_rep, coalesce(ln.k, 0) AS n_dup, coalesce(cd.far, 0) AS cfar, coalesce(ws.far, 0) AS wfar
       FROM b LEFT JOIN rep USING (r) LEFT JOIN ln USING (r) LEFT JOIN cd USING (r) LEFT JOIN ws USING (r))
-SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines,
+SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, n_dup::BIGINT
+AS n_dup_lines,
        n_rep::BIGINT AS n_repeat_words, (n < 50 OR 100 * n_rep > 50 * n) AS base_failed,
        NOT (n < 50 OR 100 * n_rep > 50 * n) AND (m < 200 OR cfar <= 0.3 * 0.3) AND (n < 50 OR wfar <= 0.45 * 0.45) AS kept
 FROM o
