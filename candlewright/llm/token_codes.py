@@ -37,7 +37,7 @@ RANK_EVERY = 512
 #: A segment ends with the document that brings it to so many tokens.
 SEGMENT_TOKENS = 1 << 16
 #: Bytes of text encoded at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 10 << 20
 #: Texts that are no chain of words: runs of white space, any but spaces and line ends, or at an end; or a NUL.
 RUNS = r"^[ \n]|[ \n]\z|[ \n][ \n]|[\x00\x09\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: A mark after a letter begins a piece.
@@ -116,7 +116,7 @@ class CachedEncoder:
     """
 
     #: Words that come more than once in a batch are kept for the next ones; beyond so many the older half is dropped.
-    MOST = 200_000
+    MOST = 400_000
     #: Words in a text that the library gets; line ends part them.
     JOINED = 100
 
