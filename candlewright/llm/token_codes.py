@@ -106,6 +106,12 @@ class Segment:
         return self.all_tokens()[self.offsets[k] : self.offsets[k + 1]]
 
 
+def split_words(texts: pa.Array) -> pa.Array:
+    """The words of texts that are chains of words, each with the space before it; marks and line ends are words too."""
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+    return pc.split_pattern(pc.replace_substring_regex(marked, LETTER_MARK, "\\1\0\\2"), "\0")
+
+
 class CachedEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library; the distinct words of a batch are encoded once.
 
@@ -120,35 +126,44 @@ class CachedEncoder:
     #: Words in a text that the library gets; line ends part them.
     JOINED = 100
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, plain: bool = False):
+        """plain: special tokens' strings in a text are text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(model)
-        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.tok.encode_special_tokens = plain
+        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values() if not (plain and x.special)]
         parts = json.loads(model)
         pre = parts.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.by_word = self.by_word and not parts.get("normalizer") and not any(c.isspace() for a in self.added for c in a)
-        self.end = self._whole(["\n"])[0]
+        self.end = self.whole(["\n"])[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that the library gets in one piece."""
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], counts: np.ndarray) -> list[bytes]:
+    def lines(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that stand after a line end."""
+        return self.whole(texts)
+
+    def words(self, words: list[str], counts: np.ndarray) -> list[bytes]:
         """The ids of distinct words, which come `counts` times."""
         if len(self.young) > self.MOST // 2:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        out: list = [young.get(w) or old.get(w) for w in words]
+        out: list = list(map(young.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            out[i] = old.get(words[i])
         ask = [i for i, ids in enumerate(out) if ids is None]
         for a in range(0, len(ask), 500 * self.JOINED):
             at = [i for i in ask[a : a + 500 * self.JOINED] if words[i] not in ("", "\n")]
             texts = ["\n".join([words[i] for i in at[k : k + self.JOINED]]) for k in range(0, len(at), self.JOINED)]
             if texts:
-                chain = np.concatenate([y for x in self._whole(texts) for y in (x, self.end)])
+                chain = np.concatenate([y for x in self.lines(texts) for y in (x, self.end)])
                 ends = np.flatnonzero(chain == self.end[0]).tolist()
                 data, last = chain.tobytes(), -1
                 for i, e in zip(at, ends, strict=True):
@@ -161,12 +176,10 @@ class CachedEncoder:
 
     def _chains(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of texts that are chains of words."""
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
-        marked = pc.replace_substring_regex(marked, LETTER_MARK, "\\1\0\\2")
-        split = pc.split_pattern(marked, "\0")
+        split = split_words(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = self._words(words, np.bincount(coded.indices.to_numpy(), minlength=len(words)))
+        known = self.words(words, np.bincount(coded.indices.to_numpy(), minlength=len(words)))
         sizes = np.fromiter(map(len, known), np.int64, len(known))
         offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(known))])
@@ -177,15 +190,20 @@ class CachedEncoder:
         ids = np.frombuffer(ids or b"", "<u4")
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
-        """The ids of each text; null is encoded as the empty text."""
-        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+    def no_chains(self, texts: pa.Array) -> pa.Array:
+        """Which of the texts are no chains of words."""
         whole = pc.match_substring_regex(texts, RUNS) if self.by_word else pa.array([True] * len(texts), pa.bool_())
         for a in self.added:
             whole = pc.or_(whole, pc.match_substring(texts, a))
+        return whole
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is encoded as the empty text."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = self.no_chains(texts)
         if not pc.any(whole).as_py():
             return self._chains(texts)
-        alone = iter(self._whole(texts.filter(whole).to_pylist()))
+        alone = iter(self.whole(texts.filter(whole).to_pylist()))
         chains = iter(self._chains(texts.filter(pc.invert(whole))))
         return [next(alone) if w else next(chains) for w in whole.to_pylist()]
 
