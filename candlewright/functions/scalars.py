@@ -43,11 +43,14 @@ def parse_time_frame(time_frame: Column) -> Column:
 
 
 def expires_at(ts: Column, time_frame: Column) -> Column:
-    """ts plus the time frame; months and years follow the calendar with month-end clamping, unknown units give null."""
+    """ts plus the time frame; months and years follow the calendar with month-end clamping. Unknown units, and times beyond
+    what a timestamp or an interval can hold, give null."""
     n, unit = parse_time_frame(time_frame)["interval"], parse_time_frame(time_frame)["unit"]
     part = lambda u: F.when(unit == u, n).otherwise(0)
-    step = F.make_interval(part("y"), part("mo"), part("w"), part("d"), part("h"), part("m"), part("s").cast("decimal(18,6)"))
-    return F.when(unit.isin("s", "m", "h", "d", "w", "mo", "y"), ts + step)
+    step = F.try_make_interval(part("y"), part("mo"), part("w"), part("d"), part("h"), part("m"), part("s").cast("decimal(18,6)"))
+    # beyond year 9999 other readers of the table fail, and so does the session's own conversion to Python
+    until = F.try_add(ts, step)
+    return F.when(unit.isin("s", "m", "h", "d", "w", "mo", "y") & (until < F.lit("9999-12-31").cast("timestamp")), until)
 
 
 def cache_key(isin: Column, time_frame: Column, period: Column, provide_plot: Column) -> Column:

@@ -28,6 +28,8 @@ PERIOD = 7
 #: and of the KPSS level test (published constants).
 ADF_CRITICAL = {"1%": (-3.43035, -6.5393), "5%": (-2.86154, -2.8903), "10%": (-2.56677, -1.5384)}
 KPSS_5 = 0.463
+#: Up to so many series, of so many rows each, means of the last rows are broadcast (16 MB).
+BROADCAST_SERIES, BROADCAST_PERIODS = 20_000, 100
 #: 5% critical values of the Dickey-Fuller test with a trend by sample size (published constants).
 TREND_5 = ((25, 50, 100, 250, 500, 100_000), (-3.60, -3.50, -3.45, -3.43, -3.42, -3.41))
 #: Response surface of the Dickey-Fuller p-value with a constant (published constants): small and large statistics.
@@ -47,6 +49,26 @@ def baseline_forecast(candles: DataFrame, period: int, keys: Sequence[str] = ("n
     return rows.groupBy(*keys).agg(F.avg("price").alias("forecast_price"))
 
 
+def baseline_answers(requests: DataFrame, candles: DataFrame, model: str = "baseline") -> DataFrame:
+    """requests (isin, forecast_period and others) with forecast_price, model, status and error by baseline_forecast.
+
+    isin is the candles' name. Without candles, or for periods that are not positive, a request fails. Series are cut to as
+    many rows as the longest period asks for, before anything is joined, so that what meets the requests is short; a
+    popular isin's rows are spread by broadcasting it.
+    """
+    most = requests.agg(F.max("forecast_period")).first()[0] or 1
+    last = Window.partitionBy("name").orderBy(F.col("begin").desc(), F.col("price").desc())
+    back = prices(candles).withColumns({"_rn": F.row_number().over(last)}).filter(F.col("_rn") <= max(1, most))
+    so_far = last.rowsBetween(Window.unboundedPreceding, 0)
+    means = back.withColumns({"_mean": F.avg("price").over(so_far)}).groupBy(F.col("name").alias("isin")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_mean"))), lambda x: x["_mean"]).alias("_means"))
+    few = means.limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES and most <= BROADCAST_PERIODS
+    out = requests.join(F.broadcast(means) if few else means, "isin", "left")
+    error = F.when(F.col("_means").isNull(), "no candles").when(F.col("forecast_period") <= 0, "period must be positive")
+    price = F.when(error.isNull(), F.get("_means", F.least("forecast_period", F.size("_means")) - 1))
+    done = {"forecast_price": price, "model": F.lit(model), "status": F.when(error.isNull(), "completed").otherwise("failed"), "error": error}
+    return out.withColumns(done).drop("_means")
+
+
 def recent(rows: DataFrame, keys: Sequence[str] = ("name",), time: str = "begin", max_rows: int | None = None) -> DataFrame:
     """The last max_rows rows of each series; all without max_rows."""
     if max_rows is None:

@@ -90,6 +90,13 @@ def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(table(spark, sf_dir, "events").filter("event_type = 'click'"))
 
 
+def asked_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for forecasts of the event types, one in three of a type that has no candles."""
+    q = request_messages(spark, sf_dir)
+    isin = F.get(F.array(*map(F.lit, ("click", "view", "none"))), (F.col("request_id") % 3).cast("int"))
+    return q.select("request_id", isin.alias("isin"), "time_frame", "forecast_period", F.lit(False).alias("provide_plot"), F.col("user_id").cast("string").alias("user_id"), "ts")
+
+
 def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer to each request, some of them after its start time has expired."""
     late = F.make_dt_interval(secs=F.floor(F.col("value") * 4).cast("decimal(18,6)"))
@@ -118,6 +125,8 @@ NULL::VARCHAR AS error, o_orderkey % 3 = 0 AS used_cache, CASE WHEN o_orderstatu
 UNION ALL SELECT id, created_at + to_days(1), 'failed', NULL, 'no data', NULL FROM hist WHERE id % 3 = 0)""",
     "req": f"""req AS (SELECT event_id AS request_id, (user_id % 20)::VARCHAR AS isin, {_FRAMES_SQL}[event_id % 7 + 1] AS time_frame, (1 + event_id % 3)::INT AS
 forecast_period, ts, user_id, value FROM events WHERE event_type = 'click')""",
+    "asked": f"""asked AS (SELECT event_id AS request_id, ['click', 'view', 'none'][event_id % 3 + 1] AS isin, {_FRAMES_SQL}[event_id % 7 + 1] AS time_frame,
+(1 + event_id % 3)::INT AS forecast_period, ts FROM events WHERE event_type = 'click')""",
     "resp": """resp AS (SELECT request_id, ts + to_seconds(floor(value * 4)::BIGINT) AS ts, CASE WHEN request_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS
 status FROM req)""",
     "cached": f"""cached AS (SELECT event_id AS request_id, (user_id % 20)::VARCHAR AS isin, {_FRAMES_SQL}[event_id % 7 + 1] AS time_frame, (1 + event_id % 3)::INT AS

@@ -16,6 +16,7 @@ from .operators import features as feat
 from .plans import adapters as A
 from .plans import pipelines
 from .session import shipped
+from .sources import candles
 from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,7 +91,7 @@ WHERE begin >= last - to_days(7)""", "bars")
 
 
 def candle_range(spark, d):
-    c = A.candles(spark, d).withColumn("isin", F.coalesce(F.lit(None).cast("string"), F.lit("")))
+    c = candles.original_isin(A.candles(spark, d), None)
     return clean.candle_range(c, "click", 60, "2024-01-03", "2024-01-20").select("ticker", "isin", "interval", tx(), tx("end"), "close")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 _D, _S = T.DoubleType(), T.StringType()
 CANDLES = T.StructType([T.StructField("begin", T.TimestampType()), T.StructField("name", _S), *(T.StructField(c, _D) for c in ("open", "close", "high", "low", "value", "volume"))])
-DIVIDENDS = T.StructType([T.StructField("secid", _S), T.StructField("isin", _S), T.StructField("registryclosedate", _S), T.StructField("value", _D), T.StructField("currencyid", _S)])
 HISTORY = T.StructType(
     [T.StructField(c, t) for c, t in (("id", _S), ("isin", _S), ("time_frame", _S), ("requested_plot", T.BooleanType()), ("model", _S), ("user_id", _S), ("telegram_id", T.LongType()), ("status", _S), ("error", _S), ("used_cache", T.BooleanType()), ("duration_s", _D), ("created_at", T.TimestampType()))]
 )
@@ -30,9 +29,23 @@ def write_csv(df: DataFrame, path: str, partition_by: str | None = None, mode: s
 
 
 def read_dividends(spark: SparkSession, *paths: str) -> DataFrame:
-    """date, name, isin, value, currencyid."""
-    df = spark.read.schema(DIVIDENDS).option("sep", ";").option("header", True).csv(list(paths))
-    return df.select(F.to_date("registryclosedate").alias("date"), F.col("secid").alias("name"), "isin", "value", "currencyid")
+    """date, name, isin, value, currencyid of `;`-separated files, by the names in each path's header: the exchange's
+    (registryclosedate, secid) or these. Columns that a path lacks, and values that cannot be read, are null."""
+    out = None
+    for path in paths:
+        df = spark.read.option("sep", ";").option("header", True).csv(path)
+        have = {c.lower(): c for c in df.columns}
+        pick = lambda *names: next((F.col(have[n]) for n in names if n in have), F.lit(None))  # noqa: E731, B023
+        one = df.select(pick("date", "registryclosedate").try_cast("date").alias("date"), pick("name", "secid").cast("string").alias("name"), pick("isin").cast("string").alias("isin"), pick("value").try_cast("double").alias("value"), pick("currencyid").cast("string").alias("currencyid"))
+        out = one if out is None else out.union(one)
+    if out is None:
+        raise ValueError("no paths")
+    return out
+
+
+def original_isin(candles: DataFrame, requested: str | None) -> DataFrame:
+    """Candles as a service answers with them: isin is the requested one, or empty if none was."""
+    return candles.withColumn("isin", F.lit(requested or ""))
 
 
 def stack(frames: Mapping[str, DataFrame]) -> DataFrame:

@@ -19,8 +19,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def stream_durations(requests: DataFrame, responses: DataFrame, ttl: int = joins.START_TTL, lateness: str = "1 hour") -> DataFrame:
     """Streaming form of joins.durations: state is bounded by ttl plus lateness; unmatched responses appear, with null,
-    once the watermark has passed them. Requests are taken to come once each."""
-    req = requests.select(F.col("request_id").alias("_id"), F.col("ts").alias("_start")).withWatermark("_start", lateness)
+    once the watermark has passed them. A request that is delivered again within the lateness counts once; if its copies
+    differ in time, the one that arrives first counts."""
+    req = requests.select(F.col("request_id").alias("_id"), F.col("ts").alias("_start")).withWatermark("_start", lateness).dropDuplicatesWithinWatermark(["_id"])
     resp = responses.withWatermark("ts", lateness)
     within = (F.col("request_id") == F.col("_id")) & (F.col("ts") >= F.col("_start")) & (F.col("ts") < F.col("_start") + F.expr(f"INTERVAL {int(ttl)} SECONDS"))
     joined = resp.join(req, within, "leftOuter")
@@ -29,61 +30,88 @@ def stream_durations(requests: DataFrame, responses: DataFrame, ttl: int = joins
 
 def ttl_cache() -> StatefulProcessor:
     """The processor of stream_cache; a local class travels by value to the workers that the driver starts."""
+    fields = ("at", "kind", "until", "price", "request_id")
 
-    def rows_of(out: dict[str, list]) -> pd.DataFrame:
-        kinds = {"cache_key": object, "request_id": "int64", "hit": bool, "cached_price": "float64"}
-        return pd.DataFrame({c: pd.Series(v, dtype=kinds[c]) for c, v in out.items()})
+    def row(at, kind, until, price, request) -> tuple:
+        number = lambda x, of: None if x is None or x != x else of(x)
+        return int(at), int(kind), number(until, int), number(price, float), number(request, str)
 
-    class TtlCache(StatefulProcessor):
-        """Last completed response of a key with its expiry; requests read it. Hits are decided by time, timers free state.
+    def place(r: tuple) -> tuple:
+        # responses before requests of their time; of responses the one that lives longest last, then the larger price
+        return r[0], r[1], r[2] is not None, r[2] or 0, r[3] is not None, r[3] or 0.0, r[4] or ""
 
-        Rows of a batch are taken in time order, responses before requests. A row that arrives in a later batch than one it
-        should have preceded can differ from the batch form, joins.cache_lookup.
-        """
+    class TtlCache(StatefulProcessor):
+        """Rows wait until the watermark has passed them, so they are taken in order of time, in whatever order they arrive:
+        a response becomes the key's value, a request reads it. State is what waits, and a value until its expiry."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.value = handle.getValueState("value", "until bigint, price double")
+            self.waiting = handle.getListState("waiting", "at bigint, kind int, until bigint, price double, request_id string")
+            self.timer = handle.getValueState("timer", "ms bigint")
+
+        def _wake(self, micros: int) -> None:
+            """One timer a key: at the first moment that something is to be done."""
+            ms = micros // 1000 + 1
+            if self.timer.exists():
+                if self.timer.get()[0] <= ms:
+                    return
+                self.handle.deleteTimer(self.timer.get()[0])
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            # of responses at one time the one that lives longest counts, then the larger price, as in the batch form
-            batch = pd.concat(list(rows)).sort_values(["at", "kind", "until", "price"])
+            new = [row(*r) for batch in rows for r in batch[list(fields)].astype(object).itertuples(index=False)]
+            self.waiting.appendList(new)
+            self._wake(min(r[0] for r in new))
+            yield told([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.timer.clear()
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            known = sorted((tuple(r) for r in self.waiting.get()), key=place)
+            due, rest = [r for r in known if r[0] <= passed], [r for r in known if r[0] > passed]
             held = self.value.get() if self.value.exists() else None
-            out: dict[str, list] = {"cache_key": [], "request_id": [], "hit": [], "cached_price": []}
-            for kind, at, until, price, request in zip(batch["kind"], batch["at"], batch["until"], batch["price"], batch["request_id"], strict=True):
+            out = []
+            for at, kind, until, price, request in due:
                 if kind == 0:
-                    held = (int(until), float(price))
+                    held = (until, price)
                 else:
                     hit = held is not None and at < held[0]
-                    out["cache_key"].append(key[0])
-                    out["request_id"].append(int(request))
-                    out["hit"].append(hit)
-                    out["cached_price"].append(held[1] if hit else None)
-            if held is not None:
-                self.value.update((int(held[0]), float(held[1])))
-                self.handle.registerTimer(int(held[0]) // 1000 + 1)
-            yield rows_of(out)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            # the value may have been replaced by one that lives longer
-            if self.value.exists() and self.value.get()[0] // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+                    out.append((key[0], request, hit, held[1] if hit else None))
+            if rest:
+                self.waiting.put(rest)
+                self._wake(rest[0][0])
+            else:
+                self.waiting.clear()
+            if held is not None and held[0] > passed:
+                self.value.update(held)
+                self._wake(held[0])
+            elif self.value.exists():
                 self.value.clear()
-            yield rows_of({"cache_key": [], "request_id": [], "hit": [], "cached_price": []})
+            yield told(out)
 
         def close(self) -> None:
             pass
 
+    def told(rows: list[tuple]) -> pd.DataFrame:
+        columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[], [], [], []]
+        kinds = (object, object, bool, "Float64")
+        return pd.DataFrame({c: pd.Series(v, dtype=t) for c, v, t in zip(("cache_key", "request_id", "hit", "cached_price"), columns, kinds, strict=True)})
+
     return TtlCache()
 
 
 def stream_cache(requests: DataFrame, responses: DataFrame, key: str = "cache_key", lateness: str = "1 hour") -> DataFrame:
-    """Streaming form of joins.cache_lookup: cache_key, request_id, hit, cached_price. Needs the RocksDB state store."""
+    """Streaming form of joins.cache_lookup: cache_key, request_id (a string), hit, cached_price. Needs the RocksDB state
+    store. A request is answered when the watermark has passed it; rows that come within the lateness give the batch form's
+    rows in whatever order they arrive. Null ids and prices stay null; later rows are dropped."""
     done = responses.filter(F.upper("status") == "COMPLETED").withColumn("_until", expires_at(F.col("ts"), F.col("time_frame"))).filter(F.col("_until").isNotNull())
     none = lambda t: F.lit(None).cast(t)
-    values = done.select(F.col(key).alias("cache_key"), "ts", F.lit(0).alias("kind"), F.unix_micros("ts").alias("at"), F.unix_micros("_until").alias("until"), F.col("forecast_price").alias("price"), none("bigint").alias("request_id"))
-    asked = requests.select(F.col(key).alias("cache_key"), "ts", F.lit(1).alias("kind"), F.unix_micros("ts").alias("at"), none("bigint").alias("until"), none("double").alias("price"), F.col("request_id").cast("bigint"))
+    values = done.select(F.col(key).alias("cache_key"), "ts", F.lit(0).alias("kind"), F.unix_micros("ts").alias("at"), F.unix_micros("_until").alias("until"), F.col("forecast_price").cast("double").alias("price"), none("string").alias("request_id"))
+    asked = requests.select(F.col(key).alias("cache_key"), "ts", F.lit(1).alias("kind"), F.unix_micros("ts").alias("at"), none("bigint").alias("until"), none("double").alias("price"), F.col("request_id").cast("string"))
     both = values.unionByName(asked).withWatermark("ts", lateness)
-    return both.groupBy("cache_key").transformWithStateInPandas(ttl_cache(), outputStructType="cache_key string, request_id bigint, hit boolean, cached_price double", outputMode="Append", timeMode="EventTime")
+    return both.groupBy("cache_key").transformWithStateInPandas(ttl_cache(), outputStructType="cache_key string, request_id string, hit boolean, cached_price double", outputMode="Append", timeMode="EventTime")
 
 
 def stream_publish(responses: DataFrame, requests: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans import adapters as A
+from ..operators import forecast
 from ..session import shared_dir
 from ..sources import topics
-from . import flows
+from . import flows, service
+from .store import Store
 
 BATCHES = 4
 FAR = "2100-01-01 00:00:00"
@@ -107,14 +109,15 @@ def stream_cache(spark: SparkSession, d: str) -> DataFrame:
     key = lambda df: df.withColumn("cache_key", S.cache_key(F.col("isin"), F.col("time_frame"), F.col("forecast_period"), F.lit(False)))
     both = key(A.request_messages(spark, d)).select("cache_key", "ts", "request_id", "time_frame", F.lit("request").alias("status"), F.lit(None).cast("double").alias("forecast_price"))
     both = both.unionByName(key(A.cached_responses(spark, d)).select("cache_key", "ts", "request_id", "time_frame", "status", "forecast_price"))
-    rows = _messages(spark, _files(both), "cache_key string, ts timestamp, request_id bigint, time_frame string, status string, forecast_price double")
+    far = spark.range(1).select(F.lit("").alias("cache_key"), F.lit(FAR).cast("timestamp").alias("ts"), F.lit("none").alias("status"))
+    rows = _messages(spark, _files(both, tail=far), "cache_key string, ts timestamp, request_id string, time_frame string, status string, forecast_price double")
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", flows.ROCKSDB)
     try:
-        out = _sink(flows.stream_cache(rows.filter("status = 'request'"), rows.filter("status <> 'request'")))
+        out = _sink(flows.stream_cache(rows.filter("status IN ('request', 'none')"), rows.filter("status NOT IN ('request', 'none')")))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    return out.select("request_id", "hit", F.round("cached_price", 6).alias("cached_price"))
+    return out.filter("cache_key <> ''").select(F.col("request_id").cast("bigint").alias("request_id"), "hit", F.round("cached_price", 6).alias("cached_price"))
 
 
 def stream_forecasts(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +137,61 @@ def stream_updates(spark: SparkSession, d: str) -> DataFrame:
     return flows.read_table(spark, f"{where}/table").select("id", "status", "model", "error", F.round("duration_s", 6).alias("duration_s"))
 
 
-QUERIES = {f.__name__: f for f in (stream_parse, stream_rejects, stream_durations, stream_publish, stream_cache, stream_forecasts, stream_updates)}
+def _staged(requests: DataFrame) -> DataFrame:
+    """Adds stage, 0 to BATCHES - 1: equal spans of time."""
+    us = F.unix_micros("ts")
+    span = requests.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    return requests.withColumn("stage", F.expr(f"{BATCHES} * (unix_micros(ts) - {lo}) div {hi - lo + 1}"))
+
+
+def flow_b(spark: SparkSession, d: str) -> DataFrame:
+    """Requests through the service, a span of time after the other; the worker's answers come with the next span. One row for
+    each request: its row of the history, and the price that was published or answered."""
+    where = _folder(spark)
+    q = _staged(A.asked_forecasts(spark, d)).withColumns({"request_id": F.col("request_id").cast("string"), "telegram_id": F.col("request_id")})
+    bars = A.bars_from_events(spark, d)
+    late = F.make_dt_interval(secs=(F.col("request_id").cast("bigint") % 900).cast("decimal(18,6)"))
+    answer = lambda asked: forecast.baseline_answers(asked, bars).withColumn("ts", F.col("ts") + late)
+    store = Store(spark, f"{where}/store", buckets=8)
+    files = max(1, -(-q.count() // (BATCHES * FILE_ROWS)))
+    read = lambda path: topics.read_topic(spark, "files", path, per_trigger=1_000_000)
+    for name in ("requests", "work", "responses"):
+        store.files.fs.mkdirs(store.files.path(store.topic(name)))
+    for stage in range(BATCHES + 1):
+        topics.to_messages(q.filter(F.col("stage") == stage).drop("stage")).repartition(files).write.mode("append").text(store.topic("requests"))
+        service.start_front(spark, store, read(store.topic("requests")), read(store.topic("responses")), f"{where}/front").awaitTermination()
+        service.start_worker(store, read(store.topic("work")), answer, f"{where}/worker").awaitTermination()
+    sent = topics.parse(spark.read.text(store.topic("publish")), "telegram_id bigint, forecast_price double", ("telegram_id",))[0].select(F.col("telegram_id").cast("string").alias("id"), "forecast_price", F.lit(True).alias("published"))
+    told = topics.parse(spark.read.text(store.topic("answers")), topics.RESPONSE, ("request_id",))[0].select(F.col("request_id").alias("id"), "forecast_price", F.lit(False).alias("published"))
+    out = store.read("history").join(sent.union(told), "id", "left")
+    return out.select(F.col("id").cast("bigint").alias("id"), "status", "used_cache", "model", "error", F.round("duration_s", 6).alias("duration_s"), "published", F.round("forecast_price", 6).alias("forecast_price"))
+
+
+def _flow_b_sql() -> str:
+    """Each span's requests against the values that earlier spans' misses gave."""
+    stages, values = [], []
+    for k in range(BATCHES):
+        known = " UNION ".join(f"SELECT isin, time_frame, forecast_period, given, until FROM h{j} WHERE NOT hit AND isin <> 'none' AND until IS NOT NULL" for j in range(k))
+        known = known or "SELECT isin, time_frame, forecast_period, ts AS given, ts AS until FROM q WHERE false"
+        stages.append(f"""v{k} AS ({known}),
+h{k} AS (SELECT q.*, coalesce(q.ts < v.until, false) AS hit, q.ts + to_seconds(request_id % 900) AS given, CASE q.time_frame WHEN '1m' THEN q.ts + to_seconds(request_id % 900) + to_minutes(1)
+WHEN '10m' THEN q.ts + to_seconds(request_id % 900) + to_minutes(10) WHEN '1h' THEN q.ts + to_seconds(request_id % 900) + to_hours(1)
+WHEN '1d' THEN q.ts + to_seconds(request_id % 900) + to_days(1) WHEN '1w' THEN q.ts + to_seconds(request_id % 900) + to_days(7)
+WHEN '1mo' THEN q.ts + to_seconds(request_id % 900) + to_months(1) END AS until FROM q ASOF LEFT JOIN v{k} v
+ON q.isin = v.isin AND q.time_frame = v.time_frame AND q.forecast_period = v.forecast_period AND q.ts >= v.given WHERE stage = {k})""")
+        values.append(f"SELECT request_id, isin, forecast_period, hit FROM h{k}")
+    return f"""WITH q AS (SELECT *, {BATCHES} * (epoch_us(ts) - min(epoch_us(ts)) OVER ()) // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) AS stage FROM asked),
+{", ".join(stages)},
+n AS (SELECT name, close, row_number() OVER (PARTITION BY name ORDER BY begin DESC) AS k FROM bars),
+m AS (SELECT name, p.k AS forecast_period, avg(close) AS price FROM n JOIN (SELECT unnest([1, 2, 3]) AS k) p ON n.k <= p.k GROUP BY ALL),
+a AS ({" UNION ALL ".join(values)})
+SELECT request_id AS id, CASE WHEN hit OR price IS NOT NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status, hit AS used_cache, 'baseline' AS model,
+CASE WHEN price IS NULL THEN 'no candles' END AS error, CASE WHEN hit THEN 0 WHEN request_id % 900 < 600 THEN request_id % 900 END::DOUBLE AS duration_s,
+NOT hit AS published, round(price, 6) AS forecast_price FROM a LEFT JOIN m ON m.name = a.isin AND m.forecast_period = a.forecast_period"""
+
+
+QUERIES = {f.__name__: f for f in (stream_parse, stream_rejects, stream_durations, stream_publish, stream_cache, stream_forecasts, stream_updates, flow_b)}
 #: The stream gives what its batch form gives.
 ORACLES: dict[str, tuple[str, ...]] = {
     "stream_parse": ("SELECT request_id, isin, time_frame, forecast_period, false AS provide_plot FROM req WHERE request_id % 17 <> 0 AND request_id % 19 <> 0", "req"),
@@ -171,4 +228,5 @@ round(coalesce(f.duration_s, h.duration_s), 6) AS duration_s FROM hist h LEFT JO
         "hist",
         "hresp",
     ),
+    "flow_b": (_flow_b_sql(), "bars", "asked"),
 }
