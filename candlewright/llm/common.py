@@ -128,8 +128,13 @@ def join_spread(rows: DataFrame, side: DataFrame, key: str, by: str, few: int, h
     with many rows is dealt to several tasks by a hash of `by`, and its row of side goes to each of them."""
     if side.limit(few + 1).count() <= few:
         return rows.join(F.broadcast(side), key, how)
-    hot = hot_keys(rows, key)
-    return dealt(rows, hot, key, by, "salt").join(copied(side, hot, key, "salt"), [key, "salt"], how).drop("salt")
+    own = own_prefix(rows, side)
+    salt, parts = f"{own}salt", f"{own}parts"
+    hot = hot_keys(rows.select(key), key).withColumnRenamed("parts", parts)
+    n = F.coalesce(parts, F.lit(1))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(F.lit(5), by), n).cast("int")).drop(parts)
+    side = side.join(F.broadcast(hot), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    return rows.join(side, [key, salt], how).drop(salt)
 
 
 def global_rank(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "rank", rank: str = "_rank") -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, materialize, own_prefix
+from .common import ascii_lower, join_spread, let, materialize, own_prefix
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -24,6 +24,8 @@ SHINGLE = 3
 MOST_BITS = 1 << 27
 #: Up to so many windows, they are broadcast (about 200 bytes each); beyond, they are joined by shuffle.
 BROADCAST_WINDOWS = 100_000
+#: And of so many bytes, their items' ids included.
+BROADCAST_BYTES = 16 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -106,7 +108,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     own = F.array(F.struct(F.xxhash64("_id", "text").alias("h"), F.lit(-1).alias("pos"), F.lit(0).alias("from"), F.array().cast("array<string>").alias("ctx"))).cast(HIT)
     anchors = _anchors(docs, windows, "text", sizes) if sizes else None
     if anchors is not None:
-        n_anchors = anchors.count()
+        size = anchors.agg(F.count("*").alias("n"), F.sum(F.length("text") + F.size("items") * 40).alias("b")).first()
+        few = size["n"] <= BROADCAST_WINDOWS and (size["b"] or 0) <= BROADCAST_BYTES
         bitmap, test = _bitmap(materialize(anchors.select("h").distinct(), "leak-prefixes"))
 
     def candidates(w: Column, m: Column) -> Column:
@@ -123,8 +126,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.withColumn("bitmap", bitmap) if sizes else docs
     rows = rows.select("_id", md5, cut.alias("c")).select("_id", "_m", F.col("c.n_words").alias("n_words"), F.explode("c.rows").alias("r")).select("_id", "_m", "n_words", "r.*")
     if anchors is not None:
-        a = anchors.select(F.col("h").alias("a_h"), "off", "text", "n", F.col("items").alias("a_items"))
-        rows = rows.join(F.broadcast(a) if n_anchors <= BROADCAST_WINDOWS else a, (F.col("h") == F.col("a_h")) & (F.col("pos") >= 0), "left")
+        key = lambda h, at: F.struct(F.col(h).alias("h"), at.alias("at"))
+        a = anchors.select(key("h", F.lit(True)).alias("k"), "off", "text", "n", F.col("items").alias("a_items"))
+        rows = rows.withColumns({"k": key("h", F.col("pos") >= 0), "spread": F.xxhash64("_id", "_m", "pos")})
+        if few:
+            rows = rows.join(F.broadcast(a), "k", "left")
+        else:  # a passage may be anywhere: positions of a hot prefix are dealt to several tasks
+            rows = join_spread(materialize(rows, "leak-positions"), a, "k", "spread", -1, "left")
         start = F.col("pos") - F.col("off")
         inside = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
         same = F.array_join(F.slice("ctx", F.greatest(start - F.col("from") + 1, F.lit(1)), F.col("n")), " ") == F.col("text")

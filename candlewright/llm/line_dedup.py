@@ -36,7 +36,8 @@ def lines_of(text: Column) -> Column:
 
 def site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, bad): hashes of each host's boilerplate lines, for pages (host, lines). The page total of a host rides along as
-    the line hash null. A host's lines lie in as many tasks as they need; its total goes to each."""
+    the line hash null. A host's lines lie in as many tasks as they need; its total goes to each. Null lists have no lines, and no
+    ties arise, as each line is counted by itself."""
     hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
     keys = F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashes))
     counts = materialize(pages.select("host", keys.alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")), "line-counts")
@@ -56,11 +57,14 @@ def drop_site_lines(pages: DataFrame, text: Column, host: Column, ratio: float =
     whatever their names.
     """
     own = own_prefix(pages)
-    site, lines, bad_lines, stay = (f"{own}{c}" for c in ("host", "lines", "bad", "stay"))
+    site, lines, bad_lines, stay, spread = (f"{own}{c}" for c in ("host", "lines", "bad", "stay", "spread"))
     rows = pages.withColumns({lines: lines_of(text), site: F.coalesce(host, F.lit(""))})
     bad = site_lines(rows.select(F.col(site).alias("host"), F.col(lines).alias("lines")), ratio, least_pages).withColumnsRenamed({"host": site, "bad": bad_lines})
     few = (bad.agg(F.sum(F.size(bad_lines))).first()[0] or 0) <= BROADCAST_LINES
-    rows = rows.join(F.broadcast(bad) if few else bad, site, "left")
+    if few:
+        rows = rows.join(F.broadcast(bad), site, "left")
+    else:
+        rows = join_spread(rows.withColumn(spread, F.xxhash64(lines)), bad, site, spread, -1, "left")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col(bad_lines), F.xxhash64(x)))
     rows = rows.withColumn(stay, F.when(F.col(bad_lines).isNull(), F.col(lines)).otherwise(kept))
     n_lines = F.size(lines).cast("bigint")

@@ -31,12 +31,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def default_tokenizer() -> str:
+    return tokenizer_path("byte_bpe_50k.json")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(read(spark, sf_dir, "documents"), 8)
 
 
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_table(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_table(read(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = read_models(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    models = read_models(default_tokenizer(), tokenizer_path("piece_bpe_32k.model"))
     found = align_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), *models)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)

@@ -76,8 +76,8 @@ def _sums() -> list:
     return [F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")]
 
 
-def plan(rows: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame]:
-    """(cut groups with their number of pieces, shard of each (g, piece)) for rows (g, bytes, tokens, h)."""
+def plan(rows: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cut groups with their number of pieces, shards of heavy (g, piece), shards of light ones) for rows (g, bytes, tokens, h)."""
     spark = rows.sparkSession
     groups = materialize(rows.groupBy("g").agg(*_sums()), "shard-groups")
     t = groups.agg(*(F.sum(d).alias(d) for d in DIMS)).first()
@@ -108,7 +108,7 @@ def plan(rows: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame]:
         return pdf[["g"]].assign(piece=0, shard=pack(need, room))
 
     dealt = light.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts))).repartition(parts, "part")
-    return hot, dealt.groupBy("part").applyInPandas(place, ITEM).union(spark.createDataFrame(done, ITEM))
+    return hot, spark.createDataFrame(done, ITEM), dealt.groupBy("part").applyInPandas(place, ITEM)
 
 
 def with_piece(rows: DataFrame, hot: DataFrame, own: str = "") -> DataFrame:
@@ -118,6 +118,17 @@ def with_piece(rows: DataFrame, hot: DataFrame, own: str = "") -> DataFrame:
     return rows.join(F.broadcast(hot), g, "left").withColumn(piece, F.coalesce(F.pmod(h, pieces).cast("int"), F.lit(0))).drop(pieces)
 
 
+def with_shard(rows: DataFrame, hot: DataFrame, heavy: DataFrame, light: DataFrame, own: str = "") -> DataFrame:
+    """Adds shard. Heavy items, at most 3 x shards x (HEAVY + 2 x PIECES), are broadcast, so only rows of light ones are joined
+    by their group; the others are dealt out by their own hash meanwhile."""
+    g, h, piece, shard, first, key = (f"{own}{c}" for c in ("g", "h", "piece", "shard", "first", "key"))
+    heavy = heavy.withColumnsRenamed({"g": g, "piece": piece, "shard": first})
+    rows = with_piece(rows, hot, own).join(F.broadcast(heavy), [g, piece], "left")
+    rows = rows.withColumn(key, F.when(F.col(first).isNull(), F.col(g)).otherwise(F.concat(F.lit("#"), F.col(h).cast("string"))))
+    light = light.select(F.col("g").alias(key), F.col("shard").alias(shard))
+    return rows.join(light, key, "left").withColumn(shard, F.coalesce(first, shard)).drop(first, key)
+
+
 def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a `shard` column (int, 0 to n_shards - 1).
 
@@ -129,9 +140,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
     own = own_prefix(docs)
     sized = _sized(docs, id_col, text_col, own)
     rows = sized.select(*(F.col(f"{own}{c}").alias(c) for c in ("g", "bytes", "tokens", "h")))
-    hot, shards = plan(materialize(rows, "shard-sizes"), n_shards)
-    shards = shards.withColumnsRenamed({c: f"{own}{c}" for c in shards.columns})
-    out = with_piece(sized, hot, own).join(shards, [f"{own}g", f"{own}piece"])
+    out = with_shard(sized, *plan(materialize(rows, "shard-sizes"), n_shards), own)
     return with_results(out, own, {"shard": F.col(f"{own}shard")})
 
 
@@ -144,8 +153,7 @@ def shard_manifest(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sized = _sized(bare, "id", "text", "").select("id", "g", "bytes", "tokens", "h", F.coalesce(F.crc32("text"), F.lit(0)).alias("crc"))
     rows = materialize(sized, "shard-sizes")
-    hot, shards = plan(rows, n_shards)
-    placed = with_piece(rows, hot).join(shards, ["g", "piece"]).select("id", "bytes", "tokens", "crc", "shard", "h")
+    placed = with_shard(rows, *plan(rows, n_shards)).select("id", "bytes", "tokens", "crc", "shard", "h")
     ranked = global_rank(placed, ["shard", "h", "crc"], ["shard"], "shard-slots", "slot")
     return ranked.select(
         F.col("id").alias(id_col),

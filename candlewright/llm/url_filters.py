@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, named
 
 PART_KEYS = 100_000
 BROADCAST_BYTES = 16 << 20
+#: Up to so many parts, their numbers of tasks are broadcast (12 bytes each).
+BROADCAST_PARTS = 1_000_000
 #: Rows that one task of the second form holds.
 TASK_ROWS = 50_000
 #: (verdict, host and path) of the production rules.
@@ -130,7 +132,9 @@ def probe(rows: DataFrame, key: Column, levels: DataFrame, parts: int, broadcast
         return rows.withColumn("listed", listed("_part", "_h1", "_h2")).select(*columns, "listed")
     # each part's rows go to as many tasks as they need, and its levels to all of those
     counts = materialize(rows.groupBy("_part").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("_tasks")), "url-parts")
-    rows = rows.join(counts, "_part").withColumn("_task", F.floor(F.rand(0) * F.col("_tasks")).cast("int")).drop("_tasks")
+    # by a hash of the whole row, so that a task that is run again deals alike
+    row = F.xxhash64(*(named(f.name) for f in rows.schema if "map<" not in f.dataType.simpleString()))
+    rows = rows.join(F.broadcast(counts) if parts <= BROADCAST_PARTS else counts, "_part").withColumn("_task", F.pmod(row, F.col("_tasks")).cast("int")).drop("_tasks")
     copies = levels.join(counts.withColumnRenamed("_part", "part"), "part").withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)))
     schema = rows.select(*columns).schema.add("listed", "boolean")
 

@@ -15,4 +15,4 @@ def test_every_operator_has_its_query():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(registry.QUERIES) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(registry.QUERIES) | {"pipeline"} <= names
