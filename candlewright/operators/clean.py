@@ -14,11 +14,11 @@ def series(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> WindowSp
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def drop_duplicate_times(df: DataFrame, keys: Sequence[str] = KEYS, time: str = "begin", tie: Sequence[str] = ("seq",)) -> DataFrame:
-    """The first row of each time of a series, in the order of tie (any of those that tie in it too)."""
-    # dealt by series first, so that later windows of the series need no other exchange
+def drop_duplicate_times(df: DataFrame, keys: Sequence[str] = KEYS, time: str = "begin", tie: Sequence[str] = ("seq",), by_time: bool = False) -> DataFrame:
+    """The first row of each time of a series, in the order of tie (any of those that tie in it too). by_time: deal the rows
+    by time as well, for long series; else by series, so that later windows of the series need no other exchange."""
     w = Window.partitionBy(*keys, time).orderBy(*tie)
-    return df.repartition(*keys).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return (df if by_time else df.repartition(*keys)).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str], method: str = "ffill", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:

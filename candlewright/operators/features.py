@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,10 +161,23 @@ def rsi(df: DataFrame, period: int = 14, column: str = "close", keys: Sequence[s
 
 def all_features(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """The feature set of the training pipeline; df is clean and dealt by series."""
+    return mean_features(bounded_features(df, keys, order), keys, order)
+
+
+def bounded_features(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, times: Sequence[str] | None = None) -> DataFrame:
+    """Those that look back a bounded number of rows, and the moves that the others start from. times: the time column, where
+    rows are ordered by another one."""
     f = Features(keys, order)
     df = df.withColumns({"log_return": f.log_return(), "return": f.simple_return()})
     df = volatility(df, 14, "log_return", keys, order).withColumns(f.bollinger()).withColumn("ma_20", f.moving_average())
-    df = df.withColumns({"intraday": f.intraday(), "overnight": f.overnight(), "amplitude": f.amplitude(), **f.time()})
+    df = df.withColumns({"intraday": f.intraday(), "overnight": f.overnight(), "amplitude": f.amplitude(), **Features(keys, times or order).time()})
+    return _moves(df, "close", keys, order)
+
+
+def mean_features(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, means: Callable[..., DataFrame] = ewm) -> DataFrame:
+    """Those of exponential means; means: ewm, or another form of it."""
     # all means of prices in one call, only the signal needs another
-    means = {"_mean_up": ("_up", 1 / 14), "_mean_down": ("_down", 1 / 14), "_fast": ("close", 2 / 13), "_slow": ("close", 2 / 27), "ema_20": ("close", 2 / 21)}
-    return _macd_of(_rsi_of(ewm(_moves(df, "close", keys, order), means, keys, order)), 9, keys, order)
+    specs = {"_mean_up": ("_up", 1 / 14), "_mean_down": ("_down", 1 / 14), "_fast": ("close", 2 / 13), "_slow": ("close", 2 / 27), "ema_20": ("close", 2 / 21)}
+    df = _rsi_of(means(df, specs, keys, order)).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    df = means(df, {"macd_signal": ("macd", 2 / 10)}, keys, order)
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))

@@ -7,18 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean, features
+from ..operators import chunks, clean, features
 
 FEATURES = ("ticker_id", "open", "close", "high", "low", "volume", "return", "volatility", "rsi", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_width", "ma_20", "ema_20", "intraday", "overnight", "amplitude", "day_of_week", "month")
 TARGET = "log_return"
 
 
-def featured(bars: DataFrame, tie: Sequence[str] = ("seq",)) -> DataFrame:
-    """Clean bars with all features and without null rows, not scaled."""
-    df = clean.drop_duplicate_times(bars, tie=tie).drop(*tie)
-    df = clean.fill_missing(df, ["open", "close", "high", "low", "volume"])
-    df = features.all_features(df)
-    df = clean.encode(df, clean.fit_encoder(df))
+PRICES = ("open", "close", "high", "low", "volume")
+
+
+def featured(bars: DataFrame, tie: Sequence[str] = ("seq",), chunk_rows: int | None = None) -> DataFrame:
+    """Clean bars with all features and without null rows, not scaled. Where a series has more than chunk_rows rows
+    (chunks.CHUNK_ROWS), all are worked in chunks, and _chunk and _at give a row's place."""
+    rows = chunk_rows or chunks.CHUNK_ROWS
+    # one small row a series, of raw bars: cleaning changes neither its first time nor, but for repeats, its length
+    seen = bars.groupBy("name").agg(F.min("begin").alias("begin"), F.count("*").alias("n"))
+    if (seen.agg(F.max("n")).first()[0] or 0) > rows:
+        df = chunks.chunked(clean.drop_duplicate_times(bars, tie=tie, by_time=True).drop(*tie), rows=rows)
+        df = chunks.all_features(chunks.fill_missing(df, PRICES), rows=rows)
+    else:
+        df = clean.drop_duplicate_times(bars, tie=tie).drop(*tie)
+        df = features.all_features(clean.fill_missing(df, PRICES))
+    df = clean.encode(df, clean.fit_encoder(seen))
     return clean.drop_nulls(df, [*FEATURES, TARGET])
 
 
