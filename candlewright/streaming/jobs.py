@@ -156,8 +156,6 @@ def flow_b(spark: SparkSession, d: str) -> DataFrame:
     store = Store(spark, f"{where}/store", buckets=8)
     files = max(1, -(-q.count() // (BATCHES * FILE_ROWS)))
     read = lambda path: topics.read_topic(spark, "files", path, per_trigger=1_000_000)
-    for name in ("requests", "work", "responses"):
-        store.files.fs.mkdirs(store.files.path(store.topic(name)))
     for stage in range(BATCHES + 1):
         topics.to_messages(q.filter(F.col("stage") == stage).drop("stage")).repartition(files).write.mode("append").text(store.topic("requests"))
         service.start_front(spark, store, read(store.topic("requests")), read(store.topic("responses")), f"{where}/front").awaitTermination()

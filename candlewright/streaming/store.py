@@ -64,6 +64,9 @@ class Files:
         self.fs.mkdirs(self.path(new).getParent())
         self.context.rename(self.path(old), self.path(new), plain)
 
+    def size(self, folder: str) -> int:
+        return self.fs.getContentSummary(self.path(folder)).getLength()
+
     def remove(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
@@ -116,7 +119,8 @@ class Store:
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
     def topic(self, name: str) -> str:
-        """The folder of a topic's messages, for a stream or a batch."""
+        """The folder of a topic's messages, for a stream or a batch; it is made if it is not there."""
+        self.files.fs.mkdirs(self.files.path(f"{self.root}/topics/{name}"))
         return f"{self.root}/topics/{name}"
 
     def seen(self, source: str, batch: int) -> bool:
@@ -181,9 +185,11 @@ class Commit:
         self.tables[table] = (rows.schema.json(), folders)
 
     def send(self, topic: str, messages: DataFrame) -> None:
-        """messages (value) go to the topic when the commit is made."""
-        self.topics[topic] = f"{self.folder}/{topic}"
-        messages.select("value").write.text(self.topics[topic])
+        """messages (value) go to the topic when the commit is made; if there are none, the topic gets no file."""
+        where = f"{self.folder}/{topic}"
+        messages.select("value").write.text(where)
+        if self.store.files.size(where):
+            self.topics[topic] = where
 
     def close(self, source: str, batch: int) -> int:
         """Make the change; its version is returned."""
