@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .clean import KEYS, ORDER
+from .clean import KEYS, ORDER, part_of
 
 #: Rows of a chunk; a series of more is long.
 CHUNK_ROWS = 200_000
+#: Up to so many series, their totals are broadcast (50 numbers each at most).
+BROADCAST_SERIES = 50_000
 #: Rows of a halo: over the longest bounded frame of the features.
 HALO = 64
 CHUNK = "_chunk"
@@ -141,6 +143,46 @@ def positions(df: DataFrame, rows: int | None = None) -> Column:
     return F.col(CHUNK) * (rows or CHUNK_ROWS) + F.col("_at")
 
 
+def _by_series(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """df with aggregates over its series: one small row each, joined back."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    found = df.groupBy(*keys).agg(*aggregates).withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    few = found.limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(F.broadcast(found) if few else found, same).drop(*names)
+
+
+def split(df: DataFrame, parts: Sequence[tuple[str, float]], keys: Sequence[str] = KEYS, rows: int | None = None) -> DataFrame:
+    """clean.split of a chunked frame."""
+    df = _by_series(df, keys, F.count("*").alias("_n"))
+    return df.withColumn("split", part_of(positions(df, rows) + 1, F.col("_n"), parts)).drop("_n")
+
+
+def scale(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, fit_split: str | None = None) -> DataFrame:
+    """clean.scale of any frame, by one aggregation of the series and a join."""
+    fitted = lambda c: F.when(F.col("split") == fit_split, F.col(c)) if fit_split else F.col(c)
+    stats = [f(fitted(c)).alias(f"_{k}_{c}") for c in columns for k, f in (("avg", F.avg), ("std", F.stddev_samp))]
+    df = _by_series(df, keys, *stats)
+    return df.withColumns({c: (F.col(c) - F.col(f"_avg_{c}")) / (F.col(f"_std_{c}") + F.lit(1e-9)) for c in columns}).drop(*(f"_{k}_{c}" for c in columns for k in ("avg", "std")))
+
+
+def training_windows(df: DataFrame, features: Sequence[str], target: str, input_window: int = 100, horizon: int = 90, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, stride: int = 1, rows: int | None = None) -> DataFrame:
+    """clean.training_windows of a chunked frame: a window is made in the chunk of its last row, whose halo holds the rest."""
+    df = _by_series(df, keys, F.count("*").alias("_n"))
+    df = with_halo(df, rows, input_window + horizon - 1)
+    w = Window.partitionBy(*keys, CHUNK).orderBy("_at")
+    first = positions(df, rows) - horizon + 1
+    values = F.array(*(F.col(c).cast("double") for c in features))
+    df = df.withColumns({
+        "_i": first, "feature_window": F.collect_list(values).over(w.rowsBetween(1 - input_window - horizon, -horizon)),
+        "target_window": F.collect_list(F.col(target)).over(w.rowsBetween(1 - horizon, 0)), **{f"_first_{c}": F.lag(c, horizon - 1).over(w) for c in order},
+    })
+    keep = ~F.col("_halo") & (F.col("_i") >= input_window) & (F.col("_i") < F.col("_n") - horizon) & ((F.col("_i") - input_window) % stride == 0)
+    return df.filter(keep).select(*keys, *(F.col(f"_first_{c}").alias(c) for c in order), "feature_window", "target_window")
+
+
 def all_features(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, rows: int | None = None) -> DataFrame:
     """features.all_features of a chunked frame: its columns and _chunk, _at."""
     from . import features

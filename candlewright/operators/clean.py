@@ -62,17 +62,22 @@ def size(keys: Sequence[str] = KEYS) -> Column:
     return F.count("*").over(Window.partitionBy(*keys))
 
 
-def split(df: DataFrame, parts: Sequence[tuple[str, float]], keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
-    """Adds `split` by position: a part ends at floor(n x its cumulative share), the last part takes the rest."""
-    df = df.withColumns({"_rn": position(keys, order), "_n": size(keys)})
+def part_of(place: Column, n: Column, parts: Sequence[tuple[str, float]]) -> Column:
+    """The part of the row with this place (from 1) of n: a part ends at floor(n x its cumulative share), the last takes the rest."""
     label, share = F.lit(parts[-1][0]), 0.0
     edges = []
     for name, ratio in parts[:-1]:
         share += ratio
         edges.append((name, share))
     for name, share in reversed(edges):
-        label = F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(share)), F.lit(name)).otherwise(label)
-    return df.withColumn("split", label).drop("_rn", "_n")
+        label = F.when(place <= F.floor(n * F.lit(share)), F.lit(name)).otherwise(label)
+    return label
+
+
+def split(df: DataFrame, parts: Sequence[tuple[str, float]], keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+    """Adds `split` by position, as part_of says."""
+    df = df.withColumns({"_rn": position(keys, order), "_n": size(keys)})
+    return df.withColumn("split", part_of(F.col("_rn"), F.col("_n"), parts)).drop("_rn", "_n")
 
 
 def hold_out(df: DataFrame, k: int = 20, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:

@@ -32,8 +32,15 @@ def featured(bars: DataFrame, tie: Sequence[str] = ("seq",), chunk_rows: int | N
     return clean.drop_nulls(df, [*FEATURES, TARGET])
 
 
-def training_set(bars: DataFrame, tie: Sequence[str] = ("seq",), input_window: int = 100, horizon: int = 90, fit_split: str | None = None, stride: int = 1) -> DataFrame:
-    """Scaled training windows with their split."""
-    df = clean.split(featured(bars, tie), [("train", 0.7), ("val", 0.15), ("test", 0.15)])
-    df = clean.scale(df, FEATURES, fit_split=fit_split)
-    return clean.training_windows(df, FEATURES, TARGET, input_window, horizon, stride=stride)
+SPLITS = [("train", 0.7), ("val", 0.15), ("test", 0.15)]
+
+
+def training_set(bars: DataFrame, tie: Sequence[str] = ("seq",), input_window: int = 100, horizon: int = 90, fit_split: str | None = None, stride: int = 1, chunk_rows: int | None = None) -> DataFrame:
+    """Scaled training windows. Long series stay in chunks all the way; rows are numbered again without those that had nulls."""
+    df = featured(bars, tie, chunk_rows)
+    if chunks.CHUNK not in df.columns:
+        df = clean.scale(clean.split(df, SPLITS), FEATURES, fit_split=fit_split)
+        return clean.training_windows(df, FEATURES, TARGET, input_window, horizon, stride=stride)
+    df = chunks.split(chunks.chunked(df.drop(chunks.CHUNK, "_at"), rows=chunk_rows), SPLITS, rows=chunk_rows)
+    df = chunks.scale(df, FEATURES, fit_split=fit_split)
+    return chunks.training_windows(df, FEATURES, TARGET, input_window, horizon, stride=stride, rows=chunk_rows)

@@ -189,6 +189,23 @@ quantile_cont(v, 0.5), quantile_cont(v, 0.95), quantile_cont(v, 0.99), quantile_
 SELECT isin, metric, {rs('v')} AS value FROM u""", "hist")
 
 
+def sketch_stats(spark, d):
+    """Flow C from sketches of a day and isin; how far quantiles are off in rank is looked up in the raw rows."""
+    h = A.history_rows(spark, d)
+    found = stats.sketch_stats(stats.duration_sketches(h).filter("day >= '1995-01-01'"), keys=["isin"]).select("isin", F.explode("stats").alias("metric", "v"))
+    raw = h.filter("created_at >= '1995-01-01'").select(F.col("isin").alias("i"), F.nullif("duration_s", F.lit(0.0)).alias("x")).filter("x IS NOT NULL")
+    met = found.join(raw, F.col("isin") == F.col("i")).groupBy("isin", "metric", "v").agg(F.avg((F.col("x") < F.col("v")).cast("int")).alias("below"), F.avg((F.col("x") <= F.col("v")).cast("int")).alias("upto"))
+    q = F.regexp_extract("metric", "([0-9]+)%", 1).try_cast("double") / 100
+    near = (F.col("below") - 0.01 <= q) & (q <= F.col("upto") + 0.01)
+    return met.select("isin", "metric", F.when(F.col("metric") == "mean", r("v")).alias("mean"), near.alias("rank_within_1_percent"))
+
+
+add("sketch_stats", sketch_stats,
+    f"""WITH x AS (SELECT isin, avg(nullif(duration_s, 0)) AS v FROM hist WHERE created_at >= '1995-01-01' GROUP BY isin),
+u AS (SELECT isin, v, unnest(['mean', 'quantile 50%', 'quantile 95%', 'quantile 99%']) AS metric FROM x)
+SELECT isin, metric, CASE WHEN metric = 'mean' THEN {rs('v')} END AS mean, CASE WHEN metric <> 'mean' THEN true END AS rank_within_1_percent FROM u""", "hist")
+
+
 def rmse_baseline(spark, d):
     b = clean.hold_out(A.bars_from_events(spark, d), 20)
     test = b.filter("split = 'test'").select("name", clean.position().alias("step"), F.col("close").alias("y"))

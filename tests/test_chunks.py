@@ -79,6 +79,15 @@ def test_the_pipeline_in_chunks(spark):
     same(cut, plain, [*pipelines.FEATURES, pipelines.TARGET])
 
 
+def test_the_training_set_in_chunks(spark):
+    b = adapters.dup_bars(spark, SMALL)
+    for more in ({}, {"fit_split": "train", "stride": 7}):
+        plain, cut = (pipelines.training_set(b, input_window=20, horizon=9, chunk_rows=rows, **more).toPandas().sort_values(["name", "begin"]).reset_index(drop=True) for rows in (None, 90))
+        assert len(plain) == len(cut) > 10 and (plain["begin"] == cut["begin"]).all() and (plain["name"] == cut["name"]).all()
+        for c in ("feature_window", "target_window"):
+            assert np.allclose(np.array([np.array(list(x)) for x in plain[c]]), np.array([np.array(list(x)) for x in cut[c]]), rtol=1e-7, atol=1e-7)
+
+
 def test_one_series_uses_all_tasks(spark):
     n = 200_000
     df = spark.range(n).select(F.lit("one").alias("name"), F.timestamp_seconds(F.col("id")).alias("begin"), (F.col("id") % 97).cast("double").alias("close"))
