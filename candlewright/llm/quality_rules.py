@@ -16,8 +16,8 @@ CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[#*$%&|<>]+", r"""[.,;:!?"'()-]
 SYMBOLS = "#*$%&|<>"
 #: A word is common in a language if it makes up so much of its words: at most 500 words are.
 COMMON = 0.002
-#: A language has references of its own from so many words on, however many other languages there are.
-OWN_WORDS = 2_000
+#: A language's references are drawn towards those of all languages as if it had so many words of these.
+PRIOR_WORDS = 2_000
 #: Up to so many languages, their references are broadcast (500 words or 15 KB each at most); beyond, they are joined by
 #: shuffle, large languages dealt to many tasks.
 BROADCAST_LANGUAGES = 1_000
@@ -43,27 +43,42 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Shares of the character classes and of the common words: (ref, classes, words, shares) of each language with OWN_WORDS
-    or more, and one row (classes, words, shares) of all languages together, by which the others are judged."""
-    lang = F.coalesce(F.col(lang_col), F.lit("")).alias("ref")
+def language(lang: Column) -> Column:
+    """The key of a language; null is one that no other has."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
+
+
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(ref, classes, words, shares) of each language: shares of the character classes, and its common words with theirs.
+
+    A language with n words gets n / (n + PRIOR_WORDS) of its own shares and the rest of those of all documents, so the
+    fewer words it has, the more it is judged like the mix.
+    """
+    lang = language(F.col(lang_col)).alias("ref")
+    zero = lambda: F.lit(0).cast("bigint")
+    of = range(len(CLASSES) + 1)
     sums = docs.select(lang, let(_bare(F.col(text_col)), _classes).alias("c"), F.size(words(F.col(text_col))).alias("n"))
-    sums = sums.groupBy("ref").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("c")[i]) for i in range(len(CLASSES) + 1))).alias("c"))
-    sums = materialize(sums, "language-sums")
+    sums = materialize(sums.groupBy("ref").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("c")[i]) for i in of)).alias("c")), "language-sums")
     counts = docs.select(lang, F.explode(words(F.col(text_col))).alias("word")).groupBy("ref", "word").agg(F.count("*").alias("k"))
     counts = materialize(counts, "language-words")
     total = sums.agg(F.sum("n")).first()[0] or 0
-    share = lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v), F.lit(1)))
-    own = sums.filter(F.col("n") >= OWN_WORDS)
-    common = join_spread(counts, own.select("ref", "n"), "ref", "word", BROADCAST_LANGUAGES).filter(F.col("k") >= COMMON * F.col("n"))
-    listed = common.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("k") / F.col("n")).alias("q")))).alias("w"))
+    share = lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, zero(), lambda a, v: a + v), F.lit(1)))
+    mix = materialize(counts.groupBy("word").agg((F.sum("k") / F.lit(max(total, 1))).alias("mix")), "word-shares")
+    common = [r[0] for r in mix.filter(F.col("mix") >= COMMON).select("word").collect()]  # 1 / COMMON at most
+    # a word is common in a language only if its own words or all documents say so: 1000 candidates a language at most
+    own = join_spread(counts, sums.select("ref", "n"), "ref", "word", BROADCAST_LANGUAGES).filter(F.col("k") >= COMMON * F.col("n"))
+    fixed = F.lit(common) if common else F.array().cast("array<string>")
+    pairs = own.select("ref", "word").union(sums.select("ref", F.explode(fixed).alias("word"))).distinct()
+    known = pairs.join(counts, ["ref", "word"], "left").join(mix, "word").join(sums.select("ref", "n"), "ref")
+    weight = F.col("n") / (F.col("n") + PRIOR_WORDS)
+    q = weight * F.coalesce("k", zero()) / F.greatest("n", F.lit(1)) + (1 - weight) * F.col("mix")
+    listed = known.withColumn("q", q).filter(F.col("q") >= COMMON).groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("word", "q"))).alias("w"))
+    every = sums.agg(*(F.sum(F.col("c")[i]) for i in of)).first()
+    every = F.lit([float(x or 0) / max(sum(y or 0 for y in every), 1) for x in every])
+    drawn = F.zip_with(share(F.col("c")), every, lambda a, b: weight * a + (1 - weight) * b)
     none = F.array().cast("array<struct<word:string,q:double>>")
-    by_lang = own.select("ref", share(F.col("c")).alias("classes")).join(listed, "ref", "left").withColumn("w", F.coalesce("w", none))
-    mean = counts.groupBy("word").agg((F.sum("k") / F.lit(max(total, 1))).alias("q")).filter(F.col("q") >= COMMON)
-    every = sums.agg(F.array(*(F.coalesce(F.sum(F.col("c")[i]), F.lit(0)) for i in range(len(CLASSES) + 1))).alias("c")).select(share(F.col("c")).alias("classes"))
-    every = every.withColumn("w", F.coalesce(mean.agg(F.sort_array(F.collect_list(F.struct("word", "q"))).alias("w")).scalar(), none))
-    parts = (F.col("classes"), F.col("w.word").alias("words"), F.col("w.q").alias("shares"))
-    return materialize(by_lang.select("ref", *parts), "references"), materialize(every.select(*parts), "reference")
+    rows = sums.select("ref", drawn.alias("classes")).join(listed, "ref", "left").withColumn("w", F.coalesce("w", none))
+    return materialize(rows.select("ref", "classes", F.col("w.word").alias("words"), F.col("w.q").alias("shares")), "references")
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -77,19 +92,34 @@ def class_divergence(counts: Column, n: Column, shares: Column) -> Column:
     return F.aggregate(F.zip_with(counts, shares, lambda c, q: _half(c / F.greatest(n, F.lit(1)), q)), F.lit(0.0), lambda a, x: a + x)
 
 
+def run_counts(items: Column) -> Column:
+    """(item, n) of each distinct item of an array."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i > 0) & (F.get(s, i - 1) == x), -1).otherwise(i)), lambda i: i >= 0)
+        return let(starts, lambda at: F.transform(at, lambda a, j: F.struct(F.get(s, a).alias("item"), (F.coalesce(F.get(at, j + 1), F.size(s)) - a).alias("n"))))
+
+    return let(F.sort_array(items), runs)
+
+
 def word_divergence(w: Column, ref_words: Column, shares: Column, vocabulary: list[str] | None = None) -> Column:
     """The same for the words w: one bin for each common word, one for all others.
 
     vocabulary: words of all references, to sift w by a hash set first; without it each word is looked up in ref_words.
     """
     n = F.greatest(F.size(w), F.lit(1))
-    found = let(
-        F.filter(w, lambda x: x.isin(vocabulary) if vocabulary else F.array_contains(ref_words, x)),
-        lambda common: F.transform(ref_words, lambda r: (F.size(common) - F.size(F.array_remove(common, r))) / n),
-    )
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    rest = lambda a: F.greatest(1 - total(a), F.lit(0.0))
-    return let(found, lambda p: total(F.zip_with(p, shares, _half)) + _half(rest(p), rest(shares)))
+    share = lambda item: F.coalesce(F.get(shares, F.array_position(ref_words, item).cast("int") - 1), F.lit(0.0))
+    # position 0: the word is common in another language only
+    found = F.filter(F.transform(run_counts(F.filter(w, lambda x: x.isin(vocabulary) if vocabulary else F.array_contains(ref_words, x))), lambda r: F.struct((r["n"] / n).alias("p"), share(r["item"]).alias("q"))), lambda b: b.q > 0)
+    rest = lambda x: F.greatest(1 - x, F.lit(0.0))
+
+    def distance(bins: Column) -> Column:
+        # a bin that the text has no word of adds half its share
+        over = F.aggregate(bins, F.lit(0.0), lambda s, b: s + _half(b.p, b.q) - b.q / 2)
+        return let(total(shares), lambda all_: over + all_ / 2 + _half(rest(total(F.transform(bins, lambda b: b.p))), rest(all_)))
+
+    return let(found, distance)
 
 
 def repeat_words(w: Column) -> Column:
@@ -110,35 +140,32 @@ def repeat_words(w: Column) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
-    Null texts have no words and fail; a null language is a language by itself. Very long texts are counted whole. Equal
+    Null texts have no words and fail; a null language is a language by itself, apart from the empty one too. Very long texts are counted whole. Equal
     rows get equal results and ids are not read. An empty table gives an empty result. Columns of these names, in whatever
     case, are replaced; all others stay, whatever their names. Ties do not arise.
     """
-    refs, every = references(docs, text_col, lang_col)
-    all_ = every.first()
+    refs = references(docs, text_col, lang_col)
     listed = [r[0] for r in refs.select(F.explode("words")).distinct().limit(VOCABULARY + 1).collect()]
-    vocabulary = sorted({*listed, *all_["words"]}) if len(listed) <= VOCABULARY else None
+    vocabulary = sorted(listed) if len(listed) <= VOCABULARY else None
     own = own_prefix(docs)
     lang, spread, own_classes, own_words, own_shares, w, c = (f"{own}{x}" for x in ("lang", "spread", "classes", "words", "shares", "w", "c"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     refs = refs.select(F.col("ref").alias(lang), F.col("classes").alias(own_classes), F.col("words").alias(own_words), F.col("shares").alias(own_shares))
-    rows = docs.withColumns({lang: F.coalesce(F.col(lang_col), F.lit("")), spread: F.xxhash64(F.col(id_col), F.col(text_col))})
+    rows = docs.withColumns({lang: language(F.col(lang_col)), spread: F.xxhash64(F.col(id_col), F.col(text_col))})
     rows = join_spread(rows, refs, lang, spread, BROADCAST_LANGUAGES, "left")
-    fixed = lambda v, t: F.lit(list(v)).cast(t) if v else F.array().cast(t)
-    of_lang = {n: F.coalesce(F.col(n), fixed(all_[k], t)) for n, k, t in ((own_classes, "classes", "array<double>"), (own_words, "words", "array<string>"), (own_shares, "shares", "array<double>"))}
     by_words = let(
         words(text),
         lambda x: F.struct(
             F.size(x).cast("bigint").alias("n"),
             repeat_words(x).alias("repeat"),
-            F.when(F.size(x) >= LEAST_WORDS, word_divergence(x, of_lang[own_words], of_lang[own_shares], vocabulary)).otherwise(F.lit(0.0)).alias("far"),
+            F.when(F.size(x) >= LEAST_WORDS, word_divergence(x, F.col(own_words), F.col(own_shares), vocabulary)).otherwise(F.lit(0.0)).alias("far"),
         ),
     )
     by_chars = let(
         _bare(text),
         lambda s: F.struct(
             F.length(s).cast("bigint").alias("n"),
-            F.when(F.length(s) >= LEAST_CHARS, class_divergence(_classes(s), F.length(s), of_lang[own_classes])).otherwise(F.lit(0.0)).alias("far"),
+            F.when(F.length(s) >= LEAST_CHARS, class_divergence(_classes(s), F.length(s), F.col(own_classes))).otherwise(F.lit(0.0)).alias("far"),
         ),
     )
     dup_lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
@@ -151,7 +178,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 #: The same in DuckDB.
 RULES_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lg, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS lg, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS s FROM d),
 b AS (SELECT r, doc_id, lg, t, w, len(w) AS n, length(s) AS m,
         length(s) - length(regexp_replace(s, '\p{Ll}+', '', 'g')) AS c0, length(s) - length(regexp_replace(s, '\p{Lu}+', '', 'g')) AS c1,
@@ -159,15 +186,15 @@ b AS (SELECT r, doc_id, lg, t, w, len(w) AS n, length(s) AS m,
         length(s) - length(regexp_replace(s, '[.,;:!?"''()-]+', '', 'g')) AS c4 FROM w),
 cl AS (SELECT *, unnest([c0, c1, c2, c3, c4, m - c0 - c1 - c2 - c3 - c4]) AS c, unnest(range(6)) AS k FROM b),
 tot AS (SELECT lg, sum(n) AS n FROM b GROUP BY lg),
-own AS (SELECT lg FROM tot WHERE n >= 2000),
-rc AS (SELECT lg, k, sum(c) / greatest(sum(sum(c)) OVER (PARTITION BY lg), 1) AS q FROM cl SEMI JOIN own USING (lg) GROUP BY lg, k
-       UNION ALL SELECT '(all)', k, sum(c) / greatest(sum(sum(c)) OVER (), 1) FROM cl GROUP BY k),
+ca AS (SELECT k, sum(c) / greatest(sum(sum(c)) OVER (), 1) AS q FROM cl GROUP BY k),
+co AS (SELECT lg, k, sum(c) / greatest(sum(sum(c)) OVER (PARTITION BY lg), 1) AS q FROM cl GROUP BY lg, k),
+rc AS (SELECT lg, k, n / (n + 2000) * co.q + (1 - n / (n + 2000)) * ca.q AS q FROM co JOIN ca USING (k) JOIN tot USING (lg)),
 wd AS (SELECT r, lg, unnest(w) AS word FROM b),
-wk AS (SELECT lg, word, count(*) AS k, any_value(tot.n) AS n FROM wd JOIN tot USING (lg) GROUP BY lg, word),
-rw AS (SELECT lg, word, k / n AS q FROM wk SEMI JOIN own USING (lg) WHERE k >= 0.002 * n
-       UNION ALL SELECT '(all)', word, sum(k) / (SELECT greatest(sum(n), 1) FROM tot) FROM wk
-GROUP BY word HAVING sum(k) / (SELECT greatest(sum(n), 1) FROM tot) >= 0.002),
-x AS (SELECT r, n, m, CASE WHEN lg IN (FROM own) THEN lg ELSE '(all)' END AS ref FROM b),
+wk AS (SELECT lg, word, count(*) AS k FROM wd GROUP BY lg, word),
+wm AS (SELECT word, sum(k) / (SELECT greatest(sum(n), 1) FROM tot) AS m FROM wk GROUP BY word),
+rw AS (SELECT lg, word, n / (n + 2000) * coalesce(k, 0) / greatest(n, 1) + (1 - n / (n + 2000)) * m AS q
+       FROM (SELECT lg, word, n, m FROM tot, wm) LEFT JOIN wk USING (lg, word) WHERE q >= 0.002),
+x AS (SELECT r, n, m, lg AS ref FROM b),
 cd AS (SELECT x.r, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)
 AS far
        FROM (SELECT r, k, c / greatest(m, 1) AS p FROM cl) y JOIN x USING (r) JOIN rc ON rc.lg = x.ref AND rc.k = y.k GROUP BY x.r),
