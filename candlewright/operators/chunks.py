@@ -8,14 +8,13 @@ scanned over one summary row a chunk. Results are those of the plain forms, in w
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import kept
 from .clean import KEYS, ORDER, part_of
 
 #: Rows of a chunk; a series of more is long.
@@ -41,9 +40,7 @@ def chunked(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = OR
     """
     rows = rows or CHUNK_ROWS
     dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_mono", F.monotonically_increasing_id())
-    path = f"{shared_dir(df.sparkSession)}/chunks-{uuid.uuid4().hex}"
-    dealt.write.parquet(path)
-    numbered = df.sparkSession.read.schema(dealt.schema).parquet(path).withColumns({"_part": F.shiftright("_mono", 33), "_idx": F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))})
+    numbered = kept(dealt, "chunks").withColumns({"_part": F.shiftright("_mono", 33), "_idx": F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))})
     # one row for each part and series in it
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = numbered.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_idx").alias("_lo")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunks, clean, features
+from ..session import kept
 
 FEATURES = ("ticker_id", "open", "close", "high", "low", "volume", "return", "volatility", "rsi", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_width", "ma_20", "ema_20", "intraday", "overnight", "amplitude", "day_of_week", "month")
 TARGET = "log_return"
@@ -21,7 +22,7 @@ def featured(bars: DataFrame, tie: Sequence[str] = ("seq",), chunk_rows: int | N
     (chunks.CHUNK_ROWS), all are worked in chunks, and _chunk and _at give a row's place."""
     rows = chunk_rows or chunks.CHUNK_ROWS
     # one small row a series, of raw bars: cleaning changes neither its first time nor, but for repeats, its length
-    seen = bars.groupBy("name").agg(F.min("begin").alias("begin"), F.count("*").alias("n"))
+    seen = kept(bars.groupBy("name").agg(F.min("begin").alias("begin"), F.count("*").alias("n")), "series")
     if (seen.agg(F.max("n")).first()[0] or 0) > rows:
         df = chunks.chunked(clean.drop_duplicate_times(bars, tie=tie, by_time=True).drop(*tie), rows=rows)
         df = chunks.all_features(chunks.fill_missing(df, PRICES), rows=rows)
