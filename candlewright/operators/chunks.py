@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
@@ -180,6 +180,41 @@ def training_windows(df: DataFrame, features: Sequence[str], target: str, input_
     return df.filter(keep).select(*keys, *(F.col(f"_first_{c}").alias(c) for c in order), "feature_window", "target_window")
 
 
+def save_windows(df: DataFrame, path: str, features: Sequence[str], target: str, input_window: int = 100, horizon: int = 90, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, rows: int | None = None) -> None:
+    """Write the training windows of a chunked frame as their rows, each once, and an index: (keys, chunk, first, length), the
+    windows that end in a chunk as a stretch of places in the series. load_windows makes the windows of it."""
+    rows = rows or CHUNK_ROWS
+    df = _by_series(df, keys, F.count("*").alias("_n"))
+    placed = df.withColumn("_row", positions(df, rows))
+    ends = placed.groupBy(*keys, CHUNK).agg(F.min("_row").alias("_lo"), F.max("_row").alias("_hi"), F.first("_n").alias("_n"))
+    first = F.greatest(F.col("_lo") - horizon + 1, F.lit(input_window))
+    last = F.least(F.col("_hi") - horizon + 1, F.col("_n") - horizon - 1)
+    index = ends.select(*keys, CHUNK, first.alias("first"), F.greatest(last - first + 1, F.lit(0)).alias("length"), F.lit(input_window).alias("input_window"), F.lit(horizon).alias("horizon"), F.lit(rows).alias("chunk_rows"))
+    index.write.parquet(f"{path}/index")
+    out = df.select(*keys, *order, CHUNK, "_at", F.array(*(F.col(c).cast("double") for c in features)).alias("features"), F.col(target).cast("double").alias("target"))
+    out.repartition(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, "_at").write.parquet(f"{path}/rows")
+
+
+def load_windows(spark: SparkSession, path: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, stride: int = 1, chosen: Column | None = None) -> DataFrame:
+    """The windows of save_windows, every stride-th; chosen: a condition on the index's keys and chunks, whose rows alone are
+    read. A window is made when it is read, from rows of its chunk and of the one before."""
+    index = spark.read.parquet(f"{path}/index")
+    one = index.select("input_window", "horizon", "chunk_rows").first()
+    df = spark.read.parquet(f"{path}/rows")
+    if one is None:
+        return df.select(*keys, *order, F.array("features").alias("feature_window"), F.array("target").alias("target_window")).limit(0)
+    index = (index if chosen is None else index.filter(chosen)).select(*keys, CHUNK, F.col("first").alias("_first"), F.col("length").alias("_length"))
+    wide = with_halo(df, one.chunk_rows, one.input_window + one.horizon - 1)
+    wide = _carried(wide, index, keys, ["_first", "_length"]).filter("_first IS NOT NULL")
+    w = Window.partitionBy(*keys, CHUNK).orderBy("_at")
+    wide = wide.withColumns({
+        "_i": positions(wide, one.chunk_rows) - one.horizon + 1, "feature_window": F.collect_list("features").over(w.rowsBetween(1 - one.input_window - one.horizon, -one.horizon)),
+        "target_window": F.collect_list("target").over(w.rowsBetween(1 - one.horizon, 0)), **{f"_first_{c}": F.lag(c, one.horizon - 1).over(w) for c in order},
+    })
+    keep = ~F.col("_halo") & F.col("_i").between(F.col("_first"), F.col("_first") + F.col("_length") - 1) & ((F.col("_i") - one.input_window) % stride == 0)
+    return wide.filter(keep).select(*keys, *(F.col(f"_first_{c}").alias(c) for c in order), "feature_window", "target_window")
+
+
 def all_features(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, rows: int | None = None) -> DataFrame:
     """features.all_features of a chunked frame: its columns and _chunk, _at."""
     from . import features

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 KEYS, ORDER = ("name",), ("begin",)
+#: Up to so many series, one task ranks them.
+FEW_SERIES = 100_000
 
 
 def series(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> WindowSpec:
@@ -37,11 +42,49 @@ def drop_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.na.drop("any", subset=list(columns))
 
 
-def fit_encoder(df: DataFrame, key: str = "name", time: str = "begin") -> DataFrame:
-    """(key, ticker_id): ids from 0 in order of first appearance, then of the key. One row a series, of which one task sees
-    no more than that; a null key is a series too, and an empty input has none."""
+def fit_encoder(df: DataFrame, key: str = "name", time: str = "begin", held: DataFrame | None = None) -> DataFrame:
+    """(key, ticker_id): ids from 0 in order of first appearance, then of the key. A null key is a series too, and an empty
+    input has none.
+
+    held: a dictionary of an earlier fit. Its ids stay, and series that it lacks get the next ones, in the same order. The
+    result holds both. Up to FEW_SERIES new series are ranked by one task, more by range: each part numbers its own, from
+    the sum of the counts of the parts before.
+    """
     seen = df.groupBy(key).agg(F.min(time).alias("_seen"))
-    return seen.select(key, (F.row_number().over(Window.orderBy("_seen", key)) - 1).alias("ticker_id"))
+    last = F.lit(0)
+    if held is not None:
+        old = held.select(F.col(key).alias("_held"))
+        seen = seen.join(old, F.col(key).eqNullSafe(F.col("_held")), "left_anti")
+        most = held.agg(F.max("ticker_id")).first()[0]
+        last = F.lit(0 if most is None else most + 1)
+    if seen.limit(FEW_SERIES + 1).count() <= FEW_SERIES:
+        new = seen.select(key, (F.row_number().over(Window.orderBy("_seen", key)) - 1 + last).cast("int").alias("ticker_id"))
+    else:
+        rows = kept(seen.repartitionByRange("_seen", key).sortWithinPartitions("_seen", key).withColumn("_at", F.monotonically_increasing_id()), "names")
+        rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_idx": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+        earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+        starts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_idx").alias("_lo")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        new = rows.join(F.broadcast(starts), "_part").select(key, (F.col("_before") + F.col("_idx") - F.col("_lo") + last).cast("int").alias("ticker_id"))
+    return new if held is None else held.select(key, "ticker_id").union(new)
+
+
+def extend_encoder(df: DataFrame, path: str, key: str = "name", time: str = "begin") -> DataFrame:
+    """The dictionary kept at path, after the series of df that it lacks are added to it; ids once given stay."""
+    spark = df.sparkSession
+    try:
+        held = spark.read.schema(f"`{key}` {df.schema[key].dataType.simpleString()}, ticker_id int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None
+    if held is None:
+        new = fit_encoder(df, key, time)
+    else:
+        # what is added is written apart from what is read
+        new = fit_encoder(df, key, time, held).join(held.select(F.col(key).alias("_held")), F.col(key).eqNullSafe(F.col("_held")), "left_anti")
+        new = kept(new, "new-names")
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
 
 
 def encode(df: DataFrame, encoder: DataFrame, key: str = "name") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import clean, forecast, joins, stats
+from .operators import clean, forecast, joins, stationarity, stats
 from .operators import features as feat
 from .plans import adapters as A
 from .plans import pipelines
@@ -412,8 +412,50 @@ def _prices(s, d):
 
 #: The orders that the stepwise search chooses from.
 STEPWISE = [(p, q) for p in range(11) for q in range(11) if p + q]
-add("adf_report", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "adf", "p_value", "critical_1", "critical_5", "critical_10"))
-add("diff_order", lambda s, d: forecast.stationarity(_prices(s, d)).select("name", "d", "ndiffs"))
+#: The tests on whole lists: columns, their products, and one column after the other swept in.
+_SWEPT = """list_transform(range(1, len(m) + 1), lambda a: list_transform(range(1, len(m) + 1), lambda b: CASE WHEN a = j + 1 AND b = j + 1 THEN 1 / m[j + 1][j + 1]
+WHEN a = j + 1 THEN m[a][b] / m[a][a] WHEN b = j + 1 THEN -m[a][b] / m[b][b] ELSE m[a][b] - m[a][j + 1] * m[j + 1][b] / m[j + 1][j + 1] END))"""
+_TESTS = f"""WITH RECURSIVE {{bars}},
+v0 AS (SELECT name, list(close ORDER BY begin, close) AS v FROM bars WHERE close IS NOT NULL GROUP BY name),
+v1 AS (SELECT name, list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) AS v FROM v0),
+v2 AS (SELECT name, list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) AS v FROM v1),
+t AS (SELECT *, len(v)::INT AS n, list_avg(v) AS mean FROM (SELECT name, 0 AS d, v FROM v0 UNION ALL SELECT name, 1, v FROM v1 UNION ALL SELECT name, 2, v FROM v2)),
+u AS (SELECT name, d, n, list_transform(v, lambda x: x - mean) AS l, list_transform(range(1, n), lambda i: v[i + 1] - v[i]) AS g,
+least(ceil(12 * pow(n / 100.0, 0.25))::INT, n // 2 - 2) AS k0, floor(cbrt(n - 1) + 1e-9)::INT AS kt FROM t),
+c AS (SELECT name, d, n, k0 AS k, false AS trend, [list_transform(range(k0 + 1, n), lambda i: 1.0::DOUBLE)] || [l[k0 + 1:n - 1]]
+|| list_transform(range(1, k0 + 1), lambda i: g[k0 + 1 - i:n - 1 - i]) || [g[k0 + 1:n - 1]] AS cols FROM u
+UNION ALL SELECT name, d, n, kt, true, [list_transform(range(kt + 1, n), lambda i: 1.0::DOUBLE)] || [list_transform(range(kt + 1, n), lambda i: (i - n / 2)::DOUBLE)]
+|| [l[kt + 1:n - 1]] || list_transform(range(1, kt + 1), lambda i: g[kt + 1 - i:n - 1 - i]) || [g[kt + 1:n - 1]] FROM u),
+w AS (SELECT name, d, n, k, trend, 0 AS j, list_transform(cols, lambda a: list_transform(cols, lambda b: list_dot_product(a, b))) AS m FROM c
+UNION ALL SELECT name, d, n, k, trend, j + 1, {_SWEPT} FROM w WHERE j + 1 < len(m)),
+best AS (SELECT name, d, arg_min(j - 2, (n - 1 - k) * ln(m[-1][-1] / (n - 1 - k)) + 2 * j) AS k FROM w WHERE NOT trend AND j >= 2 GROUP BY name, d),
+c2 AS (SELECT name, d, n, k, [list_transform(range(k + 1, n), lambda i: 1.0::DOUBLE)] || [l[k + 1:n - 1]]
+|| list_transform(range(1, k + 1), lambda i: g[k + 1 - i:n - 1 - i]) || [g[k + 1:n - 1]] AS cols FROM u JOIN best USING (name, d)),
+w2 AS (SELECT name, d, n, k, 0 AS j, list_transform(cols, lambda a: list_transform(cols, lambda b: list_dot_product(a, b))) AS m FROM c2
+UNION ALL SELECT name, d, n, k, j + 1, {_SWEPT} FROM w2 WHERE j + 1 < len(m)),
+a AS (SELECT name, d, n, m[2][-1] / sqrt(m[-1][-1] / (n - 1 - k - j) * m[2][2]) AS t FROM w2 WHERE j + 1 = len(m)),
+z AS (SELECT *, CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END AS z FROM a),
+p AS (SELECT name, d, n, t, CASE WHEN t > 2.74 THEN 1 WHEN t < -18.83 THEN 0 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(200),
+lambda i: exp((2 * i + 1) * ln(abs(z)) - (i + 1) * ln(2) - lgamma(i + 1.5) + ln(pi()) / 2))) END AS p FROM z),
+tr AS (SELECT name, d, NOT m[3][-1] / sqrt(m[-1][-1] / (n - 1 - k - j) * m[3][3]) >= CASE WHEN n - 1 <= 25 THEN -3.6 WHEN n - 1 <= 50 THEN -3.6 + (n - 26) * 0.1 / 25
+WHEN n - 1 <= 100 THEN -3.5 + (n - 51) * 0.05 / 50 WHEN n - 1 <= 250 THEN -3.45 + (n - 101) * 0.02 / 150 WHEN n - 1 <= 500 THEN -3.43 + (n - 251) * 0.01 / 250
+WHEN n - 1 <= 100000 THEN -3.42 + (n - 501) * 0.01 / 99500 ELSE -3.41 END AS ok FROM w WHERE trend AND j + 1 = len(m)),
+ke AS (SELECT name, d, n, l, least(floor(3 * sqrt(n) / 13)::INT, n - 1) AS q FROM u),
+kp AS (SELECT name, d, list_sum(list_transform(range(1, n + 1), lambda i: pow(list_sum(l[1:i]), 2))) / n / n
+/ (list_dot_product(l, l) / n + 2.0 / n * coalesce(list_sum(list_transform(range(1, q + 1), lambda h: (1 - h / (q + 1)) * list_dot_product(l[h + 1:n], l[1:n - h]))), 0)) AS k FROM ke)"""
+
+
+def _tests_sql(body: str) -> str:
+    return f"{_TESTS.format(bars=A.SQL['bars'])} {body}"
+
+
+add("adf_report", lambda s, d: stationarity.stationarity(_prices(s, d)).select("name", *(r(c).alias(c) for c in ("adf", "p_value", "critical_1", "critical_5", "critical_10"))),
+    _tests_sql(f"""SELECT name, {rs('t')} AS adf, {rs('p')} AS p_value, {rs('(-3.43035 - 6.5393 / (n - 1))')} AS critical_1, {rs('(-2.86154 - 2.8903 / (n - 1))')} AS critical_5,
+{rs('(-2.56677 - 1.5384 / (n - 1))')} AS critical_10 FROM p WHERE d = 1"""))
+add("diff_order", lambda s, d: stationarity.stationarity(_prices(s, d)).select("name", "d", "ndiffs"),
+    _tests_sql("""SELECT name, coalesce(min(p.d) FILTER (p < 0.05), 3)::INT AS d,
+greatest(coalesce(min(p.d) FILTER (ok AND p.d < 2), 2), coalesce(min(p.d) FILTER (k <= 0.463 AND p.d < 2), 2))::INT AS ndiffs
+FROM p JOIN tr USING (name, d) JOIN kp USING (name, d) GROUP BY name"""))
 add("arima_grid", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7))
 add("arima_stepwise_bound", lambda s, d: forecast.auto_forecast(A.bars_from_events(s, d), 7, grid=STEPWISE, differences=forecast.ndiffs))
 add("sarima_grid",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,55 @@ def enrich(candles: DataFrame, ticker: str, isin: str | None, interval: int = 24
     return rows.withColumn("end", interval_end(F.col("begin"), F.col("interval")))
 
 
+#: Up to so many (interval, ticker) pairs, a table's partitions are chosen before the read; beyond, all are read.
+CHOSEN = 5_000
+#: Up to so many incoming rows, their keys are broadcast (about 100 bytes each).
+BROADCAST_KEYS = 200_000
+
+
+def touched_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The keys (interval, ticker, begin) of a table partitioned by interval and ticker that incoming rows may collide with.
+
+    Only partitions that incoming rows have are listed and read, of these only row groups within the incoming range of
+    begin, and of what is left, where few rows come in, only keys that these have.
+    """
+    key = ["interval", "ticker", "begin"]
+    pairs = incoming.groupBy("interval", "ticker").agg(F.min("begin").alias("lo"), F.max("begin").alias("hi")).limit(CHOSEN + 1).collect()
+    rows = existing.select(*key)
+    if not pairs:
+        return rows.limit(0)
+    if len(pairs) <= CHOSEN:
+        by_interval: dict[int, list[str]] = {}
+        for r in pairs:
+            by_interval.setdefault(r.interval, []).append(r.ticker)
+        here = F.lit(False)
+        for interval, tickers in by_interval.items():
+            here = here | ((F.col("interval") == interval) & F.col("ticker").isin(tickers))
+        times = [x for r in pairs for x in (r.lo, r.hi) if x is not None]
+        rows = rows.filter(here)
+        rows = rows.filter((F.col("begin") >= F.lit(min(times))) & (F.col("begin") <= F.lit(max(times)))) if times else rows.limit(0)
+    keys = incoming.select(*key)
+    return rows.join(F.broadcast(keys), key, "left_semi") if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else rows
+
+
+def append_candles(spark: SparkSession, path: str, incoming: DataFrame, tie: Sequence[str]) -> None:
+    """Add the incoming candles whose key (interval, ticker, begin) the table at path lacks, the first of each in the order of
+    tie. The table is partitioned by interval and ticker, its files sorted by begin; rows with a null key are left out."""
+    from ..operators.joins import new_candles
+
+    key = ["interval", "ticker", "begin"]
+    incoming = incoming.dropna(subset=key)
+    kinds = T.StructType([f for f in incoming.schema if f.name not in tie])
+    try:
+        existing = spark.read.schema(kinds).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        existing = spark.createDataFrame([], kinds)
+    new = new_candles(touched_rows(existing, incoming), incoming, tie, key).drop(*tie)
+    new.repartition("interval", "ticker").sortWithinPartitions(*key).write.mode("append").partitionBy("interval", "ticker").parquet(path)
+
+
 def load_history(spark: SparkSession, source: str, **options: str) -> DataFrame:
     """The request history of any Spark source, as `jdbc` with url and dbtable, in the history's columns and types; columns
     that the source lacks are null."""
