@@ -102,8 +102,25 @@ class Segment:
             where = where[np.unpackbits(bits, bitorder="little")[: len(chunks)].astype(bool)]
         return out
 
+    def tokens(self, start: int, end: int) -> np.ndarray:
+        """Tokens start to end - 1: on each level those that go on are a stretch of the next one, so only stretches are read."""
+        if not 0 <= start <= end <= self.n_tokens:
+            raise IndexError((start, end))
+        out, where = np.zeros(end - start, np.uint32), np.arange(end - start)
+        for k, (chunks, bits, ranks) in enumerate(self.levels):
+            out[where] |= chunks[start:end].astype(np.uint32) << np.uint32(8 * k)
+            here = np.unpackbits(bits[start >> 3 : (end + 7) >> 3], bitorder="little")[start & 7 :][: end - start].astype(bool)
+            where = where[here]
+            if not len(where):
+                break
+            block = start // RANK_EVERY
+            before = np.unpackbits(bits[block * RANK_EVERY // 8 : (start + 7) >> 3], bitorder="little")[: start - block * RANK_EVERY]
+            start = int(ranks[block]) + int(before.sum())
+            end = start + len(where)
+        return out
+
     def document(self, k: int) -> np.ndarray:
-        return self.all_tokens()[self.offsets[k] : self.offsets[k + 1]]
+        return self.tokens(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
 def split_words(texts: pa.Array) -> pa.Array:
@@ -265,17 +282,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t").mapInArrow(encode, SEGMENTS).write.parquet(path)
 
 
+def _starts(segs: DataFrame) -> DataFrame:
+    """(part, seg, base, n_tokens): the tokens before each segment, summed for each part and then over the parts."""
+    sizes = segs.select("part", "seg", "n_tokens")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("seg"))), F.lit(0))
+    return sizes.withColumn("within", within).join(parts, "part").select("part", "seg", (F.col("base") + F.col("within")).alias("base"), "n_tokens")
+
+
+def token_at(spark, path: str, position: int) -> int:
+    """The token at a position in all documents of the segments at path: one segment is read, and of it a few bytes."""
+    segs = spark.read.schema(SEGMENTS).parquet(path)
+    found = _starts(segs).filter((F.col("base") <= position) & (F.col("base") + F.col("n_tokens") > position)).first()
+    if found is None:
+        raise IndexError(position)
+    row = segs.filter((F.col("part") == found["part"]) & (F.col("seg") == found["seg"])).select("payload").first()
+    return Segment(bytes(row["payload"])).token(position - found["base"])
+
+
 def read_tokens(spark, path: str) -> DataFrame:
     """One row for each document of the segments at path, in no given order: doc_id, start, n_tokens, ids_crc32.
 
-    start counts the ids of all documents before it: tokens are summed for each part, the sums over the parts.
+    start counts the ids of all documents before it. Null ids are kept, repeated ones are rows of their own, and a path
+    without segments has no rows.
     """
     segs = spark.read.schema(SEGMENTS).parquet(path)
-    sizes = segs.select("part", "seg", "n_tokens")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("seg"))), F.lit(0))
-    starts = sizes.withColumn("within", within).join(parts, "part").select("part", "seg", (F.col("base") + F.col("within")).alias("base"))
+    starts = _starts(segs).drop("n_tokens")
     # the segments are decoded where they are read; only the documents' few numbers meet the starts
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
