@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .joins import resolve_tickers
 
 #: (p, q) without (0, 0), and the seasonal grid (p, d, q, P, D, Q): fixed values.
@@ -30,6 +31,8 @@ ADF_CRITICAL = {"1%": (-3.43035, -6.5393), "5%": (-2.86154, -2.8903), "10%": (-2
 KPSS_5 = 0.463
 #: Up to so many series, of so many rows each, means of the last rows are broadcast (16 MB).
 BROADCAST_SERIES, BROADCAST_PERIODS = 20_000, 100
+#: Tasks that a key's requests are dealt to where answers are too many to broadcast.
+SALTS = 16
 #: 5% critical values of the Dickey-Fuller test with a trend by sample size (published constants).
 TREND_5 = ((25, 50, 100, 250, 500, 100_000), (-3.60, -3.50, -3.45, -3.43, -3.42, -3.41))
 #: Response surface of the Dickey-Fuller p-value with a constant (published constants): small and large statistics.
@@ -384,18 +387,25 @@ def forecast_requests(requests: DataFrame, candles: DataFrame, max_rows: int | N
     asked = requests.withColumn("_n", F.greatest("forecast_period", F.lit(1)))
     asked = asked.withColumn("ticker", F.col("isin")) if securities is None else resolve_tickers(asked.drop("ticker"), securities)
     keys = ["ticker", "interval"]
-    wanted = asked.filter(F.col("interval").isNotNull() & F.col("ticker").isNotNull()).groupBy(*keys).agg(F.max("_n").alias("steps"))
+    wanted = asked.filter(F.col("interval").isNotNull() & F.col("ticker").isNotNull()).groupBy(*keys).agg(F.max("_n").cast("int").alias("steps"))
     wanted = wanted.withColumn("_key", F.concat_ws("|", F.col("interval").cast("string"), "ticker"))
     rows = candles.withColumnRenamed("name", "ticker").join(wanted, keys if "interval" in candles.columns else "ticker")
     series = prices(rows.select(F.col("_key").alias("name"), "steps", "begin", "open", "close"), ("name", "steps"))
     paths = chosen(order_fits(series, None, max_rows)).select(F.col("name").alias("_key"), "path")
     last = Window.partitionBy("name").orderBy(F.col("begin").desc(), F.col("price").desc())
     mean = F.avg("price").over(last.rowsBetween(Window.unboundedPreceding, 0))
-    back = series.select(F.col("name").alias("_key"), F.row_number().over(last).alias("_rn"), mean.alias("_base"), "steps").filter("_rn <= steps").drop("steps")
-    lengths = back.groupBy("_key").agg(F.max("_rn").alias("_most"))
-    out = asked.join(wanted.select(*keys, "_key"), keys, "left").join(lengths, "_key", "left").withColumn("_rn", F.least("_n", "_most"))
-    out = out.join(back, ["_key", "_rn"], "left").join(paths, "_key", "left").withColumn("model", F.when(F.col("path").isNotNull(), "arima").when(F.col("_base").isNotNull(), "baseline"))
-    price = F.coalesce(F.try_element_at("path", F.col("_n").cast("int")), "_base")
+    back = series.select(F.col("name").alias("_key"), F.row_number().over(last).alias("_rn"), mean.alias("_mean"), "steps").filter("_rn <= steps")
+    means = back.groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_mean"))), lambda x: x["_mean"]).alias("_means"))
+    # one row a key, fitted once and written down; a popular key's requests are not gathered to meet it
+    answers = kept(wanted.select(*keys, "_key").join(means, "_key").join(paths, "_key", "left").drop("_key"), "forecasts")
+    if answers.limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES:
+        out = asked.join(F.broadcast(answers), keys, "left")
+    else:
+        copies = answers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = asked.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"], "left").drop("_salt")
+    out = out.withColumn("model", F.when(F.col("path").isNotNull(), "arima").when(F.col("_means").isNotNull(), "baseline"))
+    n = F.col("_n").cast("int")
+    price = F.coalesce(F.try_element_at("path", n), F.get("_means", F.least(n, F.size("_means")) - 1))
     error = F.when(F.col("interval").isNull(), "unsupported time frame").when(F.col("model").isNull(), "no candles").when(F.col("forecast_period") <= 0, "period must be positive")
     done = F.col("error").isNull()
     answers = [F.when(done, price).alias("forecast_price"), F.when(done, F.col("model")).alias("model"), F.when(done, "completed").otherwise("failed").alias("status")]

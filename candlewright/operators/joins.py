@@ -11,8 +11,8 @@ from ..functions.scalars import expires_at
 
 #: A request's start time is kept for so many seconds (fixed value).
 START_TTL = 600
-#: A table of securities with up to so many rows is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A table of securities whose isins and tickers take up to so many bytes is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def new_candles(existing: DataFrame, incoming: DataFrame, tie: Sequence[str], key: Sequence[str] = ("ticker", "interval", "begin")) -> DataFrame:
@@ -24,7 +24,7 @@ def new_candles(existing: DataFrame, incoming: DataFrame, tie: Sequence[str], ke
 def resolve_tickers(rows: DataFrame, securities: DataFrame, isin: str = "isin") -> DataFrame:
     """Adds ticker: the first security (by rank, then by name) of the isin; null if there is none or the isin is null."""
     first = securities.groupBy("isin").agg(F.min_by("secid", F.struct("rank", "secid")).alias("ticker")).withColumnRenamed("isin", "_isin")
-    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = (first.agg(F.sum(F.coalesce(F.length("_isin"), F.lit(0)) + F.length("ticker") + 32)).first()[0] or 0) <= BROADCAST_BYTES
     return rows.join(F.broadcast(first) if few else first, F.col(isin) == F.col("_isin"), "left").drop("_isin")
 
 
