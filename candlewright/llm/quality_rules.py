@@ -92,34 +92,21 @@ def class_divergence(counts: Column, n: Column, shares: Column) -> Column:
     return F.aggregate(F.zip_with(counts, shares, lambda c, q: _half(c / F.greatest(n, F.lit(1)), q)), F.lit(0.0), lambda a, x: a + x)
 
 
-def run_counts(items: Column) -> Column:
-    """(item, n) of each distinct item of an array."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when((i > 0) & (F.get(s, i - 1) == x), -1).otherwise(i)), lambda i: i >= 0)
-        return let(starts, lambda at: F.transform(at, lambda a, j: F.struct(F.get(s, a).alias("item"), (F.coalesce(F.get(at, j + 1), F.size(s)) - a).alias("n"))))
-
-    return let(F.sort_array(items), runs)
-
-
 def word_divergence(w: Column, ref_words: Column, shares: Column, vocabulary: list[str] | None = None) -> Column:
     """The same for the words w: one bin for each common word, one for all others.
 
     vocabulary: words of all references, to sift w by a hash set first; without it each word is looked up in ref_words.
+    Counting by removal was measured against sorting the sifted words and counting runs: it is faster for references of some
+    40 words, as prose has.
     """
     n = F.greatest(F.size(w), F.lit(1))
+    found = let(
+        F.filter(w, lambda x: x.isin(vocabulary) if vocabulary else F.array_contains(ref_words, x)),
+        lambda common: F.transform(ref_words, lambda r: (F.size(common) - F.size(F.array_remove(common, r))) / n),
+    )
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    share = lambda item: F.coalesce(F.get(shares, F.array_position(ref_words, item).cast("int") - 1), F.lit(0.0))
-    # position 0: the word is common in another language only
-    found = F.filter(F.transform(run_counts(F.filter(w, lambda x: x.isin(vocabulary) if vocabulary else F.array_contains(ref_words, x))), lambda r: F.struct((r["n"] / n).alias("p"), share(r["item"]).alias("q"))), lambda b: b.q > 0)
-    rest = lambda x: F.greatest(1 - x, F.lit(0.0))
-
-    def distance(bins: Column) -> Column:
-        # a bin that the text has no word of adds half its share
-        over = F.aggregate(bins, F.lit(0.0), lambda s, b: s + _half(b.p, b.q) - b.q / 2)
-        return let(total(shares), lambda all_: over + all_ / 2 + _half(rest(total(F.transform(bins, lambda b: b.p))), rest(all_)))
-
-    return let(found, distance)
+    rest = lambda a: F.greatest(1 - total(a), F.lit(0.0))
+    return let(found, lambda p: total(F.zip_with(p, shares, _half)) + let(rest(p), lambda a: let(rest(shares), lambda b: _half(a, b))))
 
 
 def repeat_words(w: Column) -> Column:
