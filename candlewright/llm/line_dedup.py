@@ -31,7 +31,7 @@ def html_lines(html: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines with something else than white space, trimmed of spaces, tabs and carriage returns."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
 
 
 def site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
